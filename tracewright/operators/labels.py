@@ -266,8 +266,9 @@ def all_label_rows(trace: DataFrame, keys: Iterable[str], domain: DataFrame,
                    skew: Skew | None = None, order: list[str] = TRACE_ORDER) -> DataFrame:
     """Long labels of all tasks for every parameter value in `domain`; undefined rows are kept.
 
-    The n-th participant and the n-th activity of a log share one pass over its trace, so the
-    trace is repeated max(participants, activities) times, not their product.
+    `domain` lists parameters per log, or per case if it has a case_id column. The n-th participant
+    and the n-th activity share one pass over the trace, so it is repeated max(participants,
+    activities) times, not their product.
     """
     tasks = [task_of(k) for k in keys]
     plain = [t for t in tasks if not t.param]
@@ -288,18 +289,18 @@ def all_label_rows(trace: DataFrame, keys: Iterable[str], domain: DataFrame,
 
 def _labels_per_parameter(trace: DataFrame, tasks: list[Task], domain: DataFrame,
                           skew: Skew | None, order: list[str]) -> DataFrame:
-    # The domain is numbered inside (log, kind); it is an aggregate of small size, checked below.
-    numbered = OrderedGroups(domain, ["log", "kind"], ["param"], skew).scan(_at=sum_before(F.lit(1)))
+    scope = [c for c in ("log", "case_id") if c in domain.columns]
+    numbered = OrderedGroups(domain, scope + ["kind"], ["param"], skew).scan(_at=sum_before(F.lit(1)))
     slot = F.coalesce(F.col("_at"), F.lit(0)).cast("long").alias("_slot")
-    pairs = (numbered.df().select("log", "kind", "param", slot).groupBy("log", "_slot").agg(
+    pairs = numbered.df().select(*scope, "kind", "param", slot).groupBy(*scope, "_slot").agg(
         F.max(F.when(F.col("kind") == "participant", F.col("param"))).alias(PARTICIPANT),
-        F.max(F.when(F.col("kind") == "activity", F.col("param"))).alias(ACTIVITY)))
-    size = domain.groupBy("log", "kind").count().agg(
-        F.coalesce(F.max("count"), F.lit(0)).alias("slots"),
-        F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).first()
-    small = size["rows"] <= MOST_PARAMETERS
-    rows = _prepared(trace, tasks, skew).join(F.broadcast(pairs) if small else pairs, "log")
-    groups = trace_groups(rows, skew, order, fanout=max(1, size["slots"]), also=["_slot"])
+        F.max(F.when(F.col("kind") == "activity", F.col("param"))).alias(ACTIVITY))
+    # Parameters of a log are few and are broadcast if they are; parameters of cases are joined
+    # with a shuffle, whose skewed partitions AQE splits.
+    if scope == ["log"] and domain.limit(MOST_PARAMETERS + 1).count() <= MOST_PARAMETERS:
+        pairs = F.broadcast(pairs)
+    rows = _prepared(trace, tasks, skew).join(pairs, scope)
+    groups = trace_groups(rows, skew, order, also=["_slot"])
     wide = _labelled(groups, tasks, ["case_id", "event_id", PARTICIPANT, ACTIVITY])
     params = {t.key: F.col(PARTICIPANT if t.param == "participant" else ACTIVITY) for t in tasks}
     return long_labels(wide, [t.key for t in tasks], params).filter(F.col("param").isNotNull())
