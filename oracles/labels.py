@@ -75,7 +75,72 @@ def single(key: str, p: str, a: str, source: str = EVENTS) -> str:
 def wide(p: str, a: str, source: str = ORDERS) -> str:
     labels = ", ".join(f'{sql} AS "{key}"' for key, sql in expressions(p, a).items())
     return with_ctes(source, EV, TRACE, x_pal(p), PAIRS, X_MST, query=f"""
-      SELECT l.*, pal.y AS "X-PaL", mst.y AS "X-MSt"
+      SELECT l.* EXCLUDE (n), pal.y AS "X-PaL", mst.y AS "X-MSt"
       FROM (SELECT case_id, event_id, k, n, {labels} FROM t) l
       JOIN pal USING (case_id, event_id, k, n) JOIN mst USING (case_id, event_id, k, n)
-      WHERE k < n""").replace("SELECT l.*,", "SELECT l.* EXCLUDE (n),")
+      WHERE k < n""")
+
+
+SOURCE_TRACE = """
+t AS (
+  SELECT *, row_number() OVER (PARTITION BY log, case_id ORDER BY ts, src_order) AS k,
+         count(*) OVER (PARTITION BY log, case_id) AS n
+  FROM ev
+)"""
+
+
+def in_source_order(sql: str) -> str:
+    return sql.replace("ORDER BY ts, event_id", "ORDER BY ts, src_order")
+
+
+def source_wide(p: str, a: str) -> str:
+    labels = ", ".join(f'{in_source_order(sql)} AS "{key}"' for key, sql in expressions(p, a).items())
+    return with_ctes(ORDERS, EV, SOURCE_TRACE, query=f"""
+      SELECT * EXCLUDE (n) FROM (SELECT case_id, k, n, {labels} FROM t) WHERE k < n""")
+
+
+PARTICIPANT_TASKS = ("NE-NMPa", "NV-PaT", "NV-NMPa", "OB-P")
+
+
+def typed(key: str) -> str:
+    at = {"NE": 0, "NV": 1, "X-": 1, "OB": 2}[key[:2]]
+    columns = [f"CAST(NULL AS {t})" for t in ("VARCHAR", "DOUBLE", "BOOLEAN")]
+    columns[at] = "y"
+    return ", ".join(columns)
+
+
+def long_selects(table: str, participants: list[str], activities: list[str],
+                 source_order: bool = False) -> str:
+    """Typed long labels of the fourteen tasks for all parameters, as (task, param, ...) rows."""
+    parts = []
+
+    def add(key: str, param: str, sql: str) -> None:
+        sql = in_source_order(sql) if source_order else sql
+        given = f"'{param}'" if param else "NULL"
+        parts.append(f"SELECT '{key}', {given}, case_id, event_id, k, {typed(key)} "
+                     f"FROM (SELECT *, {sql} AS y FROM {table}) WHERE k < n")
+
+    for key, sql in expressions("", "").items():
+        if key not in PARTICIPANT_TASKS and key != "OB-M":
+            add(key, "", sql)
+    for p in participants:
+        for key in PARTICIPANT_TASKS:
+            add(key, p, expressions(p, "")[key])
+    for a in activities:
+        add("OB-M", a, expressions("", a)["OB-M"])
+    return " UNION ALL ".join(parts)
+
+
+LONG_COLUMNS = "(task, param, case_id, event_id, k, y_str, y_num, y_bool)"
+
+
+def every_parameter(participants: list[str], activities: list[str]) -> str:
+    load = [f"SELECT 'X-PaL', '{p}', case_id, event_id, k, {typed('X-PaL')} FROM pal_{p} WHERE k < n"
+            for p in participants]
+    loads = [x_pal(p).replace("spans AS", f"spans_{p} AS").replace("moments AS", f"moments_{p} AS")
+             .replace("pal AS", f"pal_{p} AS").replace("FROM moments m", f"FROM moments_{p} m")
+             .replace("JOIN spans s", f"JOIN spans_{p} s") for p in participants]
+    sync = f"SELECT 'X-MSt', NULL, case_id, event_id, k, {typed('X-MSt')} FROM mst WHERE k < n"
+    rows = " UNION ALL ".join([long_selects("t", participants, activities), *load, sync])
+    return with_ctes(EVENTS, EV, TRACE, *loads, PAIRS, X_MST, f"long{LONG_COLUMNS} AS ({rows})",
+                     query="SELECT * FROM long")

@@ -43,10 +43,12 @@ def _number(name: str) -> Column:
 
 
 def check_totality(src: DataFrame, relations: Relations) -> DataFrame:
-    """As many events as source rows, with as many timestamps."""
+    """As many events as source rows, with as many timestamps (unreadable ones were given too)."""
     def counts(df: DataFrame, prefix: str) -> DataFrame:
+        given = F.coalesce(F.col("ts").cast("string"), F.col("unread_ts")) \
+            if "unread_ts" in df.columns else F.col("ts")
         return df.groupBy("log").agg(F.count(F.lit(1)).alias(f"{prefix}_events"),
-                                     F.count("ts").alias(f"{prefix}_timestamps"))
+                                     F.count(given).alias(f"{prefix}_timestamps"))
 
     both = _combine(counts(src, "source"), counts(relations.events, "ocel"))
     both = both.withColumns({

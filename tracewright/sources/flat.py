@@ -30,7 +30,8 @@ def source_events(df: DataFrame, log: str, names: SourceColumns = SourceColumns(
 
     `order_column` holds the position in the source; without it the position follows Spark's row
     ids, which keep file order inside a file. Columns that are not configured become residual
-    attributes, except internal ones that start with two underscores.
+    attributes, except internal ones that start with two underscores. Timestamp text that cannot be
+    read is kept in `unread_ts`.
     """
     require_columns(df, names)
 
@@ -41,13 +42,14 @@ def source_events(df: DataFrame, log: str, names: SourceColumns = SourceColumns(
     is_text = dict(df.dtypes)[names.timestamp] == "string"
     rest = [c for c in df.columns
             if c not in names.consumed and c != order_column and not c.startswith("__")]
+    ts = parse_time(raw_ts) if is_text else raw_ts.cast("timestamp")
     position = F.col(order_column) if order_column else F.monotonically_increasing_id()
     return df.select(
         F.lit(log).alias("log"),
         F.col(f"`{names.case}`").cast("string").alias("case_id"),
         position.cast("long").alias("src_order"),
         F.col(f"`{names.activity}`").cast("string").alias("activity"),
-        (parse_time(raw_ts) if is_text else raw_ts.cast("timestamp")).alias("ts"),
+        ts.alias("ts"), F.when(ts.isNull(), raw_ts.cast("string")).alias("unread_ts"),
         F.coalesce(text(names.elem_type), F.lit(vocabulary.task_elem)).alias("elem"),
         text(names.participant).alias("participant"),
         text(names.from_participant).alias("from_participant"),

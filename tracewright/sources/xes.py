@@ -39,11 +39,13 @@ def read_event_log(spark: SparkSession, path: str, log: str, names: SourceColumn
     rows = events.select(F.monotonically_increasing_id().alias("src_order"),
                          F.map_concat("_case", _attributes("_event")).alias("_all"))
     value = F.col("_all")
+    ts = parse_time(value[names.timestamp])
     consumed = F.array(*[F.lit(c) for c in sorted(names.consumed)])
     residual = F.map_filter(value, lambda k, v: ~F.array_contains(consumed, k) & v.isNotNull())
     return rows.select(
         F.lit(log).alias("log"), value[names.case].alias("case_id"), "src_order",
-        value[names.activity].alias("activity"), parse_time(value[names.timestamp]).alias("ts"),
+        value[names.activity].alias("activity"), ts.alias("ts"),
+        F.when(ts.isNull(), value[names.timestamp]).alias("unread_ts"),
         F.coalesce(clean(value[names.elem_type]), F.lit(vocabulary.task_elem)).alias("elem"),
         clean(value[names.participant]).alias("participant"),
         clean(value[names.from_participant]).alias("from_participant"),
