@@ -128,7 +128,8 @@ def oracles() -> dict[str, str]:
         "grouped_folds": with_ctes(ORDERS, query=f"""
             SELECT case_id, "rows", folds, fold FROM {_dealt('src', 'log')}"""),
         "labelled_rows": with_ctes(*LABELLED, query="""
-            SELECT task, case_id, event_id, k, y_str, y_num, y_bool, fold FROM labelled"""),
+            SELECT task, case_id, event_id, k, y_str, y_num, CAST(y_bool AS VARCHAR) AS y_bool, fold
+            FROM labelled"""),
         "training_medians": with_ctes(*LABELLED, MEDIANS, query="""
             SELECT task, fold, round(median, 6) AS median FROM medians"""),
         "median_baseline": with_ctes(*LABELLED, MEDIANS, MEDIAN_SCORES, query="""

@@ -143,4 +143,4 @@ def every_parameter(participants: list[str], activities: list[str]) -> str:
     sync = f"SELECT 'X-MSt', NULL, case_id, event_id, k, {typed('X-MSt')} FROM mst WHERE k < n"
     rows = " UNION ALL ".join([long_selects("t", participants, activities), *load, sync])
     return with_ctes(EVENTS, EV, TRACE, *loads, PAIRS, X_MST, f"long{LONG_COLUMNS} AS ({rows})",
-                     query="SELECT * FROM long")
+                     query="SELECT * REPLACE (CAST(y_bool AS VARCHAR) AS y_bool) FROM long")

@@ -111,12 +111,10 @@ def oracles() -> dict[str, str]:
                    max(CASE WHEN otype = 'Message' THEN oid END) AS msg_oid,
                    bool_or(qualifier = 'send') AS sends, bool_or(qualifier = 'receive') AS receives
             FROM e2o GROUP BY eid"""),
-        "local_case_actors": with_ctes(EVENTS, EV, query="""
-            SELECT DISTINCT 'lc::' || case_id || '::' || participant AS lc_oid, participant AS lc_actor
-            FROM ev WHERE participant IS NOT NULL"""),
-        "message_parties": with_ctes(EVENTS, EV, query="""
-            SELECT 'msg::' || event_id AS msg_oid, participant AS msg_from, to_p AS msg_to
-            FROM ev WHERE is_send"""),
+        "object_facts": with_ctes(*MODEL, query="""
+            SELECT oid, otype, CASE otype WHEN 'CollaborationInstance' THEN case_attr
+                     WHEN 'Participant' THEN name_attr WHEN 'LocalCase' THEN participant_attr END AS name,
+                   sender AS msg_from, receiver AS msg_to FROM objects"""),
         "participant_spans": with_ctes(ORDERS, EV, query="""
             SELECT actor, case_id, epoch_us(min(ts)) AS first_ts, epoch_us(max(ts)) AS last_ts
             FROM ev GROUP BY actor, case_id"""),
@@ -136,7 +134,8 @@ def oracles() -> dict[str, str]:
             SELECT DISTINCT log, 'participant' AS kind, actor AS param FROM ev
             UNION ALL SELECT DISTINCT log, 'activity', activity FROM ev WHERE is_send"""),
         "flat_frame": with_ctes(MESSY, query="""
-            SELECT log, case_id, src_order, activity, epoch_us(ts) AS ts,
+            SELECT log, case_id, src_order, activity,
+                   strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts,
                    CASE WHEN ts IS NULL THEN 'unknown' END AS unread_ts, elem, participant,
                    from_p AS from_participant, to_p AS to_participant, props, 1 AS attributes FROM src"""),
         "unreadable_times": with_ctes(MESSY, query="""

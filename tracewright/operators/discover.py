@@ -28,7 +28,9 @@ def activities_per_type(relations: Relations) -> DataFrame:
 def object_paths(relations: Relations) -> DataFrame:
     """One row per event and related object."""
     events = relations.events.select("log", "eid", "activity", "ts")
-    return relations.e2o.select("log", "eid", "oid", "otype").distinct().join(events, ["log", "eid"])
+    joined = events.join(relations.e2o.select("log", "eid", "oid", "otype"), ["log", "eid"])
+    # After the join the rows of an event are in one place, so this takes no further exchange.
+    return joined.dropDuplicates(["log", "eid", "oid", "otype"])
 
 
 def directly_follows(relations: Relations, skew: Skew | None = None) -> DataFrame:
@@ -37,9 +39,8 @@ def directly_follows(relations: Relations, skew: Skew | None = None) -> DataFram
     Per object type and pair of activities: distinct pairs of events, distinct objects, and pairs
     counted once for each object.
     """
-    # At most five relations per event: instance, local case, participant and two messages.
     paths = OrderedGroups(object_paths(relations), ["log", "otype", "oid"], ["ts", "eid"], skew,
-                          fanout=5)
+                          sizes=relations.e2o)
     steps = paths.scan(_next=next_row("activity", "eid")).df().filter(F.col("_next").isNotNull())
     return steps.groupBy(
         "log", "otype", F.col("activity").alias("source"),

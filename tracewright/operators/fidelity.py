@@ -110,7 +110,12 @@ def equivalence(reference: DataFrame, object_centric: DataFrame,
     The reference trace is ordered by source position, the other one by event id. Parameter values
     are those of the object-centric trace.
     """
-    tasks = list(tasks)
+    return _equivalence(reference, materialize(object_centric, "trace"), list(tasks), tolerance,
+                        exact_counts, skew)
+
+
+def _equivalence(reference: DataFrame, object_centric: DataFrame, tasks: list[str],
+                 tolerance: float, exact_counts: bool, skew: Skew | None) -> DataFrame:
     cases = occurrences(reference, object_centric)
     domain = parameter_domain(object_centric)
     cases = cases.join(domain, ["log", "kind", "param"], "left_semi")
@@ -201,7 +206,7 @@ def fidelity_report(reference: DataFrame, object_centric: DataFrame, tolerance:
                     skew: Skew | None = None) -> DataFrame:
     """Both comparisons in one table, in the published result layout."""
     object_centric = materialize(object_centric, "trace")
-    equal = equivalence(reference, object_centric, tolerance=tolerance, skew=skew)
+    equal = _equivalence(reference, object_centric, EQUIVALENCE_TASKS, tolerance, False, skew)
     defined = consistency(object_centric, skew=skew)
     return (equal.withColumn("check", F.lit("equivalence"))
             .unionByName(defined.withColumn("check", F.lit("internal_consistency")),

@@ -19,6 +19,7 @@ from tracewright.operators.ordered import (OrderedGroups, Scan, following, max_a
                                            min_all, next_row, sum_after, sum_all, sum_before)
 from tracewright.operators.skew import Skew
 from tracewright.operators.trace import TRACE_ORDER, trace_groups
+from tracewright.session import small
 
 PARTICIPANT, ACTIVITY = "_participant", "_activity"  # parameter columns
 
@@ -250,9 +251,6 @@ def long_labels(wide: DataFrame, keys: Iterable[str], params: dict[str, Column]
 
 # --- parameter domains -----------------------------------------------------------------------
 
-MOST_PARAMETERS = 10_000  # rows of a parameter table that may be broadcast
-
-
 def parameter_domain(trace: DataFrame) -> DataFrame:
     """Distinct actors and send activities per log: (log, kind, param)."""
     actors = trace.filter(F.col("actor") != "").select(
@@ -297,8 +295,8 @@ def _labels_per_parameter(trace: DataFrame, tasks: list[Task], domain: DataFrame
         F.max(F.when(F.col("kind") == "activity", F.col("param"))).alias(ACTIVITY))
     # Parameters of a log are few and are broadcast if they are; parameters of cases are joined
     # with a shuffle, whose skewed partitions AQE splits.
-    if scope == ["log"] and domain.limit(MOST_PARAMETERS + 1).count() <= MOST_PARAMETERS:
-        pairs = F.broadcast(pairs)
+    if scope == ["log"]:
+        pairs = small(pairs)
     rows = _prepared(trace, tasks, skew).join(pairs, scope)
     groups = trace_groups(rows, skew, order, also=["_slot"])
     wide = _labelled(groups, tasks, ["case_id", "event_id", PARTICIPANT, ACTIVITY])

@@ -25,11 +25,13 @@ def participant_spans(trace: DataFrame) -> DataFrame:
             .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
 
 
-def _active(rows: DataFrame, keys: list[str], name: str, skew: Skew | None) -> DataFrame:
+def _active(rows: DataFrame, keys: list[str], name: str, skew: Skew | None, trace: DataFrame
+            ) -> DataFrame:
     """Number of spans of the group that are open at each row."""
     change = F.when(F.col("_what") == START, 1).when(F.col("_what") == END, -1).otherwise(0)
     # A span adds at most two rows to the events it came from.
-    groups = OrderedGroups(rows, keys, ["_at", "_what", "ci_oid", "event_id"], skew, fanout=3)
+    groups = OrderedGroups(rows, keys, ["_at", "_what", "ci_oid", "event_id"], skew,
+                           by=["log", "actor"], sizes=trace, fanout=3)
     groups = groups.scan(**{name: sum_before(change.cast("long"))})
     return groups.with_columns({name: F.coalesce(F.col(name), F.lit(0))}).df()
 
@@ -43,9 +45,9 @@ def with_load(trace: DataFrame, skew: Skew | None = None) -> DataFrame:
                                              F.explode(ends).alias("_end"))
     bounds = bounds.select("log", "actor", "ci_oid", "case_id", "_end.*")
     rows = moments.unionByName(bounds, allowMissingColumns=True)
-    rows = _active(rows, ["log", "actor"], "_all", skew)
+    rows = _active(rows, ["log", "actor"], "_all", skew, trace)
     # Executions may share a case id; all spans of the own case are left out.
-    rows = _active(rows, ["log", "actor", "case_id"], "_own", skew)
+    rows = _active(rows, ["log", "actor", "case_id"], "_own", skew, trace)
     load: Column = F.when(F.col("actor") != "", F.col("_all") - F.col("_own"))
     return (rows.filter(F.col("_what") == MOMENT).withColumn("load", load)
             .select(*trace.columns, "load"))

@@ -78,25 +78,29 @@ def _one_each(rows: DataFrame, items: list[Column]) -> DataFrame:
 
 def object_rows(matched: DataFrame, v: Vocabulary = VOCABULARY) -> DataFrame:
     """One row per object; attributes as a map without missing values."""
-    def item(oid: Column, otype: str, **attrs: Column) -> Column:
-        pairs = [x for name, value in attrs.items() for x in (F.lit(name), value)]
-        return F.when(oid.isNotNull(), F.struct(oid.alias("oid"), F.lit(otype).alias("otype"),
-                                                F.create_map(*pairs).alias("attrs")))
+    # Attributes stay plain columns until duplicates are gone, because maps cannot be compared.
+    def item(oid: Column, otype: str, first: Column, second: Column = F.lit(None)) -> Column:
+        return F.when(oid.isNotNull(), F.struct(
+            oid.alias("oid"), F.lit(otype).alias("otype"), first.cast("string").alias("first"),
+            second.cast("string").alias("second")))
 
     case, participant = F.col("case_id"), F.col("participant")
-    people = [item(participant_id(p), v.participant, **{v.name_attr: p})
+    people = [item(participant_id(p), v.participant, p)
               for p in (participant, F.col("from_participant"), F.col("to_participant"))]
     message = F.when(F.col("elem") == v.send_elem, _message())
     rows = _one_each(matched, [
-        item(_instance(), v.instance, **{v.case_id_attr: case}),
-        *people,
-        item(_local_case(), v.local_case,
-             **{v.case_id_attr: case, v.participant_attr: participant}),
-        item(message, v.message,
-             **{v.sender_attr: participant, v.receiver_attr: F.col("to_participant")})])
-    # Attributes follow from the id, so any of the equal rows will do. Maps cannot be grouped.
-    return (rows.groupBy("log", "oid", "otype").agg(F.first("attrs").alias("attrs"))
-            .select("log", "oid", "otype", no_nulls(F.col("attrs")).alias("attrs")))
+        item(_instance(), v.instance, case), *people,
+        item(_local_case(), v.local_case, case, participant),
+        item(message, v.message, participant, F.col("to_participant"))]).distinct()
+
+    names = {v.instance: (v.case_id_attr,), v.participant: (v.name_attr,),
+             v.local_case: (v.case_id_attr, v.participant_attr),
+             v.message: (v.sender_attr, v.receiver_attr)}
+    attrs = F.lit(None)
+    for otype, keys in names.items():
+        pairs = [x for key, value in zip(keys, ("first", "second")) for x in (F.lit(key), F.col(value))]
+        attrs = F.when(F.col("otype") == otype, F.create_map(*pairs)).otherwise(attrs)
+    return rows.select("log", "oid", "otype", no_nulls(attrs).alias("attrs"))
 
 
 def event_object_rows(matched: DataFrame, v: Vocabulary = VOCABULARY) -> DataFrame:

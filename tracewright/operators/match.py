@@ -77,9 +77,22 @@ def _mixed() -> Column:
 
 def mixed_cases(src: DataFrame) -> DataFrame:
     """Cases where some message names a party and another on the same side does not."""
-    flags = [F.bool_or(c).alias(n) for n, c in _party_flags().items()]
-    messages = src.filter(F.col("case_id").isNotNull() & (_is_send() | _is_receive()))
-    return messages.groupBy(*CASE).agg(*flags).filter(_mixed()).select(*CASE)
+    return _messages(src).groupBy(*CASE).agg(*_any_flags()).filter(_mixed()).select(*CASE)
+
+
+def has_mixed_cases(src: DataFrame) -> bool:
+    # Parties that do not mix in the whole source do not mix in any case, and that takes no shuffle.
+    if _messages(src).agg(*_any_flags()).filter(_mixed()).isEmpty():
+        return False
+    return not mixed_cases(src).isEmpty()
+
+
+def _messages(src: DataFrame) -> DataFrame:
+    return src.filter(F.col("case_id").isNotNull() & (_is_send() | _is_receive()))
+
+
+def _any_flags() -> list[Column]:
+    return [F.bool_or(c).alias(n) for n, c in _party_flags().items()]
 
 
 def match_messages(src: DataFrame, skew: Skew | None = None,
@@ -89,7 +102,7 @@ def match_messages(src: DataFrame, skew: Skew | None = None,
     `sent` is set on every send and on every receive that was paired with one.
     """
     ordered = order_events(src, skew)
-    if mixed_cases(src).isEmpty():
+    if not has_mixed_cases(src):
         return _serve_queues(ordered.df(), skew)
     flagged = ordered.scan(**{n: max_all(c) for n, c in _party_flags().items()})
     flagged = flagged.with_columns({"_mixed": _mixed()}).df()
@@ -117,7 +130,7 @@ def _serve_queues(events: DataFrame, skew: Skew | None, flagged: bool = False) -
         "_kind": F.when(F.col("ts").isNotNull() & _is_receive(), 1).otherwise(0),
         "_step": step})
 
-    queues = OrderedGroups(events, CASE + ["_from", "_to"], ["ts", "_kind", "idx"], skew)
+    queues = OrderedGroups(events, CASE + ["_from", "_to"], ["ts", "_kind", "idx"], skew, by=CASE)
     queues = queues.scan(_waiting=sum_before(F.col("_step")),
                          _sends=sum_before(_is_send().cast("long")))
     # `_waiting` falls below every earlier value exactly when a receive finds the queue empty.

@@ -80,17 +80,19 @@ _FOLD: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max
 class OrderedGroups:
     """Rows of a DataFrame, grouped by `keys` and ordered by `order` (ascending, NULLs last).
 
-    `order` must identify a row inside its group. `sizes`, if given, is a cheaper DataFrame with
-    the same groups, used to look for oversized ones.
+    `order` must identify a row inside its group. Oversized groups are looked for by the columns `by`
+    (a part of the keys, all of them by default) in `sizes`, a frame that is cheaper to count than
+    `df`; one of its rows stands for at most `fanout` rows of `df`.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], skew: Skew | None = None,
-                 sizes: DataFrame | None = None, fanout: int = 1):
+                 by: list[str] | None = None, sizes: DataFrame | None = None, fanout: int = 1):
         self.keys, self.order = list(keys), list(order)
-        hot = skew.find(df if sizes is None else sizes, self.keys, fanout) if skew else None
+        by = list(by or keys)
+        hot = skew.find(df if sizes is None else sizes, by, fanout) if skew else None
         self._plain, self._cut, self._scanned = df, None, False
         if hot is not None:
-            self._plain, rows = hot.split(df, self.keys)
+            self._plain, rows = hot.split(df, by)
             ranges = [F.col(k).asc_nulls_last() for k in self.keys + self.order]
             cut = rows.repartitionByRange(hot.segments, *ranges)
             # The partition number is only stable once written.

@@ -7,7 +7,7 @@ which groups need that.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +17,15 @@ from tracewright.session import materialize
 
 @dataclass(frozen=True)
 class HotGroups:
-    """Keys of oversized groups and the number of segments to cut their rows into."""
+    """Keys of oversized groups, how many rows they have, and how many a segment should have."""
 
     keys: DataFrame
-    segments: int
+    rows: int
+    segment_rows: int
+
+    @property
+    def segments(self) -> int:
+        return self.rows // self.segment_rows + 1
 
     def split(self, df: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
         """(other rows, rows of the oversized groups).
@@ -37,11 +42,16 @@ class HotGroups:
 
 @dataclass(frozen=True)
 class Skew:
-    """How many rows of one group a task may hold, and how large the source is."""
+    """How many rows of one group a task may hold, and how large the source is.
+
+    One instance belongs to one source. Groups are looked up once per set of key columns, so frames
+    derived from the source must name equal things equally.
+    """
 
     rows: int
     limit: int = 2_000_000
     most_segments: int = 50_000
+    _found: dict[tuple[str, ...], HotGroups | None] = field(default_factory=dict, compare=False)
 
     @classmethod
     def of(cls, source: DataFrame, limit: int = 2_000_000) -> "Skew":
@@ -51,16 +61,20 @@ class Skew:
     def find(self, df: DataFrame, keys: list[str], fanout: int = 1) -> HotGroups | None:
         """Groups of `df` by `keys` above the limit, or None.
 
-        `fanout` bounds how many rows of `df` one source row yields. A source no larger than the
-        limit cannot have such a group and costs no job.
+        `fanout` bounds how many rows of the frame to be scanned one row of `df` stands for. A source
+        no larger than the limit cannot have such a group and costs no job.
         """
-        most_rows = self.rows * fanout
-        if most_rows <= self.limit:
+        if self.rows * fanout <= self.limit:
             return None
-        limit = max(self.limit, most_rows // self.most_segments)
+        if tuple(keys) not in self._found:
+            self._found[tuple(keys)] = self._look_up(df, keys, fanout)
+        return self._found[tuple(keys)]
+
+    def _look_up(self, df: DataFrame, keys: list[str], fanout: int) -> HotGroups | None:
+        limit = max(self.limit, self.rows * fanout // self.most_segments)
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        hot = materialize(sizes.filter(F.col("_rows") > limit), "hot-groups")
+        hot = materialize(sizes.filter(F.col("_rows") * fanout > limit), "hot-groups")
         found = hot.agg(F.count(F.lit(1)).alias("groups"), F.sum("_rows").alias("total")).first()
         if found["groups"] == 0:
             return None
-        return HotGroups(hot.drop("_rows"), found["total"] // limit + 1)
+        return HotGroups(hot.drop("_rows"), found["total"] * fanout, limit)

@@ -14,7 +14,7 @@ from tracewright.config import VOCABULARY, Vocabulary
 from tracewright.functions.columns import event_id, instance_id, message_id, or_else
 from tracewright.operators.mapping import Relations
 from tracewright.operators.match import order_events
-from tracewright.operators.ordered import OrderedGroups, min_all
+from tracewright.operators.ordered import OrderedGroups
 from tracewright.operators.skew import Skew
 
 EXECUTION = ["log", "ci_oid"]
@@ -27,9 +27,10 @@ def trace_groups(trace: DataFrame, skew: Skew | None = None, order: list[str] =
                  fanout: int = 1, also: list[str] | None = None) -> OrderedGroups:
     """Executions in trace order: by time, then by event id as text (`e::c::10` before `e::c::2`).
 
-    Pass `["ts", "src_order"]` to break ties by source position instead.
+    Pass `["ts", "src_order"]` to break ties by source position instead, and `also` to group inside
+    executions by further columns.
     """
-    return OrderedGroups(trace, EXECUTION + (also or []), order, skew, fanout=fanout)
+    return OrderedGroups(trace, EXECUTION + (also or []), order, skew, by=EXECUTION, fanout=fanout)
 
 
 def trace_of_matched(matched: DataFrame, v: Vocabulary = VOCABULARY) -> DataFrame:
@@ -61,97 +62,81 @@ def source_trace(src: DataFrame, v: Vocabulary = VOCABULARY) -> DataFrame:
     actor = F.coalesce("participant", F.lit(""))
     none = F.lit(None).cast("string")
     return src.filter(F.col("case_id").isNotNull()).select(
-        "log", F.col("case_id").alias("ci_oid"), "case_id",
+        "log", instance_id(F.col("case_id")).alias("ci_oid"), "case_id",
         event_id(F.col("case_id"), F.col("src_order")).alias("event_id"), "activity", "ts",
         actor.alias("actor"), send.alias("is_send"), receive.alias("is_receive"),
         none.alias("msg_id"), F.when(send | receive, F.col("activity")).alias("msg_type"),
         F.when(send, actor).alias("msg_from"), F.col("to_participant").alias("msg_to"), "src_order")
 
 
-def _targets(relations: Relations, qualifier: str, target_type: str, attribute: str) -> DataFrame:
-    """Per source object: name (attribute, else id) of its first target of that type."""
-    edges = relations.o2o.filter(F.col("qualifier") == qualifier)
-    targets = relations.objects.filter(F.col("otype") == target_type).select(
-        "log", F.col("oid").alias("tgt_oid"),
-        or_else(F.col("attrs")[attribute], F.col("oid")).alias("name"))
-    return (edges.join(targets, ["log", "tgt_oid"])
-            .groupBy("log", F.col("src_oid").alias("oid"))
-            .agg(F.min_by("name", "tgt_oid").alias("name")))
-
+def object_facts(relations: Relations, v: Vocabulary = VOCABULARY) -> DataFrame:
+    """What events learn from an object: (log, oid, otype, name, msg_from, msg_to).
 
-def local_case_actors(relations: Relations, v: Vocabulary = VOCABULARY) -> DataFrame:
-    """Actor of each local case: its executing participant, else its participant attribute."""
-    executed = _targets(relations, v.executed_by, v.participant, v.name_attr)
-    cases = relations.objects.filter(F.col("otype") == v.local_case)
-    return (cases.join(executed, ["log", "oid"], "left")
-            .select("log", F.col("oid").alias("lc_oid"),
-                    F.coalesce("name", F.col("attrs")[v.participant_attr]).alias("lc_actor")))
+    The name is the case id of an instance, the name of a participant, or the actor of a local case:
+    its executing participant, else its participant attribute. Messages have a sender and receiver.
+    """
+    attrs, otype = F.col("attrs"), F.col("otype")
+    people = relations.objects.filter(otype == v.participant).select(
+        "log", F.col("oid").alias("tgt_oid"),
+        or_else(attrs[v.name_attr], F.col("oid")).alias("person"))
 
+    def party(qualifier: str) -> Column:
+        return F.min_by("person", F.when(F.col("qualifier") == qualifier, F.col("tgt_oid")))
 
-def message_parties(relations: Relations, v: Vocabulary = VOCABULARY) -> DataFrame:
-    """Sender and receiver name of each message."""
-    senders = _targets(relations, v.from_, v.participant, v.name_attr)
-    receivers = _targets(relations, v.to, v.participant, v.name_attr)
-    return senders.withColumnRenamed("name", "msg_from").join(
-        receivers.withColumnRenamed("name", "msg_to"), ["log", "oid"], "full_outer"
-    ).withColumnRenamed("oid", "msg_oid")
+    parties = (relations.o2o.filter(F.col("qualifier").isin(v.executed_by, v.from_, v.to))
+               .join(people, ["log", "tgt_oid"]).groupBy("log", F.col("src_oid").alias("oid"))
+               .agg(party(v.executed_by).alias("executor"), party(v.from_).alias("sender"),
+                    party(v.to).alias("receiver")))
+    own_name = (F.when(otype == v.instance, or_else(attrs[v.case_id_attr], F.col("oid")))
+                .when(otype == v.participant, or_else(attrs[v.name_attr], F.col("oid")))
+                .when(otype == v.local_case, F.coalesce("executor", attrs[v.participant_attr])))
+    message = otype == v.message
+    return relations.objects.join(parties, ["log", "oid"], "left").select(
+        "log", "oid", "otype", own_name.alias("name"),
+        F.when(message, F.col("sender")).alias("msg_from"),
+        F.when(message, F.col("receiver")).alias("msg_to"))
 
 
 def event_roles(relations: Relations, v: Vocabulary = VOCABULARY) -> DataFrame:
-    """Per event: its instance, local case, direct participant and message.
+    """Per event: its instance, local case, direct participant and message, with their facts.
 
     If an event has several edges of one role the greatest object id stands for all of them.
     Edges to objects that are not in the log do not count.
     """
-    # Types come from the objects; the objects side is unique per id, so a hot object only skews
-    # the edge side, which AQE splits.
-    types = relations.objects.select("log", "oid", F.col("otype").alias("known_type"))
-    edges = relations.e2o.select("log", "eid", "oid", "qualifier").join(types, ["log", "oid"])
-    kind, qualifier = F.col("known_type"), F.col("qualifier")
+    # Objects are unique per id, so an object with very many events only skews the edge side, which
+    # AQE splits.
+    edges = relations.e2o.select("log", "eid", "oid", "qualifier").join(
+        object_facts(relations, v), ["log", "oid"])
+    kind, qualifier = F.col("otype"), F.col("qualifier")
 
     def role(condition: Column) -> Column:
-        return F.max(F.when(condition, F.col("oid")))
+        return F.max(F.when(condition, F.struct("oid", "name", "msg_from", "msg_to")))
 
-    within = (qualifier == v.within) & (kind == v.instance)
-    local = (qualifier == v.local) & (kind == v.local_case)
     send = (qualifier == v.send) & (kind == v.message)
     receive = (qualifier == v.receive) & (kind == v.message)
     return edges.groupBy("log", "eid").agg(
-        role(within).alias("ci_oid"), role(local).alias("lc_oid"),
-        role(kind == v.participant).alias("pa_oid"),
-        F.max(F.when(send | receive, F.col("oid"))).alias("msg_oid"),
+        role((qualifier == v.within) & (kind == v.instance)).alias("instance"),
+        role((qualifier == v.local) & (kind == v.local_case)).alias("local_case"),
+        role(kind == v.participant).alias("person"), role(send | receive).alias("message"),
         F.bool_or(send).alias("sends"), F.bool_or(receive).alias("receives"))
 
 
 def trace_of_relations(relations: Relations, v: Vocabulary = VOCABULARY) -> DataFrame:
     """Trace of an object-centric log. Events without an instance are left out."""
-    objects = relations.objects
-    instances = objects.filter(F.col("otype") == v.instance).select(
-        "log", F.col("oid").alias("ci_oid"),
-        or_else(F.col("attrs")[v.case_id_attr], F.col("oid")).alias("case_id"))
-    people = objects.filter(F.col("otype") == v.participant).select(
-        "log", F.col("oid").alias("pa_oid"),
-        or_else(F.col("attrs")[v.name_attr], F.col("oid")).alias("pa_name"))
-
+    roles = event_roles(relations, v).filter(F.col("instance").isNotNull())
     # The element type decides only where no message edge does.
     no_edge = ~(F.col("sends") | F.col("receives"))
     is_send = F.col("sends") | (no_edge & F.col("elem_type").eqNullSafe(v.send_elem))
     is_receive = F.col("receives") | (no_edge & F.col("elem_type").eqNullSafe(v.receive_elem))
-    is_message = is_send | is_receive
-    return (relations.events.join(event_roles(relations, v), ["log", "eid"])
-            .join(instances, ["log", "ci_oid"])
-            .join(people, ["log", "pa_oid"], "left")
-            .join(local_case_actors(relations, v), ["log", "lc_oid"], "left")
-            .join(message_parties(relations, v), ["log", "msg_oid"], "left")
-            .select("log", "ci_oid", "case_id", F.col("eid").alias("event_id"), "activity", "ts",
-                    F.coalesce("pa_name", "lc_actor", F.lit("")).alias("actor"),
-                    is_send.alias("is_send"), is_receive.alias("is_receive"),
-                    F.when(is_message, F.col("msg_oid")).alias("msg_id"),
-                    F.when(is_message, F.col("activity")).alias("msg_type"),
-                    F.when(is_message, F.col("msg_from")).alias("msg_from"),
-                    F.when(is_message, F.col("msg_to")).alias("msg_to"), "src_order"))
-
-
-def with_first_position(trace: DataFrame, skew: Skew | None = None) -> DataFrame:
-    """Add `ci_order`, the source position where the execution starts."""
-    return trace_groups(trace, skew).scan(ci_order=min_all(F.col("src_order"))).df()
+
+    def of_message(value: str) -> Column:
+        return F.when(is_send | is_receive, F.col(value))
+
+    return relations.events.join(roles, ["log", "eid"]).select(
+        "log", F.col("instance.oid").alias("ci_oid"), F.col("instance.name").alias("case_id"),
+        F.col("eid").alias("event_id"), "activity", "ts",
+        F.coalesce("person.name", "local_case.name", F.lit("")).alias("actor"),
+        is_send.alias("is_send"), is_receive.alias("is_receive"),
+        of_message("message.oid").alias("msg_id"), of_message("activity").alias("msg_type"),
+        of_message("message.msg_from").alias("msg_from"),
+        of_message("message.msg_to").alias("msg_to"), "src_order")

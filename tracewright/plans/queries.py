@@ -21,7 +21,7 @@ from tracewright.operators.attributes import latest_attributes
 from tracewright.operators.load import participant_spans, with_load
 from tracewright.operators.skew import Skew
 from tracewright.plans import evaluation as E
-from tracewright.session import new_folder, prepare
+from tracewright.session import materialize, new_folder, prepare, size_shuffles
 from tracewright.sources import documents, flat, relational, xes
 from tracewright.sources.results import write_csv
 from tracewright.sources.tables import events_log, orders_log, table
@@ -47,11 +47,17 @@ def registered() -> dict[str, Query]:
 
 def events_source(spark: SparkSession, folder: str) -> tuple[DataFrame, Skew]:
     src = events_log(spark, folder)
-    return src, Skew.of(src)
+    return src, measured(src)
+
+
+def measured(source: DataFrame) -> Skew:
+    skew = Skew.of(source)
+    size_shuffles(source.sparkSession, skew.rows)
+    return skew
 
 
 def orders_source(spark: SparkSession, folder: str) -> tuple[DataFrame, Skew]:
-    skew = Skew.of(table(spark, folder, "lineitem"))
+    skew = measured(table(spark, folder, "lineitem"))
     return orders_log(spark, folder, skew), skew
 
 
@@ -108,7 +114,7 @@ def labels_every_parameter(spark: SparkSession, folder: str) -> DataFrame:
     """Long labels of all targets for every participant and send activity."""
     trace, skew = events_trace(spark, folder)
     rows = L.all_label_rows(trace, TASKS, L.parameter_domain(trace), skew)
-    return rows.drop("log")
+    return rows.drop("log").withColumn("y_bool", F.col("y_bool").cast("string"))
 
 
 @query("parameter_domain")
@@ -242,17 +248,16 @@ def trace_of_source(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("event_roles")
 def event_roles(spark: SparkSession, folder: str) -> DataFrame:
-    return T.event_roles(events_relations(spark, folder, keep=True)).drop("log")
-
-
-@query("local_case_actors")
-def local_case_actors(spark: SparkSession, folder: str) -> DataFrame:
-    return T.local_case_actors(events_relations(spark, folder, keep=True)).drop("log")
+    roles = T.event_roles(events_relations(spark, folder, keep=True))
+    return roles.select("eid", F.col("instance.oid").alias("ci_oid"),
+                        F.col("local_case.oid").alias("lc_oid"), F.col("person.oid").alias("pa_oid"),
+                        F.col("message.oid").alias("msg_oid"), "sends", "receives")
 
 
-@query("message_parties")
-def message_parties(spark: SparkSession, folder: str) -> DataFrame:
-    return T.message_parties(events_relations(spark, folder, keep=True)).drop("log")
+@query("object_facts")
+def object_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Case ids, names, actors and message parties learnt from objects and their relations."""
+    return T.object_facts(events_relations(spark, folder, keep=True)).drop("log")
 
 
 @query("participant_spans")
@@ -422,7 +427,7 @@ def labelled(spark: SparkSession, folder: str) -> tuple[DataFrame, Skew]:
     src, skew = events_source(spark, folder)
     trace = T.trace_without_receives(src, skew)
     experiment = Experiment()
-    parameters = E.chosen_parameters(trace, experiment, skew)
+    parameters = materialize(E.chosen_parameters(trace, experiment, skew), "parameters")
     return E.with_folds(E.labelled_rows(trace, experiment.tasks, parameters, skew), 5, skew), skew
 
 
@@ -430,7 +435,8 @@ def labelled(spark: SparkSession, folder: str) -> tuple[DataFrame, Skew]:
 def labelled_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Defined labels of the representative tasks with chosen parameters and folds."""
     return labelled(spark, folder)[0].select(
-        "task", "case_id", "event_id", "k", "y_str", "y_num", "y_bool", "fold")
+        "task", "case_id", "event_id", "k", "y_str", "y_num",
+        F.col("y_bool").cast("string").alias("y_bool"), "fold")
 
 
 @query("training_medians")
@@ -552,8 +558,8 @@ def messy_frame(spark: SparkSession, folder: str) -> DataFrame:
 def flat_frame(spark: SparkSession, folder: str) -> DataFrame:
     """Cleaning, default element type, time coercion and residual attributes of a flat frame."""
     src = flat.source_events(messy_frame(spark, folder), "events", order_column="__position")
-    return micros(src, "ts").select(
-        "log", "case_id", "src_order", "activity", "ts", "unread_ts", "elem", "participant",
+    return src.select(
+        "log", "case_id", "src_order", "activity", iso_time(F.col("ts")).alias("ts"), "unread_ts", "elem", "participant",
         "from_participant", "to_participant", F.col("residual")["props"].alias("props"),
         F.size("residual").alias("attributes"))
 
@@ -697,5 +703,5 @@ def result_csv(spark: SparkSession, folder: str) -> DataFrame:
     """A result table written as CSV and read back."""
     path = new_folder(spark, "results")
     report = fidelity_consistency(spark, folder)
-    write_csv(report, path)
+    write_csv(report.withColumn("param", F.nullif(F.col("param"), F.lit(""))), path)
     return spark.read.option("header", True).schema(report.schema).csv(path, enforceSchema=False)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -26,6 +27,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, rows: int, rows_per_partition: int = 500_000) -> None:
+    """Raise the number of shuffle partitions so that each starts with a bounded number of rows.
+
+    AQE merges small partitions again but never adds any.
+    """
+    wanted = rows // rows_per_partition + 1
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+
+
+def small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
+    """`df` with a broadcast hint if it has few rows, else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: `spark.checkpoint.dir`, which every executor can reach.
 
