@@ -116,9 +116,9 @@ def equivalence(reference: DataFrame, object_centric: DataFrame,
 
 def _equivalence(reference: DataFrame, object_centric: DataFrame, tasks: list[str],
                  tolerance: float, exact_counts: bool, skew: Skew | None) -> DataFrame:
-    cases = occurrences(reference, object_centric)
     domain = parameter_domain(object_centric)
-    cases = cases.join(domain, ["log", "kind", "param"], "left_semi")
+    cases = materialize(occurrences(reference, object_centric).join(
+        domain, ["log", "kind", "param"], "left_semi"), "parameters")
     ref = all_label_rows(reference, tasks, cases, skew, ["ts", "src_order"])
     obj = all_label_rows(object_centric, tasks, cases, skew)
     sparse = equivalence_summary(align_labels(ref, obj, tolerance, exact_counts))
@@ -189,7 +189,7 @@ def consistency(trace: DataFrame, tasks: Iterable[str] = tuple(CONSISTENCY_TASKS
     """
     tasks = list(tasks)
     domain = parameter_domain(trace)
-    cases = occurrences(trace).join(domain, ["log", "kind", "param"], "left_semi")
+    cases = materialize(occurrences(trace), "parameters")
     sparse = consistency_summary(all_label_rows(trace, tasks, cases, skew))
     every = prefixes(trace, skew).groupBy("log").agg(F.count(F.lit(1)).alias("prefixes"))
     joined = (_asked(domain, every, tasks).join(every, "log")

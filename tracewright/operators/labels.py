@@ -162,22 +162,17 @@ def _participant_load() -> Rule:
                 F.coalesce("_next_own.load", F.lit(0)).cast("double"))
 
 
-def with_receive_time(trace: DataFrame, skew: Skew | None = None) -> DataFrame:
+def with_receive_time(groups: OrderedGroups) -> OrderedGroups:
     """Add `received_ts`: when the event's message is first received in the execution."""
     # Events without a message form groups of their own.
     key = F.coalesce("msg_id", F.concat(F.lit("-"), "event_id"))
-    groups = trace_groups(trace.withColumn("_msg", key), skew, also=["_msg"])
+    messages = groups.with_columns({"_msg": key}).regroup(groups.keys + ["_msg"], groups.order)
     received = F.when(F.col("is_receive") & F.col("msg_id").isNotNull(), F.col("ts"))
-    return groups.scan(received_ts=min_all(received)).df().drop("_msg")
+    return messages.scan(received_ts=min_all(received)).regroup(groups.keys, groups.order)
 
 
-def _prepared(trace: DataFrame, tasks: list[Task], skew: Skew | None) -> DataFrame:
-    keys = {t.key for t in tasks}
-    if "X-PaL" in keys:
-        trace = with_load(trace, skew)
-    if "X-MSt" in keys:
-        trace = with_receive_time(trace, skew)
-    return trace
+def _loaded(trace: DataFrame, tasks: list[Task], skew: Skew | None) -> DataFrame:
+    return with_load(trace, skew) if any(t.key == "X-PaL" for t in tasks) else trace
 
 
 def _require_parameters(tasks: Iterable[Task], **given: object) -> None:
@@ -195,7 +190,7 @@ def label_columns(trace: DataFrame, keys: Iterable[str], participant: str | Colu
     """
     tasks = [task_of(k) if k in TASKS else Task(k, "", "", "") for k in keys]
     _require_parameters(tasks, participant=participant, activity=activity)
-    rows = _prepared(trace, tasks, skew)
+    rows = _loaded(trace, tasks, skew)
     for name, value in ((PARTICIPANT, participant), (ACTIVITY, activity)):
         if value is not None:
             rows = rows.withColumn(name, value if isinstance(value, Column) else F.lit(value))
@@ -211,6 +206,8 @@ def _labelled(groups: OrderedGroups, tasks: list[Task], kept: list[str]) -> Data
     scans: dict[str, Scan] = {"_k": sum_before(F.lit(1)), "_n": sum_all(F.lit(1))}
     for rule in rules.values():
         scans.update(rule.scans)
+    if "X-MSt" in rules:
+        groups = with_receive_time(groups)
     # Prefix k stands before the event that follows it, so the last event is no prefix end.
     k = (F.coalesce(F.col("_k"), F.lit(0)) + 1).cast("int")
     scanned = groups.scan(**scans).with_columns({"k": k}).df().filter(F.col("k") < F.col("_n"))
@@ -274,7 +271,7 @@ def all_label_rows(trace: DataFrame, keys: Iterable[str], domain: DataFrame,
     parts = []
     if plain:
         names = [t.key for t in plain]
-        wide = _labelled(trace_groups(_prepared(trace, plain, skew), skew, order), plain,
+        wide = _labelled(trace_groups(_loaded(trace, plain, skew), skew, order), plain,
                          ["case_id", "event_id"])
         parts.append(long_labels(wide, names))
     if asked:
@@ -297,7 +294,7 @@ def _labels_per_parameter(trace: DataFrame, tasks: list[Task], domain: DataFrame
     # with a shuffle, whose skewed partitions AQE splits.
     if scope == ["log"]:
         pairs = small(pairs)
-    rows = _prepared(trace, tasks, skew).join(pairs, scope)
+    rows = _loaded(trace, tasks, skew).join(pairs, scope)
     groups = trace_groups(rows, skew, order, also=["_slot"])
     wide = _labelled(groups, tasks, ["case_id", "event_id", PARTICIPANT, ACTIVITY])
     params = {t.key: F.col(PARTICIPANT if t.param == "participant" else ACTIVITY) for t in tasks}

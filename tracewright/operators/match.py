@@ -102,12 +102,12 @@ def match_messages(src: DataFrame, skew: Skew | None = None,
     `sent` is set on every send and on every receive that was paired with one.
     """
     ordered = order_events(src, skew)
-    if not has_mixed_cases(src):
-        return _serve_queues(ordered.df(), skew)
     flagged = ordered.scan(**{n: max_all(c) for n, c in _party_flags().items()})
-    flagged = flagged.with_columns({"_mixed": _mixed()}).df()
-    regular = _serve_queues(flagged.filter(~F.col("_mixed")), skew, flagged=True)
-    walked = _walk_waiting_lists(flagged.filter("_mixed"), skew, slice_rows)
+    if not has_mixed_cases(src):
+        return _serve_queues(flagged)
+    flagged = flagged.with_columns({"_mixed": _mixed()})
+    regular = _serve_queues(flagged.apply(lambda df: df.filter(~F.col("_mixed"))))
+    walked = _walk_waiting_lists(flagged.df().filter("_mixed"), skew, slice_rows)
     return regular.unionByName(walked.select(*regular.columns))
 
 
@@ -115,24 +115,18 @@ def _sent() -> Column:
     return F.struct(F.col("event_id"), F.col("participant"), F.col("to_participant"))
 
 
-def _serve_queues(events: DataFrame, skew: Skew | None, flagged: bool = False) -> DataFrame:
-    columns = [c for c in events.columns if not c.startswith("_")]
-    if not flagged:
-        flags = {n: max_all(c) for n, c in _party_flags().items()}
-        events = OrderedGroups(events, CASE, ["idx"], skew).scan(**flags).df()
-
+def _serve_queues(events: OrderedGroups) -> DataFrame:
     from_party = F.when(_is_send(), F.col("participant")).otherwise(F.col("from_participant"))
     step = F.when(_is_send(), 1).when(_is_receive(), -1).otherwise(0).cast("long")
     # At equal times sends come first, so that a receive listed before its send is still served.
-    events = events.withColumns({
+    events = events.with_columns({
         "_from": F.when(_always_known("from") & (_is_send() | _is_receive()), from_party),
         "_to": F.when(_always_known("to"), F.col("to_participant")),
         "_kind": F.when(F.col("ts").isNotNull() & _is_receive(), 1).otherwise(0),
         "_step": step})
 
-    queues = OrderedGroups(events, CASE + ["_from", "_to"], ["ts", "_kind", "idx"], skew, by=CASE)
-    queues = queues.scan(_waiting=sum_before(F.col("_step")),
-                         _sends=sum_before(_is_send().cast("long")))
+    queues = events.regroup(CASE + ["_from", "_to"], ["ts", "_kind", "idx"]).scan(
+        _waiting=sum_before(F.col("_step")), _sends=sum_before(_is_send().cast("long")))
     # `_waiting` falls below every earlier value exactly when a receive finds the queue empty.
     queues = queues.with_columns(
         {"_waiting": F.coalesce(F.col("_waiting"), F.lit(0)) + F.col("_step")})
@@ -148,7 +142,7 @@ def _serve_queues(events: DataFrame, skew: Skew | None, flagged: bool = False) -
     # One send and at most one receive share a rank.
     pair = Window.partitionBy(*CASE, "_from", "_to", "_rank")
     return (ranked.withColumn("sent", F.max(F.when(_is_send(), _sent())).over(pair))
-            .select(*columns, "sent"))
+            .select(*[c for c in ranked.columns if not c.startswith("_")], "sent"))
 
 
 def _walk_waiting_lists(events: DataFrame, skew: Skew | None, slice_rows: int) -> DataFrame:

@@ -91,12 +91,30 @@ class OrderedGroups:
         by = list(by or keys)
         hot = skew.find(df if sizes is None else sizes, by, fanout) if skew else None
         self._plain, self._cut, self._scanned = df, None, False
+        self._by, self._segments = by, hot.segments if hot else 0
         if hot is not None:
-            self._plain, rows = hot.split(df, by)
-            ranges = [F.col(k).asc_nulls_last() for k in self.keys + self.order]
-            cut = rows.repartitionByRange(hot.segments, *ranges)
-            # The partition number is only stable once written.
-            self._cut = materialize(cut.withColumn(SEGMENT, F.spark_partition_id()), "segments")
+            # Both parts read the table, so that what led to it is not computed twice.
+            self._plain, rows = hot.split(materialize(df, "rows"), by)
+            self._cut = self._cut_up(rows)
+
+    def _cut_up(self, rows: DataFrame) -> DataFrame:
+        ranges = [F.col(c).asc_nulls_last() for c in self.keys + self.order]
+        cut = rows.repartitionByRange(self._segments, *ranges)
+        # The partition number is only stable once written.
+        return materialize(cut.withColumn(SEGMENT, F.spark_partition_id()), "segments")
+
+    def regroup(self, keys: list[str], order: list[str]) -> "OrderedGroups":
+        """The same rows in other groups, which must lie inside the old ones' `by` columns.
+
+        Ordinary groups stay on their exchange; only the rows of oversized groups are cut again.
+        """
+        if not set(self._by) <= set(keys):
+            raise ValueError(f"keys must contain {self._by}")
+        other = self._copy(self._plain, None, False)
+        other.keys, other.order = list(keys), list(order)
+        if self._cut is not None:
+            other._cut = other._cut_up(self._cut.drop(SEGMENT))
+        return other
 
     def _copy(self, plain: DataFrame, cut: DataFrame | None, scanned: bool) -> "OrderedGroups":
         other = copy(self)
