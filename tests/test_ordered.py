@@ -71,3 +71,18 @@ def test_one_exchange_for_all_directions(spark):
     plan = O.OrderedGroups(df, ["k"], ["o", "i"]).scan(**scans()).df()._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan =="):]
     assert physical.count("Exchange hashpartitioning") == 1
+
+
+def test_lookups_are_kept_per_kind_of_row(spark):
+    df = spark.createDataFrame([("a", i) for i in range(9)], "k string, i int")
+    skew = forced(df, 5)
+    assert skew.find(df.filter("i < 3"), ["k"], of="cases") is None
+    assert skew.find(df, ["k"]).rows == 9
+
+
+def test_regrouping_needs_the_columns_groups_were_found_by(spark):
+    df = spark.createDataFrame([("a", 1, 2)], "k string, o int, i int")
+    groups = O.OrderedGroups(df, ["k"], ["o"])
+    assert groups.regroup(["k", "i"], ["o"]).keys == ["k", "i"]
+    with pytest.raises(ValueError):
+        groups.regroup(["i"], ["o"])

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import event, frame, same_rows
+from conftest import event, forced, frame, same_rows
 from data import random_rows
 from tracewright.config import LogSpec, SourceColumns
 from tracewright.functions.columns import clean
@@ -146,6 +146,17 @@ def test_documents_round_trip(spark, kept, tmp_path):
     assert documents.document_violations(spark, str(tmp_path)).isEmpty()
 
 
+def test_long_entries_go_on_in_further_ones(spark, kept, tmp_path, monkeypatch):
+    relations, trace = kept
+    monkeypatch.setattr(documents, "EDGES_PER_ENTRY", 2)
+    documents.write_documents(relations, str(tmp_path), skew=forced(relations.events))
+    lines = spark.read.json(f"{tmp_path}/events")
+    assert lines.agg(F.max(F.size("relationships"))).first()[0] == 2 and lines.filter("part > 0").count() > 0
+    back = documents.read_documents(spark, str(tmp_path))
+    same_rows(shown(trace), shown(T.trace_of_relations(back)))
+    same_rows(relations.o2o, back.o2o)
+
+
 DOCUMENT = {
     "eventTypes": [{"name": "a", "attributes": [{"name": "x"}]}],
     "objectTypes": [{"attributes": []}],
@@ -199,8 +210,19 @@ def test_result_csv(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).first()["y"] == "[1,2]"
 
 
-def test_shared_folder_setting(spark, monkeypatch):
-    assert shared_root(spark) == shared_root(spark)
-    monkeypatch.setattr(spark.sparkContext, "master", "yarn")
+class Settings:
+    """A session that knows only what `shared_root` asks for."""
+
+    def __init__(self, folder, master):
+        self.conf = {"spark.checkpoint.dir": folder}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": f"app {master}"})
+
+
+def test_shared_folder_setting(spark):
+    assert shared_root(Settings("hdfs://shared/x/", "yarn")) == "hdfs://shared/x"
+    local = shared_root(Settings(None, "local[4]"))
+    assert local == shared_root(Settings(None, "local[4]"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_root(spark)
+        shared_root(Settings(None, "yarn"))
+    assert materialize(spark.range(3), "numbers").inputFiles()[0].startswith(
+        ("file:" if shared_root(spark).startswith("/") else "") + shared_root(spark))

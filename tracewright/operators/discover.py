@@ -40,7 +40,7 @@ def directly_follows(relations: Relations, skew: Skew | None = None) -> DataFram
     counted once for each object.
     """
     paths = OrderedGroups(object_paths(relations), ["log", "otype", "oid"], ["ts", "eid"], skew,
-                          sizes=relations.e2o)
+                          sizes=relations.e2o, of="edges")
     steps = paths.scan(_next=next_row("activity", "eid")).df().filter(F.col("_next").isNotNull())
     return steps.groupBy(
         "log", "otype", F.col("activity").alias("source"),

@@ -285,7 +285,8 @@ def all_label_rows(trace: DataFrame, keys: Iterable[str], domain: DataFrame,
 def _labels_per_parameter(trace: DataFrame, tasks: list[Task], domain: DataFrame,
                           skew: Skew | None, order: list[str]) -> DataFrame:
     scope = [c for c in ("log", "case_id") if c in domain.columns]
-    numbered = OrderedGroups(domain, scope + ["kind"], ["param"], skew).scan(_at=sum_before(F.lit(1)))
+    numbered = OrderedGroups(domain, scope + ["kind"], ["param"], skew, of="parameters")
+    numbered = numbered.scan(_at=sum_before(F.lit(1)))
     slot = F.coalesce(F.col("_at"), F.lit(0)).cast("long").alias("_slot")
     pairs = numbered.df().select(*scope, "kind", "param", slot).groupBy(*scope, "_slot").agg(
         F.max(F.when(F.col("kind") == "participant", F.col("param"))).alias(PARTICIPANT),

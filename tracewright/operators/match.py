@@ -165,9 +165,10 @@ def _walk_waiting_lists(events: DataFrame, skew: Skew | None, slice_rows: int) -
         rows = messages.filter(F.col("slice") == number)
         if waiting is not None:
             # A slice has at most slice_rows receives, so no more sends of equal parties are needed.
-            parties = Window.partitionBy(*CASE, "sender", "receiver").orderBy("place")
-            front = waiting.withColumn("_nth", F.row_number().over(parties))
-            rows = rows.unionByName(front.filter(F.col("_nth") <= slice_rows).drop("_nth"))
+            parties = OrderedGroups(waiting, CASE + ["sender", "receiver"], ["place"], skew, by=CASE)
+            ranked = parties.scan(_ahead=sum_before(F.lit(1))).df()
+            front = ranked.filter(F.coalesce(F.col("_ahead"), F.lit(0)) < slice_rows)
+            rows = rows.unionByName(front.drop("_ahead"))
         found = rows.groupBy(*CASE).applyInPandas(
             _walk, "log string, case_id string, idx long, partner long")
         found = materialize(found, "pairs") if number < last else found

@@ -82,14 +82,16 @@ class OrderedGroups:
 
     `order` must identify a row inside its group. Oversized groups are looked for by the columns `by`
     (a part of the keys, all of them by default) in `sizes`, a frame that is cheaper to count than
-    `df`; one of its rows stands for at most `fanout` rows of `df`.
+    `df`; one of its rows, an event unless `of` says otherwise, stands for at most `fanout` rows of
+    `df`.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], skew: Skew | None = None,
-                 by: list[str] | None = None, sizes: DataFrame | None = None, fanout: int = 1):
+                 by: list[str] | None = None, sizes: DataFrame | None = None, fanout: int = 1,
+                 of: str = "events"):
         self.keys, self.order = list(keys), list(order)
         by = list(by or keys)
-        hot = skew.find(df if sizes is None else sizes, by, fanout) if skew else None
+        hot = skew.find(df if sizes is None else sizes, by, fanout, of) if skew else None
         self._plain, self._cut, self._scanned = df, None, False
         self._by, self._segments = by, hot.segments if hot else 0
         if hot is not None:

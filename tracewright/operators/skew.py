@@ -44,8 +44,8 @@ class HotGroups:
 class Skew:
     """How many rows of one group a task may hold, and how large the source is.
 
-    One instance belongs to one source. Groups are looked up once per set of key columns, so frames
-    derived from the source must name equal things equally.
+    One instance belongs to one source. Groups are looked up once per set of key columns and kind of
+    row, so frames derived from the source must name equal things equally.
     """
 
     rows: int
@@ -58,17 +58,18 @@ class Skew:
         """Count the source once; for file sources Spark answers from the footers."""
         return cls(rows=source.count(), limit=limit)
 
-    def find(self, df: DataFrame, keys: list[str], fanout: int = 1) -> HotGroups | None:
-        """Groups of `df` by `keys` above the limit, or None.
+    def find(self, df: DataFrame, keys: list[str], fanout: int = 1, of: str = "events"
+             ) -> HotGroups | None:
+        """Groups of `df`, which holds one row per `of`, by `keys` above the limit, or None.
 
         `fanout` bounds how many rows of the frame to be scanned one row of `df` stands for. A source
         no larger than the limit cannot have such a group and costs no job.
         """
         if self.rows * fanout <= self.limit:
             return None
-        if tuple(keys) not in self._found:
-            self._found[tuple(keys)] = self._look_up(df, keys, fanout)
-        return self._found[tuple(keys)]
+        if (of, *keys) not in self._found:
+            self._found[of, *keys] = self._look_up(df, keys, fanout)
+        return self._found[of, *keys]
 
     def _look_up(self, df: DataFrame, keys: list[str], fanout: int) -> HotGroups | None:
         limit = max(self.limit, self.rows * fanout // self.most_segments)

@@ -11,7 +11,7 @@ from tracewright.operators import checks
 from tracewright.operators.mapping import Relations, relations_of, transformation_stats
 from tracewright.operators.match import match_messages
 from tracewright.operators.skew import Skew
-from tracewright.session import materialize, prepare
+from tracewright.session import materialize, prepare, size_shuffles
 from tracewright.sources.documents import document_violations, require_valid, write_documents
 from tracewright.sources.flat import read_logs
 from tracewright.sources.relational import write_relational
@@ -37,8 +37,12 @@ def convert(src: DataFrame, folder: str | None = None, strict: bool = False, val
     """
     spark = prepare(src.sparkSession)
     tell = report or (lambda _name, _df: None)
+    # Text sources are parsed once; this also fixes source positions that come from row ids.
+    src = materialize(src, "source")
+    skew = skew or Skew.of(src)
+    size_shuffles(spark, skew.rows)
     # The four relations and five checks read the matched events many times.
-    matched = materialize(match_messages(src, skew or Skew.of(src)), "matched")
+    matched = materialize(match_messages(src, skew), "matched")
     relations = relations_of(matched, vocabulary)
     tell("stats", transformation_stats(relations, matched, vocabulary))
     verdict = checks.check_report(checks.check_measures(src, relations, vocabulary))
@@ -48,7 +52,7 @@ def convert(src: DataFrame, folder: str | None = None, strict: bool = False, val
     if folder is None:
         return relations
     write_relational(relations, f"{folder}/relational", vocabulary)
-    write_documents(relations, f"{folder}/documents", vocabulary)
+    write_documents(relations, f"{folder}/documents", vocabulary, skew)
     if validate:
         violations = document_violations(spark, f"{folder}/documents")
         tell("violations", violations)

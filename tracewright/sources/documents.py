@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tracewright.config import VOCABULARY, Vocabulary
 from tracewright.functions.columns import iso_time, no_nulls, parse_time
 from tracewright.operators.mapping import Relations
+from tracewright.operators.ordered import OrderedGroups, sum_before
+from tracewright.operators.skew import Skew
 
 # Top-level keys of the JSON standard.
 SECTIONS = ("eventTypes", "objectTypes", "events", "objects")
@@ -21,15 +23,32 @@ SECTIONS = ("eventTypes", "objectTypes", "events", "objects")
 EPOCH = "1970-01-01T00:00:00.000000Z"
 
 
-def _edges(df: DataFrame, owner: str, other: str) -> DataFrame:
-    """Relationships of each event or object as an array; an owner has a handful of them."""
-    edge = F.struct(F.col(other).alias("objectId"), "qualifier")
-    return df.groupBy("log", F.col(owner).alias("id")).agg(
-        F.sort_array(F.collect_list(edge)).alias("relationships"))
+EDGES_PER_ENTRY = 10_000
 
 
-def _no_edges() -> Column:
-    return F.expr("cast(array() as array<struct<objectId:string,qualifier:string>>)")
+def _edges(df: DataFrame, owner: str, other: str, skew: Skew | None) -> DataFrame:
+    """Relationships of each event or object, in arrays of bounded length: (log, id, part, ...)."""
+    edges = OrderedGroups(df.select("log", F.col(owner).alias("id"), F.col(other).alias("objectId"),
+                                    "qualifier"), ["log", "id"], ["objectId", "qualifier"], skew,
+                          of=f"edges of {owner}").scan(_before=sum_before(F.lit(1))).df()
+    part = F.floor(F.coalesce(F.col("_before"), F.lit(0)) / EDGES_PER_ENTRY).cast("int")
+    return edges.groupBy("log", "id", part.alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("objectId", "qualifier"))).alias("relationships"))
+
+
+def _with_edges(entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """Entries with their relationships.
+
+    An entry with more relationships than one line should hold goes on in further entries of the
+    same id, which have a `part` number and no attributes.
+    """
+    none = F.expr("cast(array() as array<struct<objectId:string,qualifier:string>>)")
+    first = F.coalesce(F.col("part"), F.lit(0)) == 0
+    joined = entries.join(edges, ["log", "id"], "left")
+    return joined.withColumns({
+        "relationships": F.coalesce("relationships", none),
+        "attributes": F.when(first, F.col("attributes")).otherwise(F.slice("attributes", 1, 0)),
+        "part": F.when(~first, F.col("part"))})
 
 
 def _attribute_list(attributes: Column) -> Column:
@@ -37,24 +56,23 @@ def _attribute_list(attributes: Column) -> Column:
                        lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
 
 
-def event_documents(relations: Relations, v: Vocabulary = VOCABULARY) -> DataFrame:
+def event_documents(relations: Relations, v: Vocabulary = VOCABULARY, skew: Skew | None = None
+                    ) -> DataFrame:
     attributes = no_nulls(F.map_concat("residual", F.create_map(F.lit(v.elem_type_attr),
                                                                 F.col("elem_type"))))
     events = relations.events.select(
         "log", F.col("eid").alias("id"), F.col("activity").alias("type"),
         iso_time(F.col("ts")).alias("time"), _attribute_list(attributes).alias("attributes"))
-    return events.join(_edges(relations.e2o, "eid", "oid"), ["log", "id"], "left").withColumn(
-        "relationships", F.coalesce("relationships", _no_edges()))
+    return _with_edges(events, _edges(relations.e2o, "eid", "oid", skew))
 
 
-def object_documents(relations: Relations) -> DataFrame:
+def object_documents(relations: Relations, skew: Skew | None = None) -> DataFrame:
     """Objects with static attributes, which carry the epoch as their time."""
     attributes = F.transform(_attribute_list(F.col("attrs")), lambda a: F.struct(
         a["name"].alias("name"), a["value"].alias("value"), F.lit(EPOCH).alias("time")))
     objects = relations.objects.select("log", F.col("oid").alias("id"), F.col("otype").alias("type"),
                                        attributes.alias("attributes"))
-    return objects.join(_edges(relations.o2o, "src_oid", "tgt_oid"), ["log", "id"], "left").withColumn(
-        "relationships", F.coalesce("relationships", _no_edges()))
+    return _with_edges(objects, _edges(relations.o2o, "src_oid", "tgt_oid", skew))
 
 
 def type_documents(df: DataFrame, name: str, attributes: str) -> DataFrame:
@@ -66,25 +84,28 @@ def type_documents(df: DataFrame, name: str, attributes: str) -> DataFrame:
     return keys.groupBy("log", "name").agg(F.sort_array(F.collect_list(one)).alias("attributes"))
 
 
-def document_sections(relations: Relations, v: Vocabulary = VOCABULARY) -> dict[str, DataFrame]:
+def document_sections(relations: Relations, v: Vocabulary = VOCABULARY, skew: Skew | None = None
+                      ) -> dict[str, DataFrame]:
     typed = relations.events.withColumn("_attrs", F.map_concat(
         "residual", F.create_map(F.lit(v.elem_type_attr), F.col("elem_type"))))
     return {"eventTypes": type_documents(typed, "activity", "_attrs"),
             "objectTypes": type_documents(relations.objects, "otype", "attrs"),
-            "events": event_documents(relations, v), "objects": object_documents(relations)}
+            "events": event_documents(relations, v, skew),
+            "objects": object_documents(relations, skew)}
 
 
-def write_documents(relations: Relations, folder: str, v: Vocabulary = VOCABULARY) -> None:
-    for section, df in document_sections(relations, v).items():
+def write_documents(relations: Relations, folder: str, v: Vocabulary = VOCABULARY,
+                    skew: Skew | None = None) -> None:
+    for section, df in document_sections(relations, v, skew).items():
         df.write.mode("overwrite").option("ignoreNullFields", "true").json(f"{folder}/{section}")
 
 
 # --- reading --------------------------------------------------------------------------------------
 
 _REL = "ARRAY<STRUCT<objectId: STRING, qualifier: STRING>>"
-EVENT_SCHEMA = ("log STRING, id STRING, type STRING, time STRING, "
+EVENT_SCHEMA = ("log STRING, id STRING, type STRING, time STRING, part INT, "
                 f"attributes ARRAY<STRUCT<name: STRING, value: STRING>>, relationships {_REL}")
-OBJECT_SCHEMA = ("log STRING, id STRING, type STRING, attributes ARRAY<STRUCT<name: STRING, "
+OBJECT_SCHEMA = ("log STRING, id STRING, type STRING, part INT, attributes ARRAY<STRUCT<name: STRING, "
                  f"value: STRING, time: STRING>>, relationships {_REL}")
 
 
@@ -92,7 +113,9 @@ def _relations(events: DataFrame, objects: DataFrame, v: Vocabulary) -> Relation
     pairs = F.transform(F.coalesce("attributes", F.array()), lambda a: F.struct(
         a["name"].alias("key"), a["value"].alias("value")))
     attributes = F.map_from_entries(pairs)
-    types = objects.select("log", F.col("id").alias("oid"), F.col("type").alias("otype"))
+    # Continued entries only add relationships.
+    heads, object_heads = events.filter(F.col("part").isNull()), objects.filter(F.col("part").isNull())
+    types = object_heads.select("log", F.col("id").alias("oid"), F.col("type").alias("otype"))
     e2o = events.select("log", F.col("id").alias("eid"), F.explode("relationships").alias("r")).select(
         "log", "eid", F.col("r.objectId").alias("oid"), F.col("r.qualifier").alias("qualifier"))
     o2o = objects.select("log", F.col("id").alias("src_oid"), F.explode("relationships").alias("r"))
@@ -106,11 +129,11 @@ def _relations(events: DataFrame, objects: DataFrame, v: Vocabulary) -> Relation
                   F.struct("name", "value")))).alias("attrs")))
     empty = F.expr("cast(map() as map<string,string>)")
     return Relations(
-        events.select("log", F.col("id").alias("eid"), F.col("type").alias("activity"),
-                      parse_time(F.col("time")).alias("ts"),
-                      attributes[v.elem_type_attr].alias("elem_type"),
-                      F.lit(None).cast("long").alias("src_order"),
-                      F.map_filter(attributes, lambda k, _: k != v.elem_type_attr).alias("residual")),
+        heads.select("log", F.col("id").alias("eid"), F.col("type").alias("activity"),
+                     parse_time(F.col("time")).alias("ts"),
+                     attributes[v.elem_type_attr].alias("elem_type"),
+                     F.lit(None).cast("long").alias("src_order"),
+                     F.map_filter(attributes, lambda k, _: k != v.elem_type_attr).alias("residual")),
         types.join(latest, ["log", "oid"], "left").select(
             "log", "oid", "otype", F.coalesce("attrs", empty).alias("attrs")),
         e2o.join(types, ["log", "oid"], "left").select("log", "eid", "oid", "otype", "qualifier"),
