@@ -224,5 +224,4 @@ def test_shared_folder_setting(spark):
     assert local == shared_root(Settings(None, "local[4]"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_root(Settings(None, "yarn"))
-    assert materialize(spark.range(3), "numbers").inputFiles()[0].startswith(
-        ("file:" if shared_root(spark).startswith("/") else "") + shared_root(spark))
+    assert shared_root(spark) in materialize(spark.range(3), "numbers").inputFiles()[0]

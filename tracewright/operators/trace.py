@@ -17,7 +17,8 @@ from tracewright.operators.match import order_events
 from tracewright.operators.ordered import OrderedGroups
 from tracewright.operators.skew import Skew
 
-EXECUTION = ["log", "ci_oid"]
+# The case follows from the instance. Naming it lets windows use an exchange by case as it is.
+EXECUTION = ["log", "case_id", "ci_oid"]
 TRACE_ORDER = ["ts", "event_id"]
 TRACE_COLUMNS = ["log", "ci_oid", "case_id", "event_id", "activity", "ts", "actor", "is_send",
                  "is_receive", "msg_id", "msg_type", "msg_from", "msg_to", "src_order"]
@@ -30,7 +31,8 @@ def trace_groups(trace: DataFrame, skew: Skew | None = None, order: list[str] =
     Pass `["ts", "src_order"]` to break ties by source position instead, and `also` to group inside
     executions by further columns.
     """
-    return OrderedGroups(trace, EXECUTION + (also or []), order, skew, by=EXECUTION, fanout=fanout)
+    return OrderedGroups(trace, EXECUTION + (also or []), order, skew, by=["log", "ci_oid"],
+                          fanout=fanout)
 
 
 def trace_of_matched(matched: DataFrame, v: Vocabulary = VOCABULARY) -> DataFrame:
