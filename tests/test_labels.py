@@ -138,3 +138,11 @@ def test_catalog_subsets():
 def test_relations_give_the_same_trace(spark, sample):
     rows, trace, _ = sample
     same_rows(trace, T.trace_of_relations(transform(frame(spark, rows))))
+
+
+def test_one_exchange_from_source_to_labels(spark, tmp_path):
+    frame(spark, random_rows(1)).write.parquet(str(tmp_path / "src"))
+    trace = T.trace_of_matched(J.match_messages(spark.read.parquet(str(tmp_path / "src"))))
+    wide = L.label_columns(trace, [k for k in TASKS if k != "X-PaL"], "B", "x")
+    plan = wide._jdf.queryExecution().toString()
+    assert plan[plan.index("== Physical Plan =="):].count("Exchange hashpartitioning") == 1
