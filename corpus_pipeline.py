@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import linededup, mixing, packing, quality
+from tracewright.llm import linededup, mixing, neardup, packing, quality
 from tracewright.llm.common import keep
 from tracewright.llm.queries import table, tokenizer_path
 
@@ -30,6 +30,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.withColumn("n_chars", length).select(COLUMNS)
 
 
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup on five-word shingles: one document of each group stays."""
+    return neardup.without_near_duplicates(docs.select(COLUMNS)).select(COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: every source comes near its target; a document comes up to three times."""
     docs = docs.select(COLUMNS)
@@ -42,7 +47,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_classifier", classify), ("line_dedup", dedup_lines), ("mix_sources", mix), ("best_fit_packing", pack)]
+    ("quality_classifier", classify), ("line_dedup", dedup_lines),
+    ("minhash_near_dedup", dedup_documents), ("mix_sources", mix), ("best_fit_packing", pack)]
 
 # Learned scores, signatures and tokenizers are beyond SQL; a brute-force version checks the stages.
 ORACLE_SQL = None

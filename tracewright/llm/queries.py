@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import linededup, mixing, oracles, packing, quality, sharding, tokenstore
+from tracewright.llm import linededup, mixing, neardup, oracles, packing, quality, sharding, tokenstore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select(
@@ -66,7 +71,7 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_mix_sources, op5_line_dedup, op6_feistel_shards, op7_token_store, op8_quality_classifier,
+    op2_mix_sources, op3_near_duplicates, op5_line_dedup, op6_feistel_shards, op7_token_store, op8_quality_classifier,
     op9_pack_sequences)}
 
 
