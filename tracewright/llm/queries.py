@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import linededup, mixing, neardup, oracles, packing, quality, sharding, tokenstore
+from tracewright.llm import (ann, linededup, mixing, neardup, oracles, packing, quality, sharding,
+                             tokenstore, vafile)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +38,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select(
@@ -70,9 +75,13 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_mix_sources, op3_near_duplicates, op5_line_dedup, op6_feistel_shards, op7_token_store, op8_quality_classifier,
-    op9_pack_sequences)}
+    op2_mix_sources, op3_near_duplicates, op4_va_file, op5_line_dedup, op6_feistel_shards, op7_token_store, op8_quality_classifier,
+    op9_pack_sequences, op10_posting_lists)}
 
 
 def registered() -> dict[str, Query]:
