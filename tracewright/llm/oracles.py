@@ -66,5 +66,36 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+CALLS = """
+WITH c AS (
+  SELECT conv_id, turn, text, 'call-' || turn AS call_id, conv_id % 10 AS kind,
+         ['search', 'quote', 'paint'][1 + CAST((conv_id + turn) % 3 AS INTEGER)] AS name FROM conversations
+  WHERE role = 'user'),
+n AS (SELECT *, CASE WHEN kind = 3 OR (kind = 7 AND turn < 2) THEN turn + 2 WHEN turn >= 2 THEN turn - 2 END AS need
+      FROM c),
+g AS (SELECT n.*, n.need IS NOT NULL AND o.turn IS NULL AS missing,
+             n.kind = 7 AND min(n.turn) OVER (PARTITION BY n.conv_id) < 2
+               AND count(*) OVER (PARTITION BY n.conv_id) > 1 AS cyclic
+      FROM n LEFT JOIN c AS o ON o.conv_id = n.conv_id AND o.turn = n.need),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN kind = 3 THEN -turn ELSE turn END) - 1 AS seq,
+             CASE name WHEN 'search' THEN CAST(length(text) < 60 AS INTEGER) + CAST(length(text) > 300 AS INTEGER)
+                       WHEN 'quote' THEN CAST(length(text) > 250 AS INTEGER) ELSE 1 END
+             + CAST(missing AS INTEGER) + CAST(cyclic AS INTEGER) AS n_errors FROM g),
+r AS (SELECT conv_id, turn, text, 'call-' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'),
+j AS (SELECT coalesce(s.conv_id, r.conv_id) AS conv_id, s.seq, coalesce(s.call_id, r.call_id) AS call_id, s.name,
+             CASE WHEN s.turn IS NULL THEN 'unasked' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+             s.turn AS call_position, r.turn AS result_position, s.text AS query, r.text AS result,
+             coalesce(s.n_errors, 0) AS n_errors
+      FROM s FULL JOIN r ON s.conv_id = r.conv_id AND s.call_id = r.call_id)
+SELECT conv_id, seq, call_id, name, status, call_position, result_position, n_errors = 0 AS valid,
+       CAST(n_errors AS BIGINT) AS n_errors,
+       sha256('{"arguments":' || CASE WHEN status = 'unasked' THEN 'null' ELSE '{"limit":' || length(query)
+              || ',"query":' || CAST(to_json(query) AS VARCHAR) || ',"turn":' || call_position || '}' END
+              || ',"call_id":"' || call_id || '","name":' || coalesce('"' || name || '"', 'null') || ',"result":'
+              || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || ',"status":"' || status || '"}') AS message_sha256
+FROM j
+"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op2_mix_sources": MIX, "op4_va_file": TOP_K, "op5_line_dedup": LINES}
+    return {"op1_tool_calls": CALLS, "op2_mix_sources": MIX, "op4_va_file": TOP_K, "op5_line_dedup": LINES}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import (ann, linededup, mixing, neardup, oracles, packing, quality, sharding,
+from tracewright.llm import (ann, chat, linededup, mixing, neardup, oracles, packing, quality, sharding,
                              tokenstore, vafile)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Tools that the derived calls name; texts of the tables meet and break these rules.
+TOOLS = {
+    "search": {"type": "object", "required": ["query", "limit"], "additionalProperties": False,
+               "properties": {"query": {"type": "string", "minLength": 60}, "turn": {"type": "integer"},
+                              "limit": {"type": "integer", "minimum": 0, "maximum": 300}}},
+    "quote": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string", "maxLength": 250}}},
+}
+
+
+def derived_calls(turns: DataFrame) -> DataFrame:
+    """Every user turn as a call of one of three tools, one of them unknown. A call depends on the user
+    turn before; in a tenth of the conversations on the one after, in another the first two on each other."""
+    turn, kind = F.col("turn"), F.pmod("conv_id", F.lit(10))
+    call = lambda t: F.concat(F.lit("call-"), t.cast("string"))
+    need = (F.when(kind == 3, F.array(call(turn + 2)))
+            .when((kind == 7) & (turn < 2), F.array(call(turn + 2)))
+            .when(turn >= 2, F.array(call(turn - 2))).otherwise(F.array().cast("array<string>")))
+    name = F.element_at(F.array(F.lit("search"), F.lit("quote"), F.lit("paint")),
+                        (F.pmod(F.col("conv_id") + turn, F.lit(3)) + 1).cast("int"))
+    arguments = F.to_json(F.struct(turn, F.col("text").alias("query"), F.char_length("text").alias("limit")))
+    return (turns.filter("role = 'user'")
+            .select("conv_id", turn.alias("position"), call(turn).alias("call_id"), name.alias("name"),
+                    arguments.alias("arguments"), need.alias("depends_on")))
+
+
+def derived_results(turns: DataFrame) -> DataFrame:
+    """Every assistant turn as the result of the call before it."""
+    call = F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string"))
+    return turns.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("position"),
+                                                     call.alias("call_id"), F.col("text").alias("content"))
+
+
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    linked = chat.link_calls(derived_calls(turns), derived_results(turns), TOOLS)
+    return linked.select("conv_id", "seq", "call_id", "name", "status", "call_position", "result_position",
+                         "valid", F.size("errors").cast("long").alias("n_errors"),
+                         F.sha2("message", 256).alias("message_sha256"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -80,7 +120,7 @@ def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_mix_sources, op3_near_duplicates, op4_va_file, op5_line_dedup, op6_feistel_shards, op7_token_store, op8_quality_classifier,
+    op1_tool_calls, op2_mix_sources, op3_near_duplicates, op4_va_file, op5_line_dedup, op6_feistel_shards, op7_token_store, op8_quality_classifier,
     op9_pack_sequences, op10_posting_lists)}
 
 
