@@ -101,8 +101,7 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = tokenstore.store_folder(docs)
     tokenstore.write_store(docs, folder, tokenizer_path("word_bpe_49k.json"), end_id=1)
-    return tokenstore.read_documents(spark, folder).select(
-        "doc_id", "start", "n_tokens", tokenstore.ids_crc32(F.col("ids")).alias("ids_crc32"))
+    return tokenstore.read_documents(spark, folder, digest_only=True)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

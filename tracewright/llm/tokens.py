@@ -14,7 +14,6 @@ import re
 import struct
 from collections.abc import Iterator
 
-import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
@@ -58,14 +57,18 @@ class Encoder:
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(spec)
         # A special token's string inside a text is ordinary text, not a control token.
         self.tokenizer.encode_special_tokens = True
         self.by_piece = _cuts_are_safe(spec)
         self.known: dict[str, bytes] = {}
-        zero = self.tokenizer.encode("0", add_special_tokens=False).ids
-        self.divider = zero[0] if len(zero) == 1 else None
+        # How the byte-level step writes the characters of runs; words also lose their space and case.
+        self.words = self.by_piece and json.loads(spec)["normalizer"] is not None
+        step = ByteLevel(add_prefix_space=False, use_regex=False)
+        runs = [chr(c) for c in range(0x20, 0x100) if RUN.fullmatch(chr(c))]
+        self.letters = {ord(c): step.pre_tokenize_str(c)[0][0] for c in [" ", *runs]}
 
     @classmethod
     def of(cls, spec: str) -> "Encoder":
@@ -79,24 +82,21 @@ class Encoder:
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
 
     def _learn(self, new: list[str]) -> None:
-        """Encode new pieces. Runs of letters or marks go many at a time, parted by the digit 0."""
-        runs = [piece for piece in new if RUN.fullmatch(piece)] if self.divider is not None else []
+        """Encode new pieces. A run of letters or marks is one pre-token and goes to the model directly."""
+        runs = [piece for piece in new if RUN.fullmatch(piece)]
         rest = list(set(new).difference(runs))
         self.known.update(zip(rest, self._library(rest)))
-        groups = [runs[i:i + 1000] for i in range(0, len(runs), 1000)]
-        found = self.tokenizer.encode_batch_fast(["0".join(g) for g in groups], add_special_tokens=False)
-        for group, encoding in zip(groups, found):
-            ids = np.array(encoding.ids, "<u4")
-            ends = (np.flatnonzero(ids == self.divider) * 4).tolist() + [len(ids) * 4]
-            data = ids.tobytes()
-            starts = [0] + [end + 4 for end in ends[:-1]]
-            self.known.update(zip(group, [data[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+        tokenize, letters, known = self.tokenizer.model.tokenize, self.letters, self.known
+        for piece in runs:
+            plain = piece.lstrip(" ").lower() if self.words else piece
+            ids = [token.id for token in tokenize(plain.translate(letters))]
+            known[piece] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._library(texts)
         cut = [PIECES.findall(text) for text in texts]
-        new = list(set().union(*cut) - self.known.keys())
+        new = list(set().union(*cut).difference(self.known))
         if len(self.known) + len(new) > MOST_PIECES:
             self.known = {}
             new = list(set().union(*cut))

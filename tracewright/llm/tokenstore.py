@@ -17,14 +17,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.tokens import Encoder, share_tokenizer
+from tracewright.session import new_folder
 
 SEGMENT_BYTES = 4_000_000
 SEGMENTS = ("part long, seq long, before long, doc_ids array<long>, counts array<long>, "
@@ -161,8 +163,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/index")
 
 
-def _decode(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids of the frames at `places` (null: all) of each row of `wanted`."""
+def _decode(spark: SparkSession, path: str, wanted: DataFrame, digest_only: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ids of the frames at `places` (null: all) of each row."""
     head = spark.read.parquet(f"{path}/dictionary").first()
     dictionary, digest, width = bytes(head["dictionary"]), head["hash"], head["width"]
     if hashlib.sha256(dictionary).hexdigest() != digest:
@@ -182,15 +184,18 @@ def _decode(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
                                          f"<u{width}").astype("<u4").tobytes() for i in some]
                     names = [None if pd.isna(row.doc_ids[i]) else int(row.doc_ids[i]) for i in some]
                     yield pd.DataFrame({"doc_id": pd.array(names, "Int64"), "start": [starts[i] for i in some],
-                                        "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
+                                        "n_tokens": [len(x) // 4 for x in ids], "ids_crc32": [crc32(x) for x in ids]}
+                                       | ({} if digest_only else {"ids": ids}))
 
-    return wanted.mapInPandas(decoded, "doc_id long, start long, n_tokens long, ids binary")
+    return wanted.mapInPandas(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long"
+                                       + ("" if digest_only else ", ids binary"))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of a store: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
+def read_documents(spark: SparkSession, path: str, digest_only: bool = False) -> DataFrame:
+    """Every document of a store: doc_id, start, n_tokens, ids_crc32 and, unless `digest_only`, ids (both
+    over little-endian unsigned 32-bit integers)."""
     whole = _segments(spark, path).join(_parts(spark, path), "part")
-    return _decode(spark, path, whole.withColumn("places", F.lit(None).cast("array<long>")))
+    return _decode(spark, path, whole.withColumn("places", F.lit(None).cast("array<long>")), digest_only)
 
 
 def read_some(wanted: DataFrame, path: str) -> DataFrame:
@@ -204,11 +209,5 @@ def read_some(wanted: DataFrame, path: str) -> DataFrame:
     return _decode(spark, path, segments)
 
 
-def ids_crc32(ids: Column) -> Column:
-    return F.crc32(ids)
-
-
 def store_folder(docs: DataFrame) -> str:
-    from tracewright.session import new_folder
-
     return new_folder(docs.sparkSession, "token-store")
