@@ -7,9 +7,9 @@ and confirmed links give connected components.
 
 A bucket of m classes is not expanded into its m * m pairs. First each class is confirmed against the
 leader of its buckets that it shares most buckets with, which connects nearly all that belongs together.
-Only classes of one bucket in different components are then compared by signature, in blocks of
-bounded size; of those that might reach the threshold, the likeliest per class and component are
-confirmed first, then more, in the end all that still join different components.
+Only classes of one bucket in different components are then compared, in blocks of bounded size: by
+signature first, and where that leaves room for the threshold on the full sets, inside the task. A
+pair is skipped once its two components are connected, and only links leave the task.
 """
 
 from __future__ import annotations
@@ -30,8 +30,6 @@ from tracewright.llm.components import connected_components
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BLOCK = 1024
-# Likeliest candidates confirmed per class and other component, round by round; None: all.
-ROUNDS = (1, 16, None)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _words: dict[bytes, int] = {}
 
@@ -129,15 +127,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep_row = []
-            for left, right in zip(batch["left"], batch["right"]):
-                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep_row.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep_row.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.loc[keep_row, ["a", "b"]]
+            same = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+                    for x, y in zip(batch["left"], batch["right"])]
+            yield batch.loc[same, ["a", "b"]]
 
     left = sets.select(F.col("cls").alias("_a"), F.col("items").alias("left"))
     right = sets.select(F.col("cls").alias("_b"), F.col("items").alias("right"))
@@ -170,70 +162,93 @@ def _agreement(signatures: np.ndarray) -> np.ndarray:
     return total
 
 
-def _likely(group: pd.DataFrame, least: int, top: int | None) -> pd.DataFrame | None:
-    """Pairs of one bucket's block pair that may reach the threshold and join different components.
-
-    A pair in several common buckets counts in the first of them only. It is attributed to the side with
-    fewer classes of its component here, and `top` limits the pairs per class there and component.
-    """
-    cls, comp, block = (group[c].to_numpy() for c in ("cls", "comp", "block"))
+def _likely(group: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one cell that may reach the threshold and join different components, likeliest
+    first. A pair in several common buckets counts in the first of them only."""
+    comp, block = group["comp"].to_numpy(), group["block"].to_numpy()
     signatures = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(-1, HASHES)
-    first, second = int(group["bi"].iloc[0]), int(group["bj"].iloc[0])
     differ = np.triu(comp[:, None] != comp, 1)
-    if first != second:
+    if group["bi"].iloc[0] != group["bj"].iloc[0]:
         differ &= block[:, None] != block
     if not differ.any():
-        return None
-    x, y = np.nonzero(differ & (_agreement(signatures) >= least))
+        return np.empty(0, int), np.empty(0, int)
+    agreement = _agreement(signatures)
+    x, y = np.nonzero(differ & (agreement >= least))
     keys = band_keys(signatures)
     band = int(np.flatnonzero(keys[0] == group["bucket"].iloc[0])[0])
-    own = ~(keys[x, :band] == keys[y, :band]).any(1)
-    x, y = x[own], y[own]
-    if not len(x):
-        return None
-    names, place, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-    weight = np.stack([sizes[place], comp], 1)
-    swap = (weight[x, 0] > weight[y, 0]) | ((weight[x, 0] == weight[y, 0]) & (weight[x, 1] > weight[y, 1]))
-    x, y = np.where(swap, y, x), np.where(swap, x, y)
-    out = pd.DataFrame({"a": cls[x], "b": cls[y], "to": comp[y], "score": (signatures[x] == signatures[y]).sum(1)})
-    if top is not None:
-        out = out.sort_values(["a", "to", "score", "b"], ascending=[True, True, False, True])
-        out = out[out.groupby(["a", "to"]).cumcount() < top]
-    return pd.DataFrame({"a": out[["a", "b"]].max(1), "b": out[["a", "b"]].min(1)})
-
-
-def _cross_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame | None, least: int, top: int | None
+    first = ~(keys[x, :band] == keys[y, :band]).any(1)
+    x, y = x[first], y[first]
+    order = np.argsort(-agreement[x, y].astype(int), kind="stable")
+    return x[order], y[order]
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _links(group: pd.DataFrame, least: int, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links of one cell, as many as it takes to connect its components."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            root[c] = root.get(root[c], root[c])
+            c = root[c]
+        return c
+
+    cls, comp = group["cls"].tolist(), group["comp"].tolist()
+    sets = [np.frombuffer(items, np.uint64) for items in group["items"]]
+    out = []
+    for i, j in zip(*(side.tolist() for side in _likely(group, least))):
+        a, b = find(comp[i]), find(comp[j])
+        if a != b and _alike(sets[i], sets[j], percent):
+            root[a] = b
+            out.append((cls[i], cls[j]))
+    return out
+
+
+def _cross_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataFrame, least: int, percent: int
                  ) -> DataFrame | None:
-    """Likely pairs of classes in one bucket and different components; None without such buckets."""
-    rows = shared.select("bucket", "cls")
-    if labels is None:
-        rows = rows.withColumn("comp", F.col("cls"))
-    else:
-        rows = (rows.join(labels, F.col("cls") == F.col("node"), "left")
-                .select("bucket", "cls", F.coalesce("label", "cls").alias("comp")))
-    rows = keep(rows, "bucket-rows")
+    """Links between classes of one bucket and different components; None without such buckets.
+
+    A bucket of m classes is cut into m / BLOCK + 1 blocks; every pair of blocks is a cell, so that no
+    task holds more than about 2 * BLOCK classes of a bucket at a time.
+    """
+    rows = keep(shared.join(labels, F.col("cls") == F.col("node"), "left")
+                .select("bucket", "cls", F.coalesce("label", "cls").alias("comp")), "bucket-rows")
     mixed = keep(rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                             F.count(F.lit(1)).alias("m"))
                  .filter("lo <> hi").select(F.col("bucket").alias("_bucket"), F.expr(f"m div {BLOCK} + 1").alias("nb")),
                  "mixed-buckets")
     if mixed.isEmpty():
         return None
-    block = F.pmod(F.xxhash64("cls"), F.col("nb"))
     dealt = (rows.join(mixed, F.col("bucket") == F.col("_bucket"))
-             .withColumn("block", block)
+             .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")))
              .join(classes.select(F.col("cls").alias("_cls"), "signature"), F.col("cls") == F.col("_cls"))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
              .select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
                      "block", "cls", "comp", "signature"))
     cell = ["bucket", "bi", "bj"]
 
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _whole_groups(batches, cell):
+            if len(group) > 1:
+                x, y = _likely(group, least)
+                if len(x):
+                    yield group.iloc[np.unique(np.concatenate([x, y]))]
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _whole_groups(batches, cell):
-            found = _likely(group, least, top) if len(group) > 1 else None
-            if found is not None:
-                yield found
+            found = _links(group, least, percent)
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
 
-    return (dealt.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(compared, "a long, b long").distinct())
+    few = dealt.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(promising, dealt.schema)
+    few = keep(few, "promising").join(sets.withColumnRenamed("cls", "_set"), F.col("cls") == F.col("_set")).drop("_set")
+    return few.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -261,20 +276,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         near = shared.select(F.col("cls").alias("_near")).distinct()
         sets = keep(_full_sets(docs, classes.join(near, F.col("cls") == F.col("_near")), words), "full-sets")
         often = shared.filter("cls <> leader").groupBy("cls", "leader").agg(F.count(F.lit(1)).alias("times"))
-        tested = keep(often.groupBy(F.col("cls").alias("a")).agg(F.max_by("leader", F.struct(
-            "times", -F.col("leader"))).alias("b")), "pairs")
-        labels = keep(connected_components(_confirmed(tested, sets, percent)), "labels")
-        for top in ROUNDS:
-            pairs = _cross_pairs(shared, classes, labels, least, top)
-            if pairs is None:
-                break
-            pairs = keep(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            if pairs.isEmpty():
-                if top is None:
-                    break
-                continue
-            labels = keep(_joined(labels, keep(_confirmed(pairs, sets, percent), "links")), "labels")
-            tested = keep(tested.select("a", "b").union(pairs), "tested")
+        pairs = often.groupBy(F.col("cls").alias("a")).agg(
+            F.max_by("leader", F.struct("times", -F.col("leader"))).alias("b"))
+        labels = keep(connected_components(_confirmed(pairs, sets, percent)), "labels")
+        links = _cross_links(shared, classes, sets, labels, least, percent)
+        if links is not None:
+            labels = keep(_joined(labels, keep(links, "links")), "labels")
     return _result(signed, classes, labels)
 
 
