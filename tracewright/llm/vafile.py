@@ -37,6 +37,8 @@ def scaled(x: np.ndarray, scale: float) -> np.ndarray:
 
 def exact_scores(query: np.ndarray, vectors: np.ndarray) -> list[int]:
     """Integer inner products without rounding; beyond the bounds of a long they stop there."""
+    if not query.any():
+        return [0] * len(vectors)
     if np.abs(query).max() * np.abs(vectors).max(initial=0) * len(query) < 2.0 ** 62:
         return (vectors.astype(np.int64) @ query.astype(np.int64)).tolist()
     own = [int(x) for x in query]
@@ -145,8 +147,9 @@ def search(vectors: DataFrame, is_query: str, k: int, scale: float = 64.0, sampl
                 # Sums of doubles may be off in their last places; the slack is far beyond that.
                 slack = 1e-12 * (np.abs(query) @ np.maximum(np.abs(low), np.abs(high)).T)
                 own_row = query_ids[:, None] == ids
-                below = np.where(own_row, -np.inf, signs @ np.hstack([low, high]).T - slack)
-                above = np.where(own_row, -np.inf, signs @ np.hstack([high, low]).T + slack)
+                below = np.clip(signs @ np.hstack([low, high]).T - slack, -(2.0 ** 63), 2.0 ** 63)
+                above = np.clip(signs @ np.hstack([high, low]).T + slack, -(2.0 ** 63), 2.0 ** 63)
+                below[own_row] = above[own_row] = -np.inf
                 yield query_ids, ids, below, above
 
     def thresholds(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
