@@ -30,6 +30,7 @@ from tracewright.llm.components import connected_components
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BLOCK = 1024
+MOST_WORDS = 100_000       # words whose hashes a worker process remembers
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _words: dict[bytes, int] = {}
 
@@ -49,7 +50,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     found = (text or "").encode().lower().split()      # on bytes: A-Z, and the six white-space characters
     if not found:
         return np.empty(0, np.uint64)
-    if len(_words) > 1_000_000:
+    if len(_words) > MOST_WORDS:
         _words.clear()
     for word in set(found).difference(_words):
         _words[word] = xxhash.xxh64_intdigest(word)
@@ -96,6 +97,7 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "signature"])
             out.insert(0, "doc_id", pd.array([None if pd.isna(i) else int(i) for i in batch["doc_id"]], "Int64"))
             yield out
+        _words.clear()      # worker processes outlive their tasks
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInPandas(signed, "doc_id long, n_shingles long, set_key binary, signature binary")

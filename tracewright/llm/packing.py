@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import keep
-from tracewright.llm.tokens import Encoder, share_tokenizer
+from tracewright.llm.tokens import MOST_PIECES, Encoder, share_tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
 PLACE_BITS = 44
@@ -109,7 +109,7 @@ def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, remember: int) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32; `part` and `nth` number the
     pieces of a length within a task, which is sound once the result is written."""
     spec = share_tokenizer(docs.sparkSession, tokenizer)
@@ -120,7 +120,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
         for batch in batches:
             names = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
             rows, place = [], 0
-            for group in Encoder.of(spec.value).batches(batch["text"].tolist()):
+            for group in Encoder.of(spec.value).batches(batch["text"].tolist(), remember=remember):
                 for ids in group:
                     ids += end
                     total = len(ids) // 4
@@ -135,14 +135,16 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
     return texts.mapInPandas(cut, PIECES)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024,
+                   remember: int = MOST_PIECES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     docs: doc_id (integer), text; further columns are ignored. Null texts count as empty: one piece with
     the end id alone. Repeated rows are packed as often as they come; a null doc_id stays null. An empty
-    table gives an empty result.
+    table gives an empty result. `remember` bounds the word pieces a worker process keeps: fewer take
+    less memory and more time.
     """
-    pieces = keep(cut_pieces(docs, tokenizer, end_id, capacity), "pieces")
+    pieces = keep(cut_pieces(docs, tokenizer, end_id, capacity, remember), "pieces")
     counts = keep(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     # At most `capacity` rows come to the driver.
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

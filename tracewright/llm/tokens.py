@@ -92,25 +92,26 @@ class Encoder:
             ids = [token.id for token in tokenize(plain.translate(letters))]
             known[piece] = struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], remember: int = MOST_PIECES) -> list[bytes]:
         if not self.by_piece:
             return self._library(texts)
         cut = [PIECES.findall(text) for text in texts]
         new = list(set().union(*cut).difference(self.known))
-        if len(self.known) + len(new) > MOST_PIECES:
+        if len(self.known) + len(new) > remember:
             self.known = {}
             new = list(set().union(*cut))
         self._learn(new)
         known = self.known.__getitem__
         return [b"".join(map(known, pieces)) for pieces in cut]
 
-    def batches(self, texts: list[str], most_chars: int = 1_000_000) -> Iterator[list[bytes]]:
+    def batches(self, texts: list[str], most_chars: int = 500_000, remember: int = MOST_PIECES
+                ) -> Iterator[list[bytes]]:
         """`encode` over runs of texts of about `most_chars`, so that pieces in hand stay few."""
         start = size = 0
         for i, text in enumerate(texts):
             size += len(text)
             if size >= most_chars:
-                yield self.encode(texts[start:i + 1])
+                yield self.encode(texts[start:i + 1], remember)
                 start, size = i + 1, 0
         if start < len(texts):
-            yield self.encode(texts[start:])
+            yield self.encode(texts[start:], remember)
