@@ -41,18 +41,24 @@ paths AS (SELECT r.log, r.otype, r.oid, e.event_id AS eid, e.activity,
 
 VIOLATIONS = """
 bad AS (
-  SELECT 'events' AS section, 'events[' || event_id || ']' AS path, 'missing required ''time''' AS message
+  SELECT 'events' AS section, 'events[' || event_id || ']' AS path, 'absent: time' AS message
     FROM ev WHERE event_id LIKE '%3'
   UNION ALL
   SELECT 'events', 'events[' || eid || '].relationships[' ||
          (row_number() OVER (PARTITION BY eid ORDER BY oid, qualifier) - 1) || ']',
-         'needs objectId+qualifier' FROM e2o WHERE eid LIKE '%8'
+         'absent: qualifier' FROM e2o WHERE eid LIKE '%8'
   UNION ALL
   SELECT 'objects', 'objects[' || oid || '].attributes[' ||
-         (row_number() OVER (PARTITION BY oid ORDER BY name) - 1) || ']', 'value must be a string'
+         (row_number() OVER (PARTITION BY oid ORDER BY name) - 1) || ']', 'not text: value'
     FROM (UNPIVOT (SELECT oid, case_attr AS "caseId", name_attr AS "name", participant_attr AS "participant",
                           sender, receiver FROM objects)
           ON "caseId", "name", "participant", sender, receiver INTO NAME name VALUE value)
+  UNION ALL
+  SELECT 'events', 'events[' || length(event_id) || ']' || place, message FROM ev,
+    (VALUES ('', 'not text: id'), ('', 'no date and time: time'), ('.attributes[0]', 'absent: name'),
+            ('', 'not a list: relationships')) AS rules(place, message) WHERE event_id LIKE '%7'
+  UNION ALL
+  SELECT DISTINCT 'eventTypes', 'eventTypes[' || activity || '-bare]', 'absent: attributes' FROM ev
 )"""
 
 

@@ -21,8 +21,8 @@ def measures(objects: str, e2o: str, o2o: str) -> str:
         return f"SELECT 'events' AS log, '{check}' AS \"check\", '{measure}' AS measure, " \
                f"CAST(({value}) AS BIGINT) AS value"
 
-    p11, p12, p13 = "P1.1 Totality", "P1.2 Per-case partition", "P1.3 Message well-formedness"
-    p14, p15 = "P1.4 Local-case coherence", "P1.5 No orphan objects"
+    p11, p12, p13 = "every event is mapped", "one instance per case", "messages have both ends"
+    p14, p15 = "local cases fit together", "objects are related"
     within = f"(SELECT oid, count(DISTINCT eid) AS c FROM {e2o} WHERE qualifier = 'within' GROUP BY oid)"
     messages = f"(SELECT * FROM {objects} WHERE otype = 'Message')"
 

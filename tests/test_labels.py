@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import brute
 from conftest import at, event, forced, frame, same_rows
 from data import random_rows
-from tracewright.catalog import CONSISTENCY_TASKS, EQUIVALENCE_TASKS, REPRESENTATIVE_TASKS, TASKS
+from tracewright.catalog import EXTENDED_TASKS, COMPARED_TASKS, REPRESENTATIVE_TASKS, TASKS
 from tracewright.operators import labels as L
 from tracewright.operators import match as J
 from tracewright.operators import trace as T
@@ -131,8 +131,8 @@ def test_load_counts_closed_spans_of_other_cases_only(spark):
 
 
 def test_catalog_subsets():
-    assert len(TASKS) == 16 and len(EQUIVALENCE_TASKS) == 14
-    assert CONSISTENCY_TASKS == ["X-PaL", "X-MSt"] and len(REPRESENTATIVE_TASKS) == 6
+    assert len(TASKS) == 16 and len(COMPARED_TASKS) == 14
+    assert EXTENDED_TASKS == ["X-PaL", "X-MSt"] and len(REPRESENTATIVE_TASKS) == 6
 
 
 def test_relations_give_the_same_trace(spark, sample):

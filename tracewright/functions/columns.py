@@ -26,6 +26,17 @@ def seconds_between(start: Column, end: Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6)
 
 
+def without_keys(attributes: Column | str, *names: str) -> Column:
+    """A map without some keys, before entries of these names are added."""
+    return F.map_filter(attributes, lambda k, _: ~k.isin(*names))
+
+
+def last_wins(pairs: Column, key: str) -> Column:
+    """Entries whose key does not come again later in the array."""
+    return F.filter(pairs, lambda pair, i: ~F.exists(
+        F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda later: later[key] == pair[key]))
+
+
 def iso_time(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 

@@ -16,11 +16,11 @@ from tracewright.config import VOCABULARY, Vocabulary
 from tracewright.functions.columns import instance_id, participant_id
 from tracewright.operators.mapping import Relations
 
-TOTALITY = "P1.1 Totality"
-PARTITION = "P1.2 Per-case partition"
-MESSAGES = "P1.3 Message well-formedness"
-LOCAL_CASES = "P1.4 Local-case coherence"
-ORPHANS = "P1.5 No orphan objects"
+TOTALITY = "every event is mapped"
+PARTITION = "one instance per case"
+MESSAGES = "messages have both ends"
+LOCAL_CASES = "local cases fit together"
+ORPHANS = "objects are related"
 
 # Measures that are informative; all others count violations.
 INFORMATIVE = ("source_events", "ocel_events", "source_timestamps", "ocel_timestamps",

@@ -42,8 +42,15 @@ def directly_follows(relations: Relations, skew: Skew | None = None) -> DataFram
     paths = OrderedGroups(object_paths(relations), ["log", "otype", "oid"], ["ts", "eid"], skew,
                           sizes=relations.e2o, of="edges")
     steps = paths.scan(_next=next_row("activity", "eid")).df().filter(F.col("_next").isNotNull())
-    return steps.groupBy(
-        "log", "otype", F.col("activity").alias("source"),
-        F.col("_next.activity").alias("target")).agg(
-        F.count_distinct("eid", "_next.eid").alias("event_couples"),
-        F.count_distinct("oid").alias("unique_objects"), F.count(F.lit(1)).alias("total_objects"))
+    pair = ["log", "otype", "source", "target"]
+    steps = steps.select("log", "otype", F.col("activity").alias("source"),
+                         F.col("_next.activity").alias("target"), "eid", F.col("_next.eid").alias("to"), "oid")
+    # Couples and objects are made distinct one after the other; two distinct counts in one
+    # aggregation would hold every step three times.
+    couples = (steps.groupBy(*pair, "eid", "to").agg(F.count(F.lit(1)).alias("n")).groupBy(*pair)
+               .agg(F.count(F.lit(1)).alias("event_couples"), F.sum("n").alias("total_objects")))
+    objects = (steps.groupBy(*pair, "oid").agg(F.lit(1).alias("one")).groupBy(*pair)
+               .agg(F.count(F.lit(1)).alias("unique_objects")))
+    same = [couples[c].eqNullSafe(objects[c]) for c in pair]
+    return couples.join(objects, same).select(*[couples[c] for c in pair], "event_couples", "unique_objects",
+                                              "total_objects")

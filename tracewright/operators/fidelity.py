@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.catalog import CONSISTENCY_TASKS, EQUIVALENCE_TASKS, TASKS, catalog_frame
+from tracewright.catalog import COMPARED_TASKS, EXTENDED_TASKS, TASKS, catalog_frame
 from tracewright.operators.labels import all_label_rows, parameter_domain
 from tracewright.operators.skew import Skew
 from tracewright.operators.trace import trace_groups
@@ -103,7 +103,7 @@ def occurrences(*traces: DataFrame) -> DataFrame:
 
 
 def equivalence(reference: DataFrame, object_centric: DataFrame,
-                tasks: Iterable[str] = tuple(EQUIVALENCE_TASKS), tolerance: float = 1.0,
+                tasks: Iterable[str] = tuple(COMPARED_TASKS), tolerance: float = 1.0,
                 exact_counts: bool = False, skew: Skew | None = None) -> DataFrame:
     """Compare the labels of two traces for every task and parameter value.
 
@@ -181,7 +181,7 @@ def _with_verdict(counts: DataFrame) -> DataFrame:
                                "well_defined": F.col("ill_defined") == 0})
 
 
-def consistency(trace: DataFrame, tasks: Iterable[str] = tuple(CONSISTENCY_TASKS),
+def consistency(trace: DataFrame, tasks: Iterable[str] = tuple(EXTENDED_TASKS),
                 skew: Skew | None = None) -> DataFrame:
     """Consistency of the object-only targets for every parameter value.
 
@@ -206,7 +206,7 @@ def fidelity_report(reference: DataFrame, object_centric: DataFrame, tolerance:
                     skew: Skew | None = None) -> DataFrame:
     """Both comparisons in one table, in the published result layout."""
     object_centric = materialize(object_centric, "trace")
-    equal = _equivalence(reference, object_centric, EQUIVALENCE_TASKS, tolerance, False, skew)
+    equal = _equivalence(reference, object_centric, COMPARED_TASKS, tolerance, False, skew)
     defined = consistency(object_centric, skew=skew)
     return (equal.withColumn("check", F.lit("equivalence"))
             .unionByName(defined.withColumn("check", F.lit("internal_consistency")),

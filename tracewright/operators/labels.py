@@ -7,7 +7,7 @@ window exchange; scans wanted by several rules are computed once. An undefined l
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -296,7 +296,10 @@ def _labels_per_parameter(trace: DataFrame, tasks: list[Task], domain: DataFrame
     if scope == ["log"]:
         pairs = small(pairs)
     rows = _loaded(trace, tasks, skew).join(pairs, scope)
-    groups = trace_groups(rows, skew, order, also=["_slot"])
+    # Rows are counted with their repeats: a window may hold all parameters of an execution.
+    most = pairs.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] if skew else 1
+    sized = replace(skew, rows=skew.rows * (most or 1)) if skew else None
+    groups = trace_groups(rows, sized, order, also=["_slot"], of="events by parameter")
     wide = _labelled(groups, tasks, ["case_id", "event_id", PARTICIPANT, ACTIVITY])
     params = {t.key: F.col(PARTICIPANT if t.param == "participant" else ACTIVITY) for t in tasks}
     return long_labels(wide, [t.key for t in tasks], params).filter(F.col("param").isNotNull())

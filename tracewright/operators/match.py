@@ -37,7 +37,7 @@ SLICE_ROWS = 200_000  # messages of one case walked by one task
 def order_events(src: DataFrame, skew: Skew | None = None) -> OrderedGroups:
     """Events with their position in the case (time, then source order) and a minted id.
 
-    Events without a case cannot be placed and are left out; check P1.1 reports them.
+    Events without a case cannot be placed and are left out; the check of totality reports them.
     """
     placed = src.filter(F.col("case_id").isNotNull())
     groups = OrderedGroups(placed, CASE, ["ts", "src_order"], skew)

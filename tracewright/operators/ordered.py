@@ -178,8 +178,9 @@ class OrderedGroups:
 
         local = cut.select("*", *[self._over(s, parts, self.order).alias(n)
                                   for n, s in scans.items() if s.span != "all"])
-        # One row per segment and group; Skew bounds the number of segments.
-        joined = local.join(F.broadcast(carried), same)
+        # One row per segment and group. Groups may be as many as rows, so nothing is promised about
+        # the size: the join shuffles by group and segment unless Spark sees that one side is small.
+        joined = local.join(carried, same)
 
         def combined(name: str, scan: Scan) -> Column:
             carry, own = F.col(f"_c_{name}"), F.col(name)

@@ -25,14 +25,14 @@ TRACE_COLUMNS = ["log", "ci_oid", "case_id", "event_id", "activity", "ts", "acto
 
 
 def trace_groups(trace: DataFrame, skew: Skew | None = None, order: list[str] = TRACE_ORDER,
-                 fanout: int = 1, also: list[str] | None = None) -> OrderedGroups:
+                 fanout: int = 1, also: list[str] | None = None, of: str = "events") -> OrderedGroups:
     """Executions in trace order: by time, then by event id as text (`e::c::10` before `e::c::2`).
 
     Pass `["ts", "src_order"]` to break ties by source position instead, and `also` to group inside
     executions by further columns.
     """
     return OrderedGroups(trace, EXECUTION + (also or []), order, skew, by=["log", "ci_oid"],
-                          fanout=fanout)
+                          fanout=fanout, of=of)
 
 
 def trace_of_matched(matched: DataFrame, v: Vocabulary = VOCABULARY) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.catalog import EQUIVALENCE_TASKS, TASKS
+from tracewright.catalog import COMPARED_TASKS, TASKS
 from tracewright.config import VOCABULARY as V
 from tracewright.config import Experiment, SourceColumns
 from tracewright.functions.columns import iso_time
@@ -105,7 +105,7 @@ def labels_orders_wide(spark: SparkSession, folder: str) -> DataFrame:
 def labels_source_wide(spark: SparkSession, folder: str) -> DataFrame:
     """The fourteen targets of plain event logs from source columns, ties in source order."""
     src, skew = orders_source(spark, folder)
-    wide = L.label_columns(T.source_trace(src), EQUIVALENCE_TASKS, "S0", "N", skew, ["ts", "src_order"])
+    wide = L.label_columns(T.source_trace(src), COMPARED_TASKS, "S0", "N", skew, ["ts", "src_order"])
     return wide.drop("log", "event_id")
 
 
@@ -462,9 +462,9 @@ def majority_baseline(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("fold_summary")
 def fold_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Spread of the baseline scores over the folds."""
+    """Spread over the folds of the baseline and of a score that differs from it by the fold's number."""
     rows, skew = labelled(spark, folder)
-    scores = E.baselines(rows, 5, skew).withColumn("score", F.col("baseline"))
+    scores = E.baselines(rows, 5, skew).withColumn("score", 2 * F.col("baseline") + F.col("fold"))
     found = folds.fold_summary(scores)
     return found.select("task", "folds", *[F.round(c, 6).alias(c)
                                            for c in ("metric_mean", "metric_sd", "baseline_mean")])
@@ -692,6 +692,13 @@ def json_violations(spark: SparkSession, folder: str) -> DataFrame:
             r["objectId"].alias("objectId"),
             F.when(~F.col("id").endswith("8"), r["qualifier"]).alias("qualifier")))})
     e.write.option("ignoreNullFields", "true").json(f"{path}/events")
+    # Entries that break the rules on types, names, times and lists.
+    rough = e.filter(F.col("id").endswith("7")).select(F.format_string(
+        '{"id": %d, "type": "a", "time": "soon", "attributes": [{"value": "v"}], "relationships": "none"}',
+        F.length("id")))
+    rough.write.mode("append").text(f"{path}/events")
+    bare = sections["eventTypes"].select(F.to_json(F.struct(F.concat("name", F.lit("-bare")).alias("name"))))
+    bare.distinct().write.mode("append").text(f"{path}/eventTypes")
     o = sections["objects"].withColumn("attributes", F.transform("attributes", lambda a: F.struct(
         a["name"].alias("name"), F.length(a["value"]).alias("value"), a["time"].alias("time"))))
     o.write.json(f"{path}/objects")

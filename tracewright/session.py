@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MOST_PARTITIONS = 20_000
 _local_roots: dict[str, str] = {}
 
 # Runtime settings the operators rely on. AQE splits skewed join partitions, also where the
@@ -30,9 +31,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 def size_shuffles(spark: SparkSession, rows: int, rows_per_partition: int = 500_000) -> None:
     """Raise the number of shuffle partitions so that each starts with a bounded number of rows.
 
-    AQE merges small partitions again but never adds any.
+    AQE merges small partitions again but never adds any. Beyond `MOST_PARTITIONS` partitions grow
+    instead, since every map task writes a block for each of them.
     """
-    wanted = rows // rows_per_partition + 1
+    wanted = min(rows // rows_per_partition + 1, MOST_PARTITIONS)
     if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
         spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.config import VOCABULARY, Vocabulary
-from tracewright.functions.columns import iso_time, no_nulls, parse_time
+from tracewright.functions.columns import iso_time, last_wins, no_nulls, parse_time, without_keys
 from tracewright.operators.mapping import Relations
 from tracewright.operators.ordered import OrderedGroups, sum_before
 from tracewright.operators.skew import Skew
@@ -58,8 +58,8 @@ def _attribute_list(attributes: Column) -> Column:
 
 def event_documents(relations: Relations, v: Vocabulary = VOCABULARY, skew: Skew | None = None
                     ) -> DataFrame:
-    attributes = no_nulls(F.map_concat("residual", F.create_map(F.lit(v.elem_type_attr),
-                                                                F.col("elem_type"))))
+    attributes = no_nulls(F.map_concat(without_keys("residual", v.elem_type_attr), F.create_map(
+        F.lit(v.elem_type_attr), F.col("elem_type"))))
     events = relations.events.select(
         "log", F.col("eid").alias("id"), F.col("activity").alias("type"),
         iso_time(F.col("ts")).alias("time"), _attribute_list(attributes).alias("attributes"))
@@ -87,7 +87,7 @@ def type_documents(df: DataFrame, name: str, attributes: str) -> DataFrame:
 def document_sections(relations: Relations, v: Vocabulary = VOCABULARY, skew: Skew | None = None
                       ) -> dict[str, DataFrame]:
     typed = relations.events.withColumn("_attrs", F.map_concat(
-        "residual", F.create_map(F.lit(v.elem_type_attr), F.col("elem_type"))))
+        without_keys("residual", v.elem_type_attr), F.create_map(F.lit(v.elem_type_attr), F.col("elem_type"))))
     return {"eventTypes": type_documents(typed, "activity", "_attrs"),
             "objectTypes": type_documents(relations.objects, "otype", "attrs"),
             "events": event_documents(relations, v, skew),
@@ -112,7 +112,7 @@ OBJECT_SCHEMA = ("log STRING, id STRING, type STRING, part INT, attributes ARRAY
 def _relations(events: DataFrame, objects: DataFrame, v: Vocabulary) -> Relations:
     pairs = F.transform(F.coalesce("attributes", F.array()), lambda a: F.struct(
         a["name"].alias("key"), a["value"].alias("value")))
-    attributes = F.map_from_entries(pairs)
+    attributes = F.map_from_entries(last_wins(pairs, "key"))
     # Continued entries only add relationships.
     heads, object_heads = events.filter(F.col("part").isNull()), objects.filter(F.col("part").isNull())
     types = object_heads.select("log", F.col("id").alias("oid"), F.col("type").alias("otype"))
@@ -142,19 +142,20 @@ def _relations(events: DataFrame, objects: DataFrame, v: Vocabulary) -> Relation
 
 
 def read_documents(spark: SparkSession, folder: str, v: Vocabulary = VOCABULARY) -> Relations:
-    """Relations of a folder written by `write_documents`."""
-    return _relations(spark.read.schema(EVENT_SCHEMA).json(f"{folder}/events"),
-                      spark.read.schema(OBJECT_SCHEMA).json(f"{folder}/objects"), v)
+    """Relations of a folder written by `write_documents`. Lines that are cut off fail the read."""
+    strict = {"mode": "FAILFAST"}
+    return _relations(spark.read.options(**strict).schema(EVENT_SCHEMA).json(f"{folder}/events"),
+                      spark.read.options(**strict).schema(OBJECT_SCHEMA).json(f"{folder}/objects"), v)
 
 
 def read_single_document(spark: SparkSession, path: str, log: str, v: Vocabulary = VOCABULARY
                          ) -> Relations:
-    """Relations of a single JSON document of the standard."""
+    """Relations of a single JSON document of the standard, which is the work of one task."""
     def section(name: str, schema: str) -> DataFrame:
         fields = spark.createDataFrame([], schema).schema
         inner = [f for f in fields if f.name != "log"]
         struct = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in inner)
-        read = spark.read.option("multiLine", True).schema(f"{name} ARRAY<STRUCT<{struct}>>").json(path)
+        read = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(f"{name} ARRAY<STRUCT<{struct}>>").json(path)
         return read.select(F.explode(name).alias("x")).select(F.lit(log).alias("log"), "x.*")
 
     return _relations(section("events", EVENT_SCHEMA), section("objects", OBJECT_SCHEMA), v)
@@ -185,39 +186,37 @@ def _is_text(value: Column) -> Column:
 
 def _entry_problems(section: str) -> Column:
     """Violations of one entry, as an array of (path, message)."""
-    at = F.col("_path")
-    found: list[Column] = []
-    required = {"eventTypes": ("name",), "objectTypes": ("name",),
-                "events": ("id", "type", "time"), "objects": ("id", "type")}[section]
-    for key in required:
-        found.append(_problem(F.col(key).isNull(), at, f"missing required '{key}'"))
-    top = F.filter(F.array(*found), lambda p: p.isNotNull())
-
-    def nested(name: str, rules) -> Column:
-        entries = F.coalesce(F.col(name), F.array())
-        per_entry = F.transform(entries, lambda x, i: F.array(*rules(
-            x, F.concat(at, F.lit(f".{name}["), i.cast("string"), F.lit("]")))))
-        return F.filter(F.flatten(per_entry), lambda p: p.isNotNull())
-
-    def type_rules(a: Column, path: Column) -> list[Column]:
-        return [_problem(a["name"].isNull() | a["type"].isNull(), path, "needs name+type")]
-
-    def event_rules(a: Column, path: Column) -> list[Column]:
-        return [_problem(~_is_text(a["value"]), path, "value must be a string")]
-
-    def object_rules(a: Column, path: Column) -> list[Column]:
-        missing = [_problem(a[k].isNull(), path, f"missing '{k}'") for k in ("name", "value", "time")]
-        wrong = a["value"].isNotNull() & ~_is_text(a["value"])
-        return [*missing, _problem(wrong, path, "value must be a string")]
-
-    def edge_rules(r: Column, path: Column) -> list[Column]:
-        return [_problem(r["objectId"].isNull() | r["qualifier"].isNull(), path,
-                         "needs objectId+qualifier")]
-
-    if section in ("eventTypes", "objectTypes"):
-        return F.concat(top, nested("attributes", type_rules))
-    rules = event_rules if section == "events" else object_rules
-    return F.concat(top, nested("attributes", rules), nested("relationships", edge_rules))
+    at, typed = F.col("_path"), section.endswith("Types")
+    # Keys that the standard asks for.
+    required = {"eventTypes": ("name",), "objectTypes": ("name",), "events": ("id", "type", "time"),
+                "objects": ("id", "type")}[section]
+    inner = ("name", "type") if typed else ("name", "value") if section == "events" else ("name", "value", "time")
+
+    def texts(value, keys: tuple[str, ...], path: Column) -> list[Column]:
+        found = [_problem(value(k).isNull(), path, f"absent: {k}") for k in keys]
+        found += [_problem(value(k).isNotNull() & ~_is_text(value(k)), path, f"not text: {k}") for k in keys]
+        if "time" in keys:
+            written = F.try_variant_get(value("time"), "$", "string")
+            readable = F.coalesce(written.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"), F.lit(False))
+            found.append(_problem(_is_text(value("time")) & ~(readable & parse_time(written).isNotNull()), path,
+                                  "no date and time: time"))
+        return found
+
+    def nested(name: str, keys: tuple[str, ...]) -> Column:
+        per_entry = F.transform(F.coalesce(F.col(name), F.array()), lambda x, i: F.array(*texts(
+            lambda k: x[k], keys, F.concat(at, F.lit(f".{name}["), i.cast("string"), F.lit("]")))))
+        return F.flatten(per_entry)
+
+    lists = {"attributes": inner} | ({} if typed else {"relationships": ("objectId", "qualifier")})
+    top = texts(F.col, required, at)
+    for name in lists:
+        kind = F.schema_of_variant(F.try_variant_get("_whole", f"$.{name}", "variant"))
+        top.append(_problem(kind.isNotNull() & ~kind.startswith("ARRAY"), at, f"not a list: {name}"))
+    if typed:
+        top.append(_problem(F.col("attributes").isNull() & F.try_variant_get(
+            "_whole", "$.attributes", "variant").isNull(), at, "absent: attributes"))
+    found = [F.array(*top), *[nested(name, keys) for name, keys in lists.items()]]
+    return F.filter(F.concat(*found), lambda p: p.isNotNull())
 
 
 def _violations(df: DataFrame, section: str) -> DataFrame:
@@ -233,7 +232,8 @@ def document_violations(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
     for section in SECTIONS:
         lines = spark.read.text(f"{folder}/{section}")
-        entry = lines.select(F.from_json("value", _FORM[section]).alias("e")).select("e.*")
+        entry = lines.select(F.from_json("value", _FORM[section]).alias("e"),
+                             F.try_parse_json("value").alias("_whole")).select("e.*", "_whole")
         label = F.col("name" if section.endswith("Types") else "id")
         name = F.coalesce(F.try_variant_get(label, "$", "string"), F.lit("?"))
         parts.append(_violations(entry.withColumn("_path", F.concat(
@@ -251,13 +251,13 @@ def single_document_violations(spark: SparkSession, path: str) -> DataFrame:
         form = F.schema_of_variant(whole)
         parts.append(document.select(F.lit(section).alias("section"), F.when(
             whole.isNull(), F.struct(F.lit("$").alias("path"), F.lit(
-                f"missing required top-level key '{section}'").alias("message"))).when(
+                f"absent: {section}").alias("message"))).when(
             ~form.startswith("ARRAY"), F.struct(F.lit("$").alias("path"), F.lit(
-                f"top-level '{section}' must be an array").alias("message"))).alias("p"))
+                f"not a list: {section}").alias("message"))).alias("p"))
             .filter(F.col("p").isNotNull()).select("section", "p.*"))
         entries = text.select(F.from_json("value", f"{section} ARRAY<STRUCT<{_FORM[section]}>>")
                               .alias("d")).select(F.posexplode(f"d.{section}").alias("i", "e"))
-        located = entries.select("e.*", F.concat(F.lit(f"{section}["), F.col("i").cast("string"),
+        located = entries.select("e.*", F.lit(None).cast("variant").alias("_whole"), F.concat(F.lit(f"{section}["), F.col("i").cast("string"),
                                                  F.lit("]")).alias("_path"))
         parts.append(_violations(located, section))
     return reduce(lambda a, b: a.unionByName(b), parts)

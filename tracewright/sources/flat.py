@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewright.config import VOCABULARY, LogSpec, SourceColumns, Vocabulary
 from tracewright.functions.columns import clean, columns_to_map, parse_time
+from tracewright.session import materialize
 
 
 def require_columns(df: DataFrame, names: SourceColumns = SourceColumns()) -> None:
@@ -41,7 +42,8 @@ def source_events(df: DataFrame, log: str, names: SourceColumns = SourceColumns(
     raw_ts = F.col(f"`{names.timestamp}`")
     is_text = dict(df.dtypes)[names.timestamp] == "string"
     rest = [c for c in df.columns
-            if c not in names.consumed and c != order_column and not c.startswith("__")]
+            if c not in names.consumed and c not in (order_column, vocabulary.elem_type_attr)
+            and not c.startswith("__")]
     ts = parse_time(raw_ts) if is_text else raw_ts.cast("timestamp")
     position = F.col(order_column) if order_column else F.monotonically_increasing_id()
     return df.select(
@@ -66,15 +68,16 @@ def unreadable_times(df: DataFrame, names: SourceColumns = SourceColumns()) -> D
 
 def read_logs(specs: Iterable[LogSpec], reader: Callable[[LogSpec], DataFrame]
               ) -> tuple[DataFrame | None, list[dict[str, str]]]:
-    """All readable logs as one frame, and one error row for each log that cannot be opened.
+    """All readable logs as one frame, and one error row for each log that cannot be read.
 
-    Every operator carries the `log` column, so one job handles all logs.
+    Every log is read and written once, so that a file which breaks half-way is found here and stops no
+    other log. Every operator carries the `log` column, so one job handles all logs from then on.
     """
     frames, errors = [], []
     for spec in specs:
         try:
-            frames.append(reader(spec))
-        except Exception as problem:  # a log that cannot be opened must not stop the others
+            frames.append(materialize(reader(spec), "log"))
+        except Exception as problem:  # a log that cannot be read must not stop the others
             errors.append({"log": spec.name, "error": str(problem)})
     union = reduce(lambda a, b: a.unionByName(b), frames) if frames else None
     return union, errors

@@ -9,12 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.config import VOCABULARY, Vocabulary
-from tracewright.functions.columns import columns_to_map, iso_time, no_nulls, parse_time
+from tracewright.functions.columns import columns_to_map, iso_time, no_nulls, parse_time, without_keys
 from tracewright.operators.attributes import latest_attributes
 from tracewright.operators.mapping import Relations
 
-MOST_TYPES = 10_000  # types or attribute names of a log, which become tables or columns
-
 # Column names of the relational standard.
 EVENT_CORE = ["ocel_id", "ocel_time"]
 OBJECT_CORE = ["ocel_id", "ocel_time", "ocel_changed_field"]
@@ -32,9 +30,7 @@ def strip_prefix(df: DataFrame, prefix: str) -> DataFrame:
 
 def _few(df: DataFrame, column: str) -> list[str]:
     """Distinct values of a metadata column."""
-    rows = df.select(column).distinct().limit(MOST_TYPES + 1).collect()
-    if len(rows) > MOST_TYPES:
-        raise ValueError(f"more than {MOST_TYPES} values of {column}")
+    rows = df.select(column).distinct().collect()
     return sorted(r[0] for r in rows if r[0] is not None)
 
 
@@ -128,7 +124,7 @@ def write_relational(relations: Relations, folder: str, v: Vocabulary = VOCABULA
     details = events.select(
         "log", F.col("eid").alias("ocel_id"), iso_time(F.col("ts")).alias("ocel_time"),
         table_name("activity").alias("ocel_type_map"),
-        no_nulls(F.map_concat("residual", F.create_map(
+        no_nulls(F.map_concat(without_keys("residual", v.elem_type_attr, "src_order"), F.create_map(
             F.lit(v.elem_type_attr), F.col("elem_type"),
             F.lit("src_order"), F.col("src_order").cast("string")))).alias("_attrs"))
     by_type(_wide(details), "event_by_type")

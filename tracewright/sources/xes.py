@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.config import VOCABULARY, SourceColumns, Vocabulary
-from tracewright.functions.columns import clean, parse_time
+from tracewright.functions.columns import clean, last_wins, parse_time
 
 _PAIRS = "ARRAY<STRUCT<_key: STRING, _value: STRING>>"
 # Element names of typed attributes in the event-log standard.
@@ -17,12 +17,11 @@ TRACE_SCHEMA = (", ".join(f"`{name}` {_PAIRS}" for name in ATTRIBUTE_ELEMENTS)
 
 
 def _attributes(parent: str | None = None) -> Column:
-    """All typed attributes of an element as one map of texts."""
+    """All typed attributes of an element, as (key, value) texts."""
     lists = [F.coalesce(F.col(f"{parent}.{name}" if parent else f"`{name}`"),
                         F.expr("cast(array() as array<struct<_key:string,_value:string>>)"))
              for name in ATTRIBUTE_ELEMENTS]
-    pairs = F.filter(F.concat(*lists), lambda a: a["_key"].isNotNull())
-    return F.map_from_entries(pairs)
+    return F.filter(F.concat(*lists), lambda a: a["_key"].isNotNull())
 
 
 def read_event_log(spark: SparkSession, path: str, log: str, names: SourceColumns = SourceColumns(),
@@ -30,17 +29,20 @@ def read_event_log(spark: SparkSession, path: str, log: str, names: SourceColumn
     """Source events of one file or folder.
 
     Attributes of the trace take part as `case:<key>`; what the configuration does not name becomes
-    residual. The source position follows Spark's row ids, which rise along the file.
+    residual. Of attributes that repeat a key the last one counts. The source position follows
+    Spark's row ids, which rise along the file. A file that is not well-formed fails the read.
     """
     traces = (spark.read.format("xml").option("rowTag", "trace").option("encoding", encoding)
-              .schema(TRACE_SCHEMA).load(path))
-    case_attrs = F.transform_keys(_attributes(), lambda k, _: F.concat(F.lit("case:"), k))
+              .option("mode", "FAILFAST").schema(TRACE_SCHEMA).load(path))
+    case_attrs = F.transform(_attributes(), lambda a: F.named_struct(
+        F.lit("_key"), F.concat(F.lit("case:"), a["_key"]), F.lit("_value"), a["_value"]))
     events = traces.select(case_attrs.alias("_case"), F.explode("event").alias("_event"))
     rows = events.select(F.monotonically_increasing_id().alias("src_order"),
-                         F.map_concat("_case", _attributes("_event")).alias("_all"))
+                         F.concat("_case", _attributes("_event")).alias("_pairs"))
+    rows = rows.select("src_order", F.map_from_entries(last_wins(F.col("_pairs"), "_key")).alias("_all"))
     value = F.col("_all")
     ts = parse_time(value[names.timestamp])
-    consumed = F.array(*[F.lit(c) for c in sorted(names.consumed)])
+    consumed = F.array(*[F.lit(c) for c in sorted(names.consumed | {vocabulary.elem_type_attr})])
     residual = F.map_filter(value, lambda k, v: ~F.array_contains(consumed, k) & v.isNotNull())
     return rows.select(
         F.lit(log).alias("log"), value[names.case].alias("case_id"), "src_order",
