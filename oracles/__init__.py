@@ -2,6 +2,7 @@
 
 from oracles import evaluation, labels, model, quality
 from tracewright.catalog import TASKS
+from tracewright.plans.queries import SEGMENTED
 
 
 def all_oracles() -> dict[str, str]:
@@ -10,4 +11,5 @@ def all_oracles() -> dict[str, str]:
     sql["labels_orders_wide"] = labels.wide("S0", "N")
     sql["labels_source_wide"] = labels.source_wide("S0", "N")
     sql["labels_every_parameter"] = labels.every_parameter(["P0", "P1", "P2", "P3"], ["purchase"])
-    return {**sql, **model.oracles(), **quality.oracles(), **evaluation.oracles()}
+    sql = {**sql, **model.oracles(), **quality.oracles(), **evaluation.oracles()}
+    return sql | {f"{name}_segmented": sql[name] for name in SEGMENTED}

@@ -11,9 +11,11 @@ sys.path.insert(0, str(ROOT))
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 import __spark_entry__ as registry  # noqa: E402
+from oracles import all_oracles  # noqa: E402
 from tools.compare import TABLES, normal  # noqa: E402
+from tracewright.plans.queries import registered  # noqa: E402
 
-ORACLES = registry.oracle_sql()
+ORACLES = all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -36,4 +38,5 @@ def test_query(spark, database, name):
 
 
 def test_all_but_learners_have_sql():
-    assert set(registry.queries()) - set(ORACLES) == {"cv_linear", "cv_forest"}
+    assert set(registered()) - set(ORACLES) == {"cv_linear", "cv_forest"}
+    assert set(registered()) <= set(registry.queries()) and set(ORACLES) <= set(registry.oracle_sql())
