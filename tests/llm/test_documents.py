@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from conftest import ODD, documents
+from llm_cases import ODD, documents, folder  # noqa: F401
 from tracewright.llm import linededup, mixing, packing, quality, queries, sharding, tokenstore
 from tracewright.llm.tokens import Encoder
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from conftest import ODD, documents
+from llm_cases import ODD, documents
 from tracewright.llm import chat, neardup, queries
 from tracewright.llm.components import connected_components
 

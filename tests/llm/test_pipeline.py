@@ -7,6 +7,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline as pipeline
+from llm_cases import folder  # noqa: F401
 from tracewright.llm import mixing, queries
 from tracewright.llm.quality import score_documents
 
@@ -73,7 +74,7 @@ def test_run(spark, folder):
 
 def test_odd_rows(spark, folder):
     """Nulls, empty and very long texts, repeated rows and an empty table pass all stages."""
-    from conftest import ODD, documents
+    from llm_cases import ODD, documents
 
     for rows in (ODD + ODD, []):
         docs = documents(spark, rows)

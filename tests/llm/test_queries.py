@@ -5,6 +5,8 @@ from pathlib import Path
 
 import pytest
 
+from llm_cases import folder  # noqa: F401
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import __spark_entry__ as registry

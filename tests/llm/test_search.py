@@ -6,6 +6,8 @@ import random
 import numpy as np
 import pytest
 
+from llm_cases import folder  # noqa: F401
+
 from tracewright.llm import ann, queries, vafile
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score int, data string, dim string, list string"
