@@ -178,8 +178,9 @@ def _likely(group: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     x, y = np.nonzero(differ & (agreement >= least))
     keys = band_keys(signatures)
     band = int(np.flatnonzero(keys[0] == group["bucket"].iloc[0])[0])
-    first = ~(keys[x, :band] == keys[y, :band]).any(1)
-    x, y = x[first], y[first]
+    for earlier in range(band):
+        first = keys[x, earlier] != keys[y, earlier]
+        x, y = x[first], y[first]
     order = np.argsort(-agreement[x, y].astype(int), kind="stable")
     return x[order], y[order]
 
@@ -204,11 +205,13 @@ def _links(group: pd.DataFrame, least: int, percent: int) -> list[tuple[int, int
     cls, comp = group["cls"].tolist(), group["comp"].tolist()
     sets = [np.frombuffer(items, np.uint64) for items in group["items"]]
     out = []
-    for i, j in zip(*(side.tolist() for side in _likely(group, least))):
-        a, b = find(comp[i]), find(comp[j])
-        if a != b and _alike(sets[i], sets[j], percent):
-            root[a] = b
-            out.append((cls[i], cls[j]))
+    x, y = _likely(group, least)
+    for start in range(0, len(x), 10_000):
+        for i, j in zip(x[start:start + 10_000].tolist(), y[start:start + 10_000].tolist()):
+            a, b = find(comp[i]), find(comp[j])
+            if a != b and _alike(sets[i], sets[j], percent):
+                root[a] = b
+                out.append((cls[i], cls[j]))
     return out
 
 
