@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.catalog import COMPARED_TASKS, EXTENDED_TASKS, TASKS, catalog_frame
-from tracewright.operators.labels import all_label_rows, parameter_domain
+from tracewright.operators.labels import (ACTIVITY, PARTICIPANT, all_label_rows, label_columns, parameter_domain,
+                                           parameter_of, wide_per_parameter)
 from tracewright.operators.skew import Skew
 from tracewright.operators.trace import trace_groups
 from tracewright.operators.ordered import sum_all, sum_before
@@ -22,6 +23,18 @@ from tracewright.session import materialize
 ALIGNED = ["log", "task", "param", "case_id", "k"]
 
 
+def values_equal(key: str, ref: Column, obj: Column, tolerance: float, exact_counts: bool = False) -> Column:
+    """Do two labels of one task agree? Numeric labels may differ by the tolerance.
+
+    Counts use the tolerance as well unless `exact_counts` asks for equality.
+    """
+    if TASKS[key].kind != "numeric":
+        return ref.eqNullSafe(obj)
+    exact = exact_counts and TASKS[key].problem_type == TASKS["NV-NMPr"].problem_type
+    near = ref == obj if exact else F.abs(ref - obj) <= F.lit(tolerance)
+    return F.coalesce(near, ref.isNull() & obj.isNull())
+
+
 def label_equal(kind: Column, problem_type: Column, tolerance: float,
                 exact_counts: bool = False) -> Column:
     """Do `ref_*` and `obj_*` values agree? Numeric labels may differ by the tolerance.
@@ -116,25 +129,58 @@ def equivalence(reference: DataFrame, object_centric: DataFrame,
 
 def _equivalence(reference: DataFrame, object_centric: DataFrame, tasks: list[str],
                  tolerance: float, exact_counts: bool, skew: Skew | None) -> DataFrame:
+    reference = materialize(reference, "reference")
     domain = parameter_domain(object_centric)
     cases = materialize(occurrences(reference, object_centric).join(
         domain, ["log", "kind", "param"], "left_semi"), "parameters")
-    ref = all_label_rows(reference, tasks, cases, skew, ["ts", "src_order"])
-    obj = all_label_rows(object_centric, tasks, cases, skew)
-    sparse = equivalence_summary(align_labels(ref, obj, tolerance, exact_counts))
-
-    every = _side_counts(prefixes(reference, skew, ["ts", "src_order"]),
-                         prefixes(object_centric, skew))
+    plain = [t for t in tasks if not TASKS[t].param]
+    asked = [t for t in tasks if TASKS[t].param]
+    source_order = ["ts", "src_order"]
+    # Labels of a prefix stay side by side: sources are joined once for all tasks, and only counts
+    # are unpivoted.
+    every = materialize(_compare(
+        label_columns(reference, plain, skew=skew, order=source_order),
+        label_columns(object_centric, plain, skew=skew), ["log", "case_id", "k"], "full_outer",
+        ["log"], plain, tolerance, exact_counts), "plain-counts")
+    found = [_unpivot(every, {t: F.lit("") for t in plain})] if plain else []
+    if asked:
+        pairs = _compare(
+            wide_per_parameter(reference, asked, cases, skew, source_order),
+            wide_per_parameter(object_centric, asked, cases, skew),
+            ["log", "case_id", "_slot", "k"], "inner", ["log", PARTICIPANT, ACTIVITY], asked, tolerance,
+            exact_counts)
+        found.append(_unpivot(pairs, {t: parameter_of(t) for t in asked}))
+    sparse = found[0]
+    for part in found[1:]:
+        sparse = sparse.unionByName(part)
     return _fill(sparse, every, domain, tasks)
 
 
-def _side_counts(reference: DataFrame, object_centric: DataFrame) -> DataFrame:
-    both = reference.withColumn("in_ref", F.lit(True)).join(
-        object_centric.withColumn("in_obj", F.lit(True)), ["log", "case_id", "k"], "full_outer")
-    return both.groupBy("log").agg(
-        F.count_if(F.col("in_ref").isNotNull() & F.col("in_obj").isNotNull()).alias("all_aligned"),
-        F.count_if(F.col("in_obj").isNull()).alias("all_only_ref"),
-        F.count_if(F.col("in_ref").isNull()).alias("all_only_obj"))
+def _compare(reference: DataFrame, object_centric: DataFrame, keys: list[str], how: str,
+             by: list[str], tasks: list[str], tolerance: float, exact_counts: bool) -> DataFrame:
+    """Rows of both sides, and for each task the aligned rows whose labels agree, per `by`."""
+    def side(rows: DataFrame, name: str, more: list[str]) -> DataFrame:
+        return rows.select(*keys, *more, F.lit(True).alias(f"in_{name}"),
+                           *[F.col(f"`{t}`").alias(f"{name}:{t}") for t in tasks])
+
+    both = side(reference, "ref", [c for c in by if c not in keys]).join(
+        side(object_centric, "obj", []), keys, how)
+    aligned = F.col("in_ref").isNotNull() & F.col("in_obj").isNotNull()
+    equal = [F.count_if(aligned & values_equal(t, F.col(f"`ref:{t}`"), F.col(f"`obj:{t}`"), tolerance,
+                                               exact_counts)).alias(f"equal:{t}") for t in tasks]
+    return both.groupBy(*by).agg(
+        F.count_if(aligned).alias("all_aligned"), F.count_if(F.col("in_obj").isNull()).alias("all_only_ref"),
+        F.count_if(F.col("in_ref").isNull()).alias("all_only_obj"), *equal)
+
+
+def _unpivot(counts: DataFrame, params: dict[str, Column]) -> DataFrame:
+    """(log, task, param, eval_labels, matches) of compared tasks."""
+    items = F.explode(F.array(*[
+        F.struct(F.lit(t).alias("task"), param.alias("param"), F.col("all_aligned").alias("n"),
+                 F.col(f"`equal:{t}`").alias("equal")) for t, param in params.items()])).alias("item")
+    return (counts.select("log", items).filter(F.col("item.param").isNotNull())
+            .groupBy("log", "item.task", "item.param")
+            .agg(F.sum("item.n").alias("eval_labels"), F.sum("item.equal").alias("matches")))
 
 
 def _asked(domain: DataFrame, every: DataFrame, tasks: list[str]) -> DataFrame:
@@ -149,7 +195,7 @@ def _asked(domain: DataFrame, every: DataFrame, tasks: list[str]) -> DataFrame:
 def _fill(sparse: DataFrame, every: DataFrame, domain: DataFrame, tasks: list[str]) -> DataFrame:
     """Add the prefixes of executions in which the parameter does not occur: all equal."""
     joined = (_asked(domain, every, tasks).join(every, "log")
-              .join(sparse.drop("mismatches", "agreement"), ["log", "task", "param"], "left"))
+              .join(sparse, ["log", "task", "param"], "left"))
     computed, matches = F.coalesce("eval_labels", F.lit(0)), F.coalesce("matches", F.lit(0))
     filled = joined.select(
         "log", "task", "param", F.col("all_aligned").alias("eval_labels"),

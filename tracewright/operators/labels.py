@@ -275,15 +275,21 @@ def all_label_rows(trace: DataFrame, keys: Iterable[str], domain: DataFrame,
                          ["case_id", "event_id"])
         parts.append(long_labels(wide, names))
     if asked:
-        parts.append(_labels_per_parameter(trace, asked, domain, skew, order))
+        parts.append(_labels_per_parameter(trace, [t.key for t in asked], domain, skew, order))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
 
 
-def _labels_per_parameter(trace: DataFrame, tasks: list[Task], domain: DataFrame,
-                          skew: Skew | None, order: list[str]) -> DataFrame:
+def wide_per_parameter(trace: DataFrame, keys: Iterable[str], domain: DataFrame,
+                       skew: Skew | None = None, order: list[str] = TRACE_ORDER) -> DataFrame:
+    """One row per prefix and parameter slot, one column per task.
+
+    The n-th participant and the n-th activity of the scope in text order share slot n, so two traces
+    with the same `domain` have the same slots.
+    """
+    tasks = [task_of(k) for k in keys]
     scope = [c for c in ("log", "case_id") if c in domain.columns]
     numbered = OrderedGroups(domain, scope + ["kind"], ["param"], skew, of="parameters")
     numbered = numbered.scan(_at=sum_before(F.lit(1)))
@@ -300,8 +306,16 @@ def _labels_per_parameter(trace: DataFrame, tasks: list[Task], domain: DataFrame
     most = pairs.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] if skew else 1
     sized = replace(skew, rows=skew.rows * (most or 1)) if skew else None
     groups = trace_groups(rows, sized, order, also=["_slot"], of="events by parameter")
-    wide = _labelled(groups, tasks, ["case_id", "event_id", PARTICIPANT, ACTIVITY])
-    params = {t.key: F.col(PARTICIPANT if t.param == "participant" else ACTIVITY) for t in tasks}
-    return long_labels(wide, [t.key for t in tasks], params).filter(F.col("param").isNotNull())
+    return _labelled(groups, tasks, ["case_id", "event_id", "_slot", PARTICIPANT, ACTIVITY])
 
 
+def parameter_of(key: str) -> Column:
+    """Column of `wide_per_parameter` that holds the parameter of a task."""
+    return F.col(PARTICIPANT if task_of(key).param == "participant" else ACTIVITY)
+
+
+def _labels_per_parameter(trace: DataFrame, keys: list[str], domain: DataFrame,
+                          skew: Skew | None, order: list[str]) -> DataFrame:
+    wide = wide_per_parameter(trace, keys, domain, skew, order)
+    params = {key: parameter_of(key) for key in keys}
+    return long_labels(wide, keys, params).filter(F.col("param").isNotNull())

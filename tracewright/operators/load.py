@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators.ordered import OrderedGroups, sum_before
 from tracewright.operators.skew import Skew
+from tracewright.session import materialize
 
 
 def participant_spans(trace: DataFrame) -> DataFrame:
@@ -43,7 +44,11 @@ def active_spans(trace: DataFrame, keys: list[str], skew: Skew | None = None) ->
 
 
 def with_load(trace: DataFrame, skew: Skew | None = None) -> DataFrame:
-    """Add `load`: spans of the event's actor in other cases at the time of the event."""
+    """Add `load`: spans of the event's actor in other cases at the time of the event.
+
+    Spans, times and events all need the trace, so it is computed once and written.
+    """
+    trace = materialize(trace, "trace")
     everywhere = active_spans(trace, ["log", "actor"], skew)
     rows = trace.join(everywhere, ["log", "actor", "ts"], "left")
     # An event lies in the span of its own execution. Executions that share a case id do not count
