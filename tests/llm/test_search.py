@@ -91,6 +91,24 @@ def test_recall(spark, folder):
     assert np.mean(found) >= 0.95
 
 
+def test_isolated_groups_get_full_rows(spark):
+    rng = np.random.default_rng(9)
+    x = np.eye(64)[0] + 0.05 * rng.normal(size=(20_000, 64))
+    rows, groups = [(50 * i + 1, v.tolist()) for i, v in enumerate(x)], []
+    for g in range(60):                 # one to five vectors, equal or nearly equal, far from the rest
+        centre = rng.normal(size=64)
+        members = [2_000_000 + 500 * g + 50 * n for n in range(1 + g % 5)]
+        groups.append(members)
+        rows += [(i, (centre / 8 + (g % 2) * rng.normal(0, 1e-4, 64)).tolist()) for i in members]
+    found = ann.search(frame(spark, rows), "vec_id % 50 = 0", k=5).toPandas().groupby("query_id")
+    own = {q: r.sort_values("rank") for q, r in found}
+    for members in groups:
+        for i in members:
+            assert own[i]["rank"].tolist() == [1, 2, 3, 4, 5]
+            assert own[i]["vec_id"].is_unique and i not in set(own[i]["vec_id"])
+            assert set(own[i]["vec_id"][:len(members) - 1]) == set(members) - {i}
+
+
 def test_no_vectors(spark):
     for rows in ([], [(0, [1.0, 2.0])], odd_rows()[:5]):
         assert vafile.search(frame(spark, rows), "vec_id % 20 = 0", k=3).count() == 0

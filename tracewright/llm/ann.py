@@ -5,7 +5,8 @@ splitting a bounded sample again and again until no part is larger than a list s
 about equally long. A vector near a border goes to several lists: to further centroids that are hardly
 farther than its nearest one, unless a centroid that already has it is nearer to the further one than
 the vector is. Centroids are searched by a best-first walk over a neighbour graph in memory, and a
-query's lists are those whose centroids are within a ratio of its nearest centroid's distance.
+query's lists are those whose centroids are within a ratio of its nearest centroid's distance, or of that
+of the list with which there are enough candidates.
 Lists that turn out long are scanned in parts, by several tasks.
 """
 
@@ -122,12 +123,27 @@ def lists_of(graph: CentroidGraph, x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def probes_of(graph: CentroidGraph, x: np.ndarray) -> list[np.ndarray]:
-    """The lists to scan for each unit vector."""
+def probes_of(graph: CentroidGraph, homes: np.ndarray, least: int, x: np.ndarray) -> list[np.ndarray]:
+    """The lists to scan for each unit vector.
+
+    `homes` counts the vectors whose nearest list each is. Lists are taken in order until they are home to
+    `least` vectors, which are then all different, or to all there are; the ratio counts from the last of them.
+    """
     found, near = graph.nearest(x, PROBES)
-    distance = _distance(np.where(found >= 0, near, -1))
-    near_enough = (found >= 0) & (distance <= RATIO * np.maximum(distance[:, :1], 0.2))
-    return [own[take] for own, take in zip(found, near_enough)]
+    out = []
+    for own, cosines, vector in zip(found, near, x):
+        own, cosines = own[own >= 0], cosines[own >= 0]
+        held = np.cumsum(homes[own])
+        if held[-1] < least:
+            cosines = graph.centroids @ vector
+            own = np.argsort(-cosines, kind="stable")
+            cosines, held = cosines[own], np.cumsum(homes[own])
+        distance = _distance(cosines)
+        needed = min(int(np.searchsorted(held, least)), len(own) - 1)
+        take = distance <= RATIO * max(distance[needed], 0.2)
+        take[max(PROBES, needed + 1):] = False
+        out.append(own[take])
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -136,19 +152,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _routed(rows: DataFrame, graphs: dict[int, CentroidGraph], lists) -> DataFrame:
-    """One row per vector and list: list, vec_id, dim, data."""
+def _routed(rows: DataFrame, known: dict[int, tuple], lists) -> DataFrame:
+    """One row per vector and list: list, vec_id, dim, data, home: whether the list is its first."""
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, own in batch.groupby("dim"):
                 for i in range(0, len(own), 1024):
                     part = own.iloc[i:i + 1024]
-                    found = lists(graphs[dim], _unit(matrix(part["data"])))
+                    found = lists(*known[dim], _unit(matrix(part["data"])))
                     times = [len(f) for f in found]
+                    home = np.concatenate([np.arange(n) == 0 for n in times])
                     yield pd.DataFrame({"list": np.concatenate(found), "vec_id": np.repeat(part["vec_id"], times),
-                                        "dim": dim, "data": np.repeat(part["data"].to_numpy(object), times)})
+                                        "dim": dim, "data": np.repeat(part["data"].to_numpy(object), times),
+                                        "home": home})
 
-    return rows.mapInPandas(routed, "list long, vec_id long, dim int, data binary")
+    return rows.mapInPandas(routed, "list long, vec_id long, dim int, data binary, home boolean")
 
 
 def cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -168,7 +186,8 @@ def search(vectors: DataFrame, is_query: str, k: int, sample: int = SAMPLE_ROWS)
     query's candidates are all rows with other ids and as many components. Ties go to the smaller
     vec_id. Rows without id or vector, empty and zero vectors and vectors with null or non-finite
     components take no part; rows that repeat id and vector count once. Centroids are fitted to at most
-    2 * `sample` vectors; every row is indexed. An empty table gives an empty result.
+    2 * `sample` vectors; every row is indexed, and every query gets `k` rows if there are that many
+    candidates. An empty table gives an empty result.
     """
     own = keep(read_vectors(vectors, lambda x: bool(x.any())), "vectors")
     known = keep(least_ids(own, k + 1), "candidates")
@@ -179,18 +198,23 @@ def search(vectors: DataFrame, is_query: str, k: int, sample: int = SAMPLE_ROWS)
         lists = min(MOST_CENTROIDS, max(1, n // LIST_ROWS))
         graphs[dim] = CentroidGraph(split_centroids(drawn, max(2, -(-len(drawn) // lists))))
 
-    postings = keep(_routed(known, graphs, lists_of), "postings")
+    postings = keep(_routed(known, {dim: (graph,) for dim, graph in graphs.items()}, lists_of), "postings")
+    lengths = keep(postings.groupBy("dim", "list").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes"))
+        .select("dim", "list", F.expr(f"n div {PART_ROWS} + 1").alias("parts"), "homes"), "list-lengths")
+    homes = {dim: np.zeros(len(graph.centroids), np.int64) for dim, graph in graphs.items()}
+    for r in lengths.collect():
+        homes[r["dim"]][r["list"]] = r["homes"]
+    asking = {dim: (graph, homes[dim], k + 1) for dim, graph in graphs.items()}
+    lengths = lengths.drop("homes")
     # Equal queries are searched once, under the least of their ids.
     asked = own.filter(is_query)
     first = asked.groupBy("dim", "data").agg(F.min("vec_id").alias("vec_id"))
-    routes = keep(_routed(first.select("vec_id", "dim", "data"), graphs, probes_of), "routes")
-
-    lengths = keep(postings.groupBy("dim", "list").agg(F.count(F.lit(1)).alias("n"))
-                   .select("dim", "list", F.expr(f"n div {PART_ROWS} + 1").alias("parts")), "list-lengths")
+    routes = keep(_routed(first.select("vec_id", "dim", "data"), asking, probes_of).drop("home"), "routes")
     shelves = postings.count() // 20_000 + 12
     part_of = F.pmod(F.xxhash64("vec_id"), F.col("parts"))
     shelf = F.pmod(F.xxhash64("dim", "list", "part"), F.lit(shelves))
-    stored = postings.join(lengths, ["dim", "list"]).withColumn("part", part_of)
+    stored = postings.drop("home").join(lengths, ["dim", "list"]).withColumn("part", part_of)
     stored = stored.withColumn("shelf", shelf).drop("parts")
     wanted = (routes.join(lengths, ["dim", "list"])
               .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
