@@ -109,6 +109,19 @@ def test_isolated_groups_get_full_rows(spark):
             assert set(own[i]["vec_id"][:len(members) - 1]) == set(members) - {i}
 
 
+def test_probes_follow_the_number_of_lists():
+    rng = np.random.default_rng(8)
+    x = ann._unit(rng.normal(size=(200_000, 64)))
+    graph = ann.CentroidGraph(ann.split_centroids(x[:48_000], 24))
+    asked = np.arange(0, len(x), 500)
+    near = x[asked] @ x.T
+    near[np.arange(len(asked)), asked] = -2
+    best = np.argpartition(-near, 5, 1)[:, :5]
+    lists = {int(i): set(own.tolist()) for i, own in zip(best.ravel(), ann.lists_of(graph, x[best.ravel()]))}
+    probes = ann.probes_of(graph, np.full(len(graph.centroids), 100), 6, x[asked])
+    assert np.mean([not lists[int(i)].isdisjoint(own.tolist()) for own, row in zip(probes, best) for i in row]) >= 0.94
+
+
 def test_no_vectors(spark):
     for rows in ([], [(0, [1.0, 2.0])], odd_rows()[:5]):
         assert vafile.search(frame(spark, rows), "vec_id % 20 = 0", k=3).count() == 0

@@ -4,14 +4,15 @@ Vectors are put on the unit sphere and into the posting lists of centroids. Cent
 splitting a bounded sample again and again until no part is larger than a list should be, so lists are
 about equally long. A vector near a border goes to several lists: to further centroids that are hardly
 farther than its nearest one, unless a centroid that already has it is nearer to the further one than
-the vector is. Centroids are searched by a best-first walk over a neighbour graph in memory, and a
-query's lists are those whose centroids are within a ratio of its nearest centroid's distance, or of that
-of the list with which there are enough candidates.
-Lists that turn out long are scanned in parts, by several tasks.
+the vector is. For the rows, centroids are searched by a best-first walk over a neighbour graph in memory;
+queries are held against all centroids. A query's lists are those whose centroids are within a ratio of its
+nearest centroid's distance, or of that of the list with which there are enough candidates, up to a number
+that grows with the root of the number of lists. Lists that turn out long are scanned in parts, by several tasks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,8 @@ MOST_CENTROIDS = 16_384    # centroids are held by every task: 16 MB of doubles
 SAMPLE_ROWS = 40_000
 DEGREE, ENTRIES = 24, 16
 COPIES, BORDER = 8, 1.15   # most lists of a vector, and how much farther their centroids may be
-PROBES, RATIO = 96, 1.35   # the same for the lists of a query
+PROBES, RATIO = 96, 1.35   # the same for the lists of a query; with many lists PROBE_ROOT times their root
+PROBE_ROOT = 4
 PART_ROWS = 4096           # rows of a list that one task scans
 
 
@@ -123,26 +125,32 @@ def lists_of(graph: CentroidGraph, x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def probe_count(lists: int) -> int:
+    """Most lists of a query. The lists that hold a share of the neighbours of vectors without groups
+    were measured to grow about as the root of the number of lists, and so does this."""
+    return min(lists, max(PROBES, math.ceil(PROBE_ROOT * math.sqrt(lists))))
+
+
 def probes_of(graph: CentroidGraph, homes: np.ndarray, least: int, x: np.ndarray) -> list[np.ndarray]:
     """The lists to scan for each unit vector.
 
     `homes` counts the vectors whose nearest list each is. Lists are taken in order until they are home to
     `least` vectors, which are then all different, or to all there are; the ratio counts from the last of them.
     """
-    found, near = graph.nearest(x, PROBES)
-    out = []
-    for own, cosines, vector in zip(found, near, x):
-        own, cosines = own[own >= 0], cosines[own >= 0]
-        held = np.cumsum(homes[own])
-        if held[-1] < least:
-            cosines = graph.centroids @ vector
-            own = np.argsort(-cosines, kind="stable")
-            cosines, held = cosines[own], np.cumsum(homes[own])
-        distance = _distance(cosines)
-        needed = min(int(np.searchsorted(held, least)), len(own) - 1)
-        take = distance <= RATIO * max(distance[needed], 0.2)
-        take[max(PROBES, needed + 1):] = False
-        out.append(own[take])
+    out, most = [], probe_count(len(graph.centroids))
+    for i in range(0, len(x), 256):
+        near = x[i:i + 256] @ graph.centroids.T
+        first = np.argpartition(-near, most - 1, 1)[:, :most] if most < near.shape[1] else None
+        for n, cosines in enumerate(near):
+            own = np.sort(first[n]) if first is not None else np.arange(len(cosines))
+            if homes[own].sum() < least:
+                own = np.arange(len(cosines))
+            own = own[np.argsort(-cosines[own], kind="stable")]
+            distance = _distance(cosines[own])
+            needed = min(int(np.searchsorted(np.cumsum(homes[own]), least)), len(own) - 1)
+            take = distance <= RATIO * max(distance[needed], 0.2)
+            take[max(most, needed + 1):] = False
+            out.append(own[take])
     return out
 
 
