@@ -179,6 +179,34 @@ def test_cycles_are_found_alike(spark):
         assert got == {"a": None, "b": None, "c": None, "d": 0, "e": 2, "f": 1}
 
 
+def test_long_chains_beyond_large(spark, monkeypatch):
+    rounds = []
+
+    def counted(df, name, keep=chat.keep):
+        rounds.append(name)
+        assert rounds.count("ready") <= 40      # a round per call of a chain would take 600
+        return keep(df, name)
+
+    monkeypatch.setattr(chat, "keep", counted)
+    n, rng = 600, random.Random(5)
+    far = list(range(n))
+    rng.shuffle(far)
+    after = dict(zip(far, far[1:]))
+    rows = [(1, i, [i + 1]) for i in range(n)]                                      # reversed
+    rows += [(2, i, [after[i]] if i in after else []) for i in range(n)]            # in any order
+    rows += [(3, i, [i + 1, i + 2, i + 9]) for i in range(100)]                     # a ladder
+    rows += [(4, i, [i + 1] if i % 50 else [i + 1, i + 49, i + 200]) for i in range(n)]
+    rows += [(5, i, [i + 1 if i < 99 else 40]) for i in range(100)]                 # a cycle and what is behind it
+    rows += [(5, i, [i + 1]) for i in range(100, 300)]
+    calls = [(c, i, f"c{i}", "add", "{}", [f"c{d}" for d in own], 0) for c, i, own in rows]
+    frame = spark.createDataFrame(calls, CALLS)
+    whole, parted = ({(r.conv_id, r.call_id): r.level for r in chat.call_levels(frame, large).collect()}
+                     for large in (10_000, 4))
+    assert whole == parted and len(whole) == len(rows)
+    assert whole[1, "c0"] == n - 1 and whole[2, f"c{far[0]}"] == n - 1
+    assert whole[5, "c0"] is None and whole[5, "c100"] == 199
+
+
 def test_no_calls(spark):
     none = spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS)
     assert chat.link_calls(*none, SCHEMAS).count() == 0

@@ -13,6 +13,7 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -135,22 +136,81 @@ def _levels(rows: pd.DataFrame) -> list[tuple]:
     return out
 
 
-def _peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The same levels for conversations of any size: a join per level takes what is ready."""
-    found, depth = None, 0
-    of = [F.col(f"of_{k}").alias(k) for k in KEY]
+def _solved(rows: pd.DataFrame) -> list[tuple]:
+    """(conv_id, call_id, level) of what a part of the calls settles on its own.
+
+    rows: conv_id, call_id, base and the open needs, each with a weight; a call's level is the greatest of
+    base and level + weight of its needs.
+    """
+    base, left, wanted, out = {}, {}, defaultdict(list), []
+    for conv_id, call_id, least, needs in zip(rows["conv_id"], rows["call_id"], rows["base"], rows["needs"]):
+        base[conv_id, call_id], left[conv_id, call_id] = int(least), len(needs)
+        for need in needs:
+            wanted[conv_id, need["of"]].append(((conv_id, call_id), int(need["weight"])))
+    ready = [key for key, n in left.items() if not n]
+    while ready:
+        key = ready.pop()
+        out.append((*key, base[key]))
+        for other, weight in wanted[key]:
+            base[other] = max(base[other], base[key] + weight)
+            left[other] -= 1
+            if not left[other]:
+                ready.append(other)
+    return out
+
+
+def _contracted(nodes: DataFrame, edges: DataFrame, part: int) -> DataFrame:
+    """The same levels for conversations of any size.
+
+    Every round settles what parts of up to `part` calls can settle on their own, puts the levels found
+    into the calls that wait for them, and replaces needs that wait for a single call by that call, with
+    a weight. So chains and trees take rounds in the logarithm of their size wherever their calls stand,
+    and other graphs as many as there are steps from part to part on a way through them. Every round
+    settles a call as long as one is left that is neither in nor behind a cycle.
+    """
+    kind = dict(nodes.dtypes)["conv_id"]
+    most = F.lit(1 << 40)       # beyond any number of calls; only weights around cycles get there
+    chunk = F.expr(f"row_number div {part}").alias("chunk")
+    nodes = keep(number_rows(nodes, ["conv_id", "position", "call_id"]).select(
+        *KEY, chunk, F.lit(0).cast("long").alias("base")), "nodes")
+    edges = keep(edges.select(*KEY, F.col("of_call_id").alias("of"), F.lit(1).cast("long").alias("weight")), "edges")
+    every, found = nodes.select(*KEY), []
+
+    def solved(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_solved(batch), columns=["conv_id", "call_id", "level"])
+
     while True:
-        blocked = edges.select(*KEY).distinct()
-        ready = keep(nodes.join(blocked, KEY, "left_anti").withColumn("level", F.lit(depth).cast("long")), "ready")
+        open_needs = edges.groupBy(*KEY).agg(F.collect_list(F.struct("of", "weight")).alias("needs"))
+        waiting = nodes.join(open_needs, KEY, "left").withColumn(
+            "needs", F.coalesce("needs", F.array().cast("array<struct<of:string,weight:bigint>>")))
+        ready = keep(waiting.groupBy("chunk").applyInPandas(solved, f"conv_id {kind}, call_id string, level long"),
+                     "ready")
         if ready.isEmpty():
             break
-        found = ready if found is None else found.union(ready)
-        done = ready.select(*[F.col(k).alias(f"of_{k}") for k in KEY])
-        nodes = keep(nodes.join(done.select(*of), KEY, "left_anti"), "nodes")
-        edges = keep(edges.join(done, ["of_conv_id", "of_call_id"], "left_anti"), "edges")
-        depth += 1
-    rest = nodes.withColumn("level", F.lit(None).cast("long"))
-    return rest if found is None else found.union(rest)
+        found.append(ready)
+        if len(found) == 16:    # so that no plan grows with the number of rounds
+            found = [keep(reduce(DataFrame.union, found), "levels")]
+        edges = edges.join(ready.select(*KEY), KEY, "left_anti")
+        known = ready.select("conv_id", F.col("call_id").alias("of"), "level")
+        put = keep(edges.join(known, ["conv_id", "of"], "left"), "edges")
+        raised = put.filter("level IS NOT NULL").groupBy(*KEY).agg(F.max(F.col("level") + F.col("weight")).alias("raised"))
+        nodes = keep(nodes.join(ready.select(*KEY), KEY, "left_anti").join(raised, KEY, "left").select(
+            *KEY, "chunk", F.greatest("base", F.coalesce("raised", "base")).alias("base")), "nodes")
+        edges = put.filter("level IS NULL").drop("level")
+
+        lone = (edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("of").alias("next"),
+                                        F.max("weight").alias("step")).filter("n = 1").drop("n"))
+        lone = keep(lone.join(nodes, KEY).select("conv_id", F.col("call_id").alias("of"), "next", "step",
+                                                 F.col("base").alias("floor")), "lone")
+        moved = keep(edges.join(lone, ["conv_id", "of"], "left"), "edges")
+        raised = moved.filter("next IS NOT NULL").groupBy(*KEY).agg(
+            F.max(F.col("floor") + F.col("weight")).alias("raised"))
+        nodes = keep(nodes.join(raised, KEY, "left").select(
+            *KEY, "chunk", F.least(F.greatest("base", F.coalesce("raised", "base")), most).alias("base")), "nodes")
+        edges = keep(moved.groupBy(*KEY, F.coalesce("next", "of").alias("of")).agg(
+            F.max(F.least(F.col("weight") + F.coalesce("step", F.lit(0)), most)).alias("weight")), "edges")
+    levels = reduce(DataFrame.union, found) if found else ready
+    return every.join(levels, KEY, "left")
 
 
 def call_levels(calls: DataFrame, large: int = LARGE_CONVERSATION) -> DataFrame:
@@ -158,7 +218,7 @@ def call_levels(calls: DataFrame, large: int = LARGE_CONVERSATION) -> DataFrame:
     before one it depends on; in all others the position is an order already.
 
     calls: conv_id, call_id, position, depends_on. Conversations of up to `large` calls are ordered whole
-    by one task each, longer ones level by level with joins.
+    by one task each, longer ones in parts and with chains contracted by joins.
     """
     own = calls.select(*KEY, "position", F.explode("depends_on").alias("need")).filter("need IS NOT NULL").distinct()
     known = calls.select(F.col("conv_id").alias("of_conv_id"), F.col("call_id").alias("of_call_id"),
@@ -169,7 +229,7 @@ def call_levels(calls: DataFrame, large: int = LARGE_CONVERSATION) -> DataFrame:
     sizes = (calls.join(late, F.col("conv_id") == F.col("late"), "left_semi").groupBy(F.col("conv_id").alias("late"))
              .agg(F.count(F.lit(1)).alias("n")))
     sizes = keep(sizes, "late-conversations")
-    nodes = calls.select(*KEY).filter("call_id IS NOT NULL").join(sizes, F.col("conv_id") == F.col("late")).drop("late")
+    nodes = calls.select(*KEY, "position").filter("call_id IS NOT NULL").join(sizes, F.col("conv_id") == F.col("late")).drop("late")
     links = edges.join(sizes, F.col("conv_id") == F.col("late")).drop("late")
 
     needs = (links.filter(F.col("n") <= large).groupBy(*KEY).agg(F.collect_set("of_call_id").alias("needs")))
@@ -182,8 +242,8 @@ def call_levels(calls: DataFrame, large: int = LARGE_CONVERSATION) -> DataFrame:
     kind = dict(calls.dtypes)["conv_id"]
     found = small.groupBy("conv_id").applyInPandas(ordered, f"conv_id {kind}, call_id string, level long")
     if not sizes.filter(F.col("n") > large).isEmpty():
-        big = keep(nodes.filter(F.col("n") > large).select(*KEY), "nodes")
-        found = found.union(_peeled(big, links.filter(F.col("n") > large).select(*KEY, "of_conv_id", "of_call_id")))
+        big = nodes.filter(F.col("n") > large).select(*KEY, "position")
+        found = found.union(_contracted(big, links.filter(F.col("n") > large).select(*KEY, "of_call_id"), 10 * large))
     return found
 
 
