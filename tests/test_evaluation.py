@@ -249,3 +249,14 @@ def test_too_few_cases(spark):
     r = E.evaluate(trace, Experiment(tasks=("NE-NEPr", "NE-NPaM"))).orderBy("task").collect()
     assert r[0]["note"] == "a single case cannot be split" and r[0]["metric_mean"] is None
     assert r[1]["note"] == "no labelled rows" and r[1]["samples"] == 0
+
+
+def test_forest_query_has_the_published_settings(spark, monkeypatch):
+    from tracewright.config import Experiment as Settings
+    from tracewright.plans import queries
+
+    asked = []
+    monkeypatch.setattr(queries, "events_trace", lambda spark, folder: (None, None))
+    monkeypatch.setattr(queries.E, "evaluate", lambda trace, experiment, skew: asked.append(experiment))
+    queries.registered()["cv_forest"](spark, "")
+    assert asked == [Settings()] and len(asked[0].tasks) == 6
