@@ -138,6 +138,7 @@ def probes_of(graph: CentroidGraph, homes: np.ndarray, least: int, x: np.ndarray
     `least` vectors, which are then all different, or to all there are; the ratio counts from the last of them.
     """
     out, most = [], probe_count(len(graph.centroids))
+    stored = lists_of(graph, x)     # the walk may miss a lone centroid, for near vectors and x alike
     for i in range(0, len(x), 256):
         near = x[i:i + 256] @ graph.centroids.T
         first = np.argpartition(-near, most - 1, 1)[:, :most] if most < near.shape[1] else None
@@ -150,7 +151,7 @@ def probes_of(graph: CentroidGraph, homes: np.ndarray, least: int, x: np.ndarray
             needed = min(int(np.searchsorted(np.cumsum(homes[own]), least)), len(own) - 1)
             take = distance <= RATIO * max(distance[needed], 0.2)
             take[max(most, needed + 1):] = False
-            out.append(own[take])
+            out.append(np.union1d(own[take], stored[i + n]))
     return out
 
 
