@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import (ann, chat, linededup, mixing, neardup, oracles, packing, quality, sharding,
+from tracewright.llm import (ann, chat, linededup, mixing, neardup, oracles, packing, periodic, quality, sharding,
                              tokenstore, vafile)
+from tracewright.llm.common import WORD
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,9 +119,40 @@ def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id, text: a tenth of the documents, by the hash of their id, repeat a stretch of words up to their end."""
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    rest = F.expr("hashed div 10")
+    words = F.when(F.col("hashed") % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})")))
+    n = F.size("words").cast("long")
+    period = (1 + F.floor((F.col("n") - F.col("a")) / (3 + rest % 8))).cast("long")
+    index = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1),
+                                        lambda i: F.get("words", index(i))), " ")
+    return (docs.select("doc_id", "text", hashed.alias("hashed")).withColumn("words", words)
+            .withColumn("n", n).withColumn("a", F.when(F.col("n") > 0, rest % F.col("n"))).withColumn("p", period)
+            .select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents")))
+    # Greatest length / period first, compared as whole numbers.
+    first = lambda x, y: (F.when(x["length"] * y["period"] > y["length"] * x["period"], -1)
+                          .when(x["length"] * y["period"] < y["length"] * x["period"], 1)
+                          .when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1)
+                          .otherwise(F.signum(x["period"] - y["period"]).cast("int")))
+    line = lambda run: F.concat_ws(",", run["start"], run["length"], run["period"])
+    lines = F.array_join(F.transform("runs", lambda run: F.concat(line(run), F.lit("\n"))), "")
+    best = F.get(F.array_sort("runs", first), F.lit(0))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_tool_calls, op2_mix_sources, op3_near_duplicates, op4_va_file, op5_line_dedup, op6_feistel_shards, op7_token_store, op8_quality_classifier,
-    op9_pack_sequences, op10_posting_lists)}
+    op9_pack_sequences, op10_posting_lists, op13_periodic_runs)}
 
 
 def registered() -> dict[str, Query]:
