@@ -53,6 +53,63 @@ SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+# The usual CRC-32 of the bytes in a list of numbers, from a table of 256 entries named `crc`.
+CRC_TABLE = """crc AS (
+  SELECT list(v ORDER BY i) AS entries FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k:
+      CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v
+    FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))))"""
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b:
+  xor(c >> 8, crc.entries[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"""
+BYTES = """list_transform(range(1, len(hex(encode({text}))) + 1, 2), lambda i:
+  CAST('0x' || substr(hex(encode({text})), i, 2) AS BIGINT))"""
+
+
+def _simhash() -> str:
+    votes = ", ".join(f"sum(n * (({half} >> {i}) & 1)) AS {half}{i}" for half in ("hi", "lo") for i in range(32))
+    halves = {half: " + ".join(f"CASE WHEN 2 * {half}{i} > n THEN {1 << i}::BIGINT ELSE 0 END" for i in range(32))
+              for half in ("hi", "lo")}
+    mix = f"(xor({{0}}, {{0}} >> 16) * {0x45D9F3B}) & 4294967295"
+    return f"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS seat, count(*) OVER () AS total FROM d),
+e AS (SELECT o.seat, o.doc_id, o.text, length(o.text) AS n,
+             left(o.text, length(o.text) - length(o.text) // 4) || left(p.text, length(o.text) // 4) AS edited
+      FROM o JOIN o AS p ON p.seat = o.seat % o.total + 1),
+t AS (SELECT seat, 'own' AS kind, text FROM e UNION ALL SELECT seat, 'edited', edited FROM e),
+w AS (SELECT seat, kind, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS words FROM t),
+g AS (SELECT seat, kind, unnest(CASE WHEN len(words) = 1 THEN words ELSE list_transform(range(1, len(words)), lambda i:
+             words[i] || ' ' || words[i + 1]) END) AS term FROM w),
+c AS (SELECT seat, kind, term, count(*) AS n FROM g GROUP BY seat, kind, term),
+h AS (SELECT term, {CRC.format(codes=BYTES.format(text="term"))} AS crc
+      FROM (SELECT DISTINCT term FROM c), crc),
+x AS (SELECT term, xor(crc, {0x9E3779B9}::BIGINT) AS hi, xor(crc, {0x7F4A7C15}::BIGINT) AS lo FROM h),
+y AS (SELECT term, {mix.format("hi")} AS hi, {mix.format("lo")} AS lo FROM x),
+z AS (SELECT term, {mix.format("hi")} AS hi, {mix.format("lo")} AS lo FROM y),
+m AS (SELECT term, xor(hi, hi >> 16) AS hi, xor(lo, lo >> 16) AS lo FROM z),
+v AS (SELECT seat, kind, sum(n) AS n, {votes} FROM c JOIN m USING (term) GROUP BY seat, kind),
+f AS (SELECT seat, kind, {halves["hi"]} AS hi, {halves["lo"]} AS lo FROM v),
+p AS (SELECT w.seat, w.kind, coalesce(hi, 0) AS hi, coalesce(lo, 0) AS lo FROM w LEFT JOIN f ON w.seat = f.seat AND w.kind = f.kind),
+own AS (SELECT * FROM p WHERE kind = 'own'), other AS (SELECT * FROM p WHERE kind = 'edited'),
+s AS (SELECT hi, lo, count(*) AS members FROM own GROUP BY hi, lo),
+near AS (SELECT a.hi, a.lo, sum(b.members) - 1 AS n_near FROM s AS a, s AS b
+         WHERE bit_count(xor(CAST(a.hi AS BIGINT), CAST(b.hi AS BIGINT)))
+               + bit_count(xor(CAST(a.lo AS BIGINT), CAST(b.lo AS BIGINT))) <= 3 GROUP BY a.hi, a.lo)
+SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256,
+       printf('%08x%08x', CAST(own.hi AS BIGINT), CAST(own.lo AS BIGINT)) AS fingerprint,
+       printf('%08x%08x', CAST(other.hi AS BIGINT), CAST(other.lo AS BIGINT)) AS edited_fingerprint,
+       1 - (bit_count(xor(CAST(own.hi AS BIGINT), CAST(other.hi AS BIGINT)))
+            + bit_count(xor(CAST(own.lo AS BIGINT), CAST(other.lo AS BIGINT)))) / 64.0::DOUBLE AS near_edited,
+       1 - (bit_count(xor(CAST(own.hi AS BIGINT), CAST(after.hi AS BIGINT)))
+            + bit_count(xor(CAST(own.lo AS BIGINT), CAST(after.lo AS BIGINT)))) / 64.0::DOUBLE AS near_next,
+       CAST(near.n_near AS BIGINT) AS n_near
+FROM e JOIN own ON own.seat = e.seat JOIN other ON other.seat = e.seat
+JOIN own AS after ON after.seat = e.seat % (SELECT count(*) FROM e) + 1
+JOIN near ON near.hi = own.hi AND near.lo = own.lo
+"""
+
 
 TOP_K = """
 WITH v AS (
@@ -98,4 +155,5 @@ FROM j
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op1_tool_calls": CALLS, "op2_mix_sources": MIX, "op4_va_file": TOP_K, "op5_line_dedup": LINES}
+    return {"op1_tool_calls": CALLS, "op2_mix_sources": MIX, "op4_va_file": TOP_K, "op5_line_dedup": LINES,
+            "op11_simhash": _simhash()}

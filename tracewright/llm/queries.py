@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import (ann, chat, linededup, mixing, neardup, oracles, packing, periodic, quality, sharding,
-                             tokenstore, vafile)
-from tracewright.llm.common import WORD
+from tracewright.llm import (ann, chat, edits, linededup, mixing, neardup, oracles, packing, periodic, quality,
+                             sharding, simhash, tokenstore, vafile)
+from tracewright.llm.common import WORD, keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,6 +119,30 @@ def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also n_near: how many other documents have a fingerprint within 3 bits."""
+    places, texts = edits.with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    prints = keep(simhash.fingerprints(texts, ["row_number", "kind", "text_sha256"]), "fingerprints")
+    own = prints.filter("kind = 'own'").select(F.col("row_number").alias("_row"), "fingerprint")
+    rows = keep(places.join(own, F.col("row_number") == F.col("_row")).drop("_row"), "own-fingerprints")
+    after = F.pmod(F.col("row_number") - 1, F.lit(max(1, rows.count())))
+    after = rows.select(after.alias("_row"), F.col("fingerprint").alias("next_fingerprint"))
+    edited = prints.filter("kind <> 'own'").select(
+        F.col("row_number").alias("_of"), "kind", F.col("text_sha256").alias("edited_sha256"),
+        F.col("fingerprint").alias("edited_fingerprint"))
+    near = keep(simhash.near_counts(rows.select("fingerprint", "copies")), "near-counts").select(
+        F.col("fingerprint").alias("_print"), "n_near")
+    among = F.col("kind") == "among"
+    found = (rows.join(after, F.col("row_number") == F.col("_row")).join(edited, F.col("row_number") == F.col("_of"))
+             .join(near, F.col("fingerprint") == F.col("_print"))
+             .withColumn("times", F.when(among, F.col("copies") - 1).otherwise(F.lit(1)))
+             .withColumn("next_fingerprint", F.when(among, F.col("fingerprint")).otherwise(F.col("next_fingerprint"))))
+    return edits.repeat_rows(found, "times").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        simhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        simhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "n_near")
+
+
 def with_periodic_tails(docs: DataFrame) -> DataFrame:
     """doc_id, text: a tenth of the documents, by the hash of their id, repeat a stretch of words up to their end."""
     hashed = F.crc32(F.col("doc_id").cast("string"))
@@ -152,7 +176,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_tool_calls, op2_mix_sources, op3_near_duplicates, op4_va_file, op5_line_dedup, op6_feistel_shards, op7_token_store, op8_quality_classifier,
-    op9_pack_sequences, op10_posting_lists, op13_periodic_runs)}
+    op9_pack_sequences, op10_posting_lists, op11_simhash, op13_periodic_runs)}
 
 
 def registered() -> dict[str, Query]:
