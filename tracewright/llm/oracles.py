@@ -110,6 +110,33 @@ JOIN own AS after ON after.seat = e.seat % (SELECT count(*) FROM e) + 1
 JOIN near ON near.hi = own.hi AND near.lo = own.lo
 """
 
+TRIE = f"""
+WITH {CRC_TABLE},
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place,
+             coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {CRC.format(codes=BYTES.format(text="CAST(conv_id AS VARCHAR)"))} % 9 AS h, conv_id - conv_id % 5 AS base
+      FROM (SELECT DISTINCT conv_id FROM t), crc),
+s AS (SELECT c.conv_id, place, role, text FROM c JOIN t ON t.conv_id = c.base AND place < h
+      UNION ALL SELECT c.conv_id, place + 100, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND place >= h),
+r AS (SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes,
+             md5(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER w) AS node
+      FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+every AS (SELECT conv_id, depth, bytes, node, lag(node, 1, '') OVER (PARTITION BY conv_id ORDER BY depth) AS parent,
+                 depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM r
+          UNION ALL SELECT conv_id, 0, 0, '', NULL, conv_id NOT IN (SELECT conv_id FROM s) FROM c),
+n AS (SELECT node, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(bytes) AS bytes,
+             count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), ''))
+               AS ends_sha256 FROM every GROUP BY node),
+k AS (SELECT parent, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+-- Every node of a conversation's way lies below every earlier one; a node counts once there.
+pairs AS (SELECT DISTINCT a.node AS top, b.node FROM every AS a JOIN every AS b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+below AS (SELECT top, sum((n.n_convs - 1) * n.bytes) AS saved, count_if(k.parent IS NULL) AS leaves
+          FROM pairs JOIN n ON n.node = pairs.node LEFT JOIN k ON k.parent = n.node GROUP BY top)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n AS p ON p.node = n.parent LEFT JOIN k ON k.parent = n.node JOIN below ON below.top = n.node
+"""
+
 
 TOP_K = """
 WITH v AS (
@@ -156,4 +183,4 @@ FROM j
 
 def all_oracles() -> dict[str, str]:
     return {"op1_tool_calls": CALLS, "op2_mix_sources": MIX, "op4_va_file": TOP_K, "op5_line_dedup": LINES,
-            "op11_simhash": _simhash()}
+            "op11_simhash": _simhash(), "op12_prefix_trie": TRIE}

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import (ann, chat, edits, linededup, mixing, neardup, oracles, packing, periodic, quality,
-                             sharding, simhash, tokenstore, vafile)
+from tracewright.llm import (ann, chat, edits, linededup, mixing, neardup, oracles, packing, periodic,
+                             prefixtrie, quality, rebuilt, sharding, simhash, tokenstore, vafile)
 from tracewright.llm.common import WORD, keep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +143,11 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         simhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "n_near")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(*rebuilt.rebuilt_conversations(table(spark, sf_dir, "conversations"))).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def with_periodic_tails(docs: DataFrame) -> DataFrame:
     """doc_id, text: a tenth of the documents, by the hash of their id, repeat a stretch of words up to their end."""
     hashed = F.crc32(F.col("doc_id").cast("string"))
@@ -176,7 +181,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_tool_calls, op2_mix_sources, op3_near_duplicates, op4_va_file, op5_line_dedup, op6_feistel_shards, op7_token_store, op8_quality_classifier,
-    op9_pack_sequences, op10_posting_lists, op11_simhash, op13_periodic_runs)}
+    op9_pack_sequences, op10_posting_lists, op11_simhash, op12_prefix_trie,
+    op13_periodic_runs)}
 
 
 def registered() -> dict[str, Query]:
