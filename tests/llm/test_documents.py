@@ -132,29 +132,46 @@ def encoders():
     return {n: Encoder(open(p, encoding="utf-8").read()) for n, p in paths.items()}
 
 
+@pytest.fixture(scope="module")
+def library():
+    """The tokenizers as the library reads them, to compare with."""
+    from tokenizers import Tokenizer
+
+    return {n: Tokenizer.from_file(queries.tokenizer_path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json")}
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_pieces_encode_like_whole_texts(encoders, name):
+def test_pieces_encode_like_whole_texts(encoders, library, name):
     encoder, rng = encoders[name], random.Random(5)
     assert encoder.by_piece
     parts = ["a", "b", "é", "Z", "'", " ", " ", "s", "t", "re", "\n", "\t", ".", "!", "1", "0", "²", "ª", "中",
-             "́", "̸", "\xa0", "<|endoftext|>", "İ", "ß", "_", "<", "\x1c", "​"]
+             "́", "̸", "\xa0", "<|endoftext|>", "İ", "ß", "_", "<", "\x1c", "​", "<|StartOfText|>", "don't", "É", "Σ"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(5000)]
     whole = [np.array(e.ids, "<u4").tobytes()
-             for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+             for e in library[name].encode_batch(texts, add_special_tokens=False)]
     assert [ids for group in encoder.batches(texts, 1000) for ids in group] == whole
+    assert [ids for group in encoder.batches(texts, 1000, remember=50) for ids in group] == whole
+
+
+def test_added_tokens_are_found_in_texts(encoders, library):
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "<|endoftext|", "x<|ENDOFTEXT|>y", "plain text"]
+    for name, encoder in encoders.items():
+        want = [library[name].encode(text, add_special_tokens=False).ids for text in texts]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == want
+    assert library["word_bpe_49k.json"].encode(texts[0], add_special_tokens=False).ids == [320, 49407, 321]
 
 
-def ids_of(encoder, text, end):
-    return np.array([*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+def ids_of(tokenizer, text, end):
+    return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 @pytest.mark.parametrize("rows", [[], ODD, ODD + [(i % 50, f"text {i} " * (i % 7)) for i in range(300)]])
-def test_token_store(spark, encoders, tmp_path, rows, monkeypatch):
+def test_token_store(spark, library, tmp_path, rows, monkeypatch):
     monkeypatch.setattr(tokenstore, "SEGMENT_BYTES", 300)
     path = str(tmp_path / "store")
     tokenstore.write_store(documents(spark, rows), path, queries.tokenizer_path("word_bpe_49k.json"), end_id=1)
     got = sorted(tokenstore.read_documents(spark, path).collect(), key=lambda r: r.start)
-    want = {(d, ids_of(encoders["word_bpe_49k.json"], t, 1).tobytes()) for d, t in rows}
+    want = {(d, ids_of(library["word_bpe_49k.json"], t, 1).tobytes()) for d, t in rows}
     assert len(got) == len(rows) and {(r.doc_id, bytes(r.ids)) for r in got} == want
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])][:len(got)]
     key = lambda d: (d is not None, d or 0)
@@ -208,12 +225,12 @@ def test_packing_plan(seed):
 
 
 @pytest.mark.parametrize("rows", [[], ODD, ODD + [(100 + i, f"word{i} " * (i % 40) * 5) for i in range(200)]])
-def test_packing(spark, encoders, rows):
+def test_packing(spark, library, rows):
     out = packing.pack_documents(documents(spark, rows), queries.tokenizer_path("byte_bpe_50k.json"), capacity=64)
     got, fill = out.collect(), defaultdict(list)
     want = Counter()
     for doc, text in rows:
-        ids = ids_of(encoders["byte_bpe_50k.json"], text, 2)
+        ids = ids_of(library["byte_bpe_50k.json"], text, 2)
         cuts = [0, *range(len(ids) % 64 or 64, len(ids), 64), len(ids)]
         for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
             want[doc, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1

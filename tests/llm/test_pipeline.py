@@ -13,7 +13,7 @@ from tracewright.llm.quality import score_documents
 
 from test_documents import WORDS, ids_of, lines_brute, targets_brute
 from test_groups import near_brute
-from tracewright.llm.tokens import Encoder
+from tokenizers import Tokenizer
 
 
 def test_stages(spark, folder):
@@ -54,7 +54,7 @@ def test_stages(spark, folder):
     assert max(Counter(r.doc_id for r in mixed.collect()).values()) <= 3
 
     packed = stages["best_fit_packing"](spark, mixed, folder).collect()
-    encoder = Encoder(open(queries.tokenizer_path("byte_bpe_50k.json"), encoding="utf-8").read())
+    encoder = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
     want = Counter()
     for r in mixed.collect():
         want[r.doc_id] += len(ids_of(encoder, r.text, 2))

@@ -3,8 +3,9 @@
 A text is cut only where every pre-tokenizer in use starts a new piece anyway, whatever stands around
 it: before a single space between two visible characters, and between a Latin letter and ASCII
 punctuation. Each piece is then encoded by the library once and remembered, so that frequent words
-cost a lookup. The ids equal those of the whole text; a tokenizer whose set-up is not known to respect
-such cuts is given whole texts.
+cost a lookup. Where white space only separates words, texts are split there and words looked up. The ids
+equal those of the whole text; a tokenizer whose set-up is not known to respect such cuts is given whole
+texts, and so is any tokenizer with a text that may hold the string of an added token.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ PIECES = re.compile(rf" ?[{_LETTERS}]+(?=[{_MARKS}]| \S|\Z)| ?[{_MARKS}]+(?= \S|
                     r"|(?s:.)+?(?=(?<=\S) \S|\Z)")
 # Pieces that both kinds of pre-tokenizer keep whole, and that never hold a digit.
 RUN = re.compile(rf" ?(?:[{_LETTERS}]+|[{_MARKS}]+)")
+pack_ids = [struct.Struct(f"<{n}I").pack for n in range(16)]
 MOST_PIECES = 600_000      # remembered in one worker process, about 130 MB
 
 
@@ -60,9 +62,11 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(spec)
-        # A special token's string inside a text is ordinary text, not a control token.
-        self.tokenizer.encode_special_tokens = True
         self.by_piece = _cuts_are_safe(spec)
+        added = [token["content"] for token in json.loads(spec).get("added_tokens", [])]
+        # Added tokens are looked for in whole texts, whatever their case; the search for what they begin with is fast.
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
+        self.openings = {re.match(r"[^\w\s]*", content)[0] for content in added}
         self.known: dict[str, bytes] = {}
         # How the byte-level step writes the characters of runs; words also lose their space and case.
         self.words = self.by_piece and json.loads(spec)["normalizer"] is not None
@@ -89,16 +93,63 @@ class Encoder:
         tokenize, letters, known = self.tokenizer.model.tokenize, self.letters, self.known
         for piece in runs:
             plain = piece.lstrip(" ").lower() if self.words else piece
-            ids = [token.id for token in tokenize(plain.translate(letters))]
-            known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            if not plain.isascii() or " " in plain:     # all else is written by the byte-level step as it is
+                plain = plain.translate(letters)
+            ids = [token.id for token in tokenize(plain)]
+            known[piece] = pack_ids[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn_words(self, new: set[str]) -> None:
+        """Encode new words, by way of their pieces."""
+        known, cut = self.known, {word: PIECES.findall(word) for word in new if not word.isalpha()}
+        pieces = set().union(*cut.values()).difference(known)
+        pieces.update(new.difference(cut))
+        self._learn(list(pieces))
+        for word, parts in cut.items():
+            known[word] = b"".join([known[part] for part in parts])
+
+    def _whole(self, text: str) -> bool:
+        """Whether the library has to see the text whole: it may hold an added token."""
+        return any(opening in text for opening in self.openings) and self.added.search(text) is not None
+
+    def _split(self, text: str) -> list[str] | None:
+        """The words of a text, None if the library has to split it."""
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):      # white space to Python alone
+            return None
+        try:        # up to U+00FF no character's case or form depends on others, so fewer words are to be known
+            text.encode("latin-1")
+            return text.lower().split()
+        except UnicodeEncodeError:
+            return text.split()
+
+    def _by_words(self, texts: list[str], remember: int) -> list[bytes]:
+        split = [self._split(text) for text in texts]
+        if len(self.known) > remember:
+            self.known.clear()
+        # A small table for these texts: most words repeat, and looking them up among all is slower.
+        words = set().union(*filter(None, split))
+        here = dict(zip(words, map(self.known.get, words)))
+        new = {word for word, ids in here.items() if ids is None}
+        if new:
+            self._learn_words(new)
+            here.update((word, self.known[word]) for word in new)
+        return [self._library([text])[0] if words is None else b"".join(map(here.__getitem__, words))
+                for text, words in zip(texts, split)]
 
     def encode(self, texts: list[str], remember: int = MOST_PIECES) -> list[bytes]:
         if not self.by_piece:
             return self._library(texts)
+        whole = [i for i, text in enumerate(texts) if self._whole(text)]
+        if whole:
+            apart_from = set(whole)
+            left = iter(self.encode([text for i, text in enumerate(texts) if i not in apart_from], remember))
+            apart = dict(zip(whole, self._library([texts[i] for i in whole])))
+            return [apart[i] if i in apart else next(left) for i in range(len(texts))]
+        if self.words:
+            return self._by_words(texts, remember)
         cut = [PIECES.findall(text) for text in texts]
         new = list(set().union(*cut).difference(self.known))
         if len(self.known) + len(new) > remember:
-            self.known = {}
+            self.known.clear()
             new = list(set().union(*cut))
         self._learn(new)
         known = self.known.__getitem__

@@ -62,13 +62,14 @@ def _sample(docs: DataFrame, rows: int) -> DataFrame:
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, dictionary_docs: int = 2000,
-                dictionary_bytes: int = 65_536) -> None:
+                dictionary_bytes: int = 65_536, sample_bytes: int = 100_000) -> None:
     """Encode every whole text, append `end_id` and write a store.
 
     docs: doc_id (integer), text; further columns are ignored. Null texts count as empty and give the end
     id alone. A null doc_id sorts first; repeated rows and ids are written as often as they come, in any
     order among themselves. An empty table gives a store without documents. The dictionary is fitted to
-    a sample of at most 2 * `dictionary_docs` documents; everything is encoded.
+    a sample of at most 2 * `dictionary_docs` documents, of which each gives at most the first `sample_bytes`
+    bytes of its ids; everything is encoded. Texts are encoded whole, however long.
     """
     spark = docs.sparkSession
     spec = share_tokenizer(spark, tokenizer)
@@ -84,9 +85,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, diction
 
     def ids_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"ids": [data[:100_000] for _, data in serialised(batch["text"].tolist())]})
+            yield pd.DataFrame({"ids": [data[:sample_bytes] for _, data in serialised(batch["text"].tolist())]})
 
-    sample = _sample(docs, dictionary_docs).mapInPandas(ids_only, "ids binary").collect()
+    sample = _sample(docs, dictionary_docs).repartition(16).mapInPandas(ids_only, "ids binary").collect()
     dictionary = train_dictionary([bytes(row["ids"]) for row in sample], dictionary_bytes)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, dictionary, width, end_id)],
