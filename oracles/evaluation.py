@@ -37,13 +37,22 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY log, kind
 
 
 def _dealt(rows: str, by: str) -> str:
+    """Every case in turn, largest first, goes to the fold that has the fewest rows so far."""
     return f"""(
-      SELECT *, CASE WHEN folds < 2 THEN NULL WHEN place < folds THEN place
-                     ELSE 2 * folds - 1 - place END AS fold
-      FROM (SELECT *, (row_number() OVER (PARTITION BY {by} ORDER BY "rows" DESC, case_id) - 1)
-                      % (2 * folds) AS place
-            FROM (SELECT *, least(5, count(*) OVER (PARTITION BY {by})) AS folds
-                  FROM (SELECT {by}, case_id, count(*) AS "rows" FROM {rows} GROUP BY {by}, case_id))))"""
+      WITH RECURSIVE sized AS MATERIALIZED (
+        SELECT *, least(5, count(*) OVER (PARTITION BY {by})) AS folds,
+               row_number() OVER (PARTITION BY {by} ORDER BY "rows" DESC, case_id) AS nth
+        FROM (SELECT {by}, case_id, count(*) AS "rows" FROM {rows} GROUP BY {by}, case_id)),
+      walk AS (
+        SELECT {by}, CAST(0 AS BIGINT) AS nth, list_transform(range(folds), lambda x: CAST(0 AS BIGINT)) AS loads,
+               CAST(NULL AS BIGINT) AS fold FROM (SELECT DISTINCT {by}, folds FROM sized)
+        UNION ALL
+        SELECT s.{by}, s.nth, list_transform(w.loads, lambda x, i: CASE WHEN i = w.lightest THEN x + s."rows" ELSE x END),
+               w.lightest - 1
+        FROM (SELECT *, list_position(loads, list_min(loads)) AS lightest FROM walk) w
+        JOIN sized s ON s.{by} = w.{by} AND s.nth = w.nth + 1)
+      SELECT s.{by}, s.case_id, s."rows", s.folds, CASE WHEN s.folds >= 2 THEN w.fold END AS fold
+      FROM sized s JOIN walk w ON w.{by} = s.{by} AND w.nth = s.nth)"""
 
 
 def _labelled() -> str:
