@@ -55,12 +55,14 @@ def _dealt(rows: str, by: str) -> str:
       FROM sized s JOIN walk w ON w.{by} = s.{by} AND w.nth = s.nth)"""
 
 
-def _labelled() -> str:
-    """Defined labels of the representative tasks with the most frequent parameters."""
+REPRESENTATIVE = ("NE-NPaA", "NE-NMPr", "NV-PrT", "NV-PaT", "NV-NMPr", "OB-M")
+
+
+def _labelled(tasks: tuple[str, ...] = REPRESENTATIVE) -> str:
+    """Defined labels of the tasks with the most frequent parameters."""
     given = {"participant": "(SELECT param FROM best WHERE kind = 'participant')",
              "activity": "(SELECT param FROM best WHERE kind = 'activity')"}
     sql = expressions("\x00p", "\x00a")
-    tasks = ("NE-NPaA", "NE-NMPr", "NV-PrT", "NV-PaT", "NV-NMPr", "OB-M")
     parts = []
     for key in tasks:
         y = sql[key].replace("'\x00p'", "p_star").replace("'\x00a'", "a_hat")
@@ -103,6 +105,26 @@ per_label AS (
 f1 AS (SELECT task, fold, avg(2.0 * tp / (actual + predicted)) AS score,
               CAST(sum(actual) AS BIGINT) AS "rows" FROM per_label GROUP BY task, fold)"""
 
+
+
+def _constants(tasks: tuple[str, ...]) -> str:
+    """Result rows of the constant predictors."""
+    sql = expressions("\x00p", "\x00a")
+    asks = lambda mark: ", ".join(f"'{k}'" for k in tasks if mark in sql[k]) or "NULL"
+    return with_ctes(EVENTS, EV, TRACE, FIRST_SEEN, _labelled(tasks), MEDIANS, MEDIAN_SCORES, MAJORITY, query=f"""
+        SELECT w.task, coalesce(s.samples, 0) AS samples, s.samples IS NOT NULL AS ran_end_to_end,
+               CASE WHEN folds IS NULL THEN NULL WHEN w.task LIKE 'NV-%' THEN 'mae' ELSE 'f1_macro' END AS metric_name,
+               round(mean, 6) AS metric_mean, round(sd, 6) AS metric_sd, round(mean, 6) AS baseline_mean, folds,
+               CASE WHEN w.task IN ({asks(chr(0) + 'p')}) THEN (SELECT param FROM best WHERE kind = 'participant') END AS participant,
+               CASE WHEN w.task IN ({asks(chr(0) + 'a')}) THEN (SELECT param FROM best WHERE kind = 'activity') END AS obm_activity,
+               CASE WHEN s.samples IS NULL THEN 'no labelled rows' END AS note
+        FROM (SELECT unnest({list(tasks)}) AS task) w
+        LEFT JOIN (SELECT task, count(*) AS samples FROM labelled GROUP BY task) s USING (task)
+        LEFT JOIN (SELECT task, avg(score) AS mean, stddev_pop(score) AS sd, CAST(count(*) AS INTEGER) AS folds
+                   FROM (SELECT task, fold, score FROM mae UNION ALL SELECT task, fold, score FROM f1)
+                   GROUP BY task) USING (task)""")
+
+
 REPEATED = """
 pred AS (SELECT actor, lead(activity) OVER w AS y, activity AS prediction,
                 (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6 AS seconds, length(event_id) * 1000.0 AS guess
@@ -113,6 +135,8 @@ cut AS (SELECT * FROM pred WHERE y IS NOT NULL)"""
 def oracles() -> dict[str, str]:
     features = (EVENTS, EV, PAIRS, MESSAGES)
     return {
+        "cv_baselines": _constants(REPRESENTATIVE),
+        "cv_baselines_full_catalog": _constants(tuple(k for k in expressions("", "") if not k.startswith("X-"))),
         "feature_table": with_ctes(*features, query=f"""
             SELECT case_id, event_id, {BASIC}, {COUNTS} FROM with_message"""),
         "feature_table_direct": with_ctes(EVENTS, EV, query=f"SELECT event_id, {DIRECT} FROM ev"),

@@ -159,6 +159,20 @@ def test_folds_are_grouped_and_even(spark):
     same_rows(folds, FO.grouped_folds(rows, 5, forced(rows)))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_every_case_goes_to_the_lightest_fold(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"c{i:03}": rng.choice([1, 1, 2, 3, 5, 8, 13, 40]) for i in range(rng.randrange(3, 70))}
+    rows = spark.createDataFrame([("log", case, j) for case, n in sizes.items() for j in range(n)],
+                                 "log string, case_id string, j int")
+    k = min(5, len(sizes))
+    loads, wanted = [0] * k, {}
+    for case in sorted(sizes, key=lambda c: (-sizes[c], c)):
+        wanted[case] = loads.index(min(loads))
+        loads[wanted[case]] += sizes[case]
+    assert {r["case_id"]: r["fold"] for r in FO.grouped_folds(rows, 5).collect()} == wanted
+
+
 def test_single_case_has_no_folds(spark):
     rows = spark.createDataFrame([("log", "c", 1)], "log string, case_id string, j int")
     assert FO.grouped_folds(rows, 5).first()["fold"] is None

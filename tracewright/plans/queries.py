@@ -511,6 +511,26 @@ def cv_linear(spark: SparkSession, folder: str) -> DataFrame:
     return E.evaluate(trace, Experiment(tasks=tasks), skew, linear=True)
 
 
+def constant_results(spark: SparkSession, folder: str, tasks: tuple[str, ...]) -> DataFrame:
+    src, skew = events_source(spark, folder)
+    found = E.evaluate_constants(T.trace_without_receives(src, skew), Experiment(tasks=tasks), skew)
+    return found.select("task", "samples", "ran_end_to_end", "metric_name", F.round("metric_mean", 6).alias("metric_mean"),
+                        F.round("metric_sd", 6).alias("metric_sd"), F.round("baseline_mean", 6).alias("baseline_mean"),
+                        "folds", "participant", "obm_activity", "note")
+
+
+@query("cv_baselines")
+def cv_baselines(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples and baselines of the published targets, as the forests are held against."""
+    return constant_results(spark, folder, Experiment().tasks)
+
+
+@query("cv_baselines_full_catalog")
+def cv_baselines_full_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for every target that a plain log has too."""
+    return constant_results(spark, folder, E.FULL_CATALOG)
+
+
 @query("cv_forest")
 def cv_forest(spark: SparkSession, folder: str) -> DataFrame:
     """Cross-validated forests with the published settings on the published targets."""
