@@ -132,19 +132,20 @@ def equivalence(other: str, activities: list[str], digits: int | None = None) ->
 
 
 def examples() -> str:
-    keys = "('NE-NPaA', 'NV-TNE', 'NV-NMPr')"
+    sides = [f"{side}{LONG_COLUMNS} AS ({long_selects('t_' + side, ['P1'], ['purchase'], side == 'ref')})"
+             for side in ("ref", "obj")]
     return with_ctes(
-        *two_sides(DISTURBED),
-        f"ref{LONG_COLUMNS} AS ({long_selects('t_ref', [], [], True)})",
-        f"obj{LONG_COLUMNS} AS ({long_selects('t_obj', [], [])})",
-        f"""differing AS (
-          SELECT task, case_id, a.k, a.y_str AS ref_str, a.y_num AS ref_num, b.y_str AS obj_str,
-                 b.y_num AS obj_num
-          FROM ref a JOIN obj b USING (task, case_id, k) WHERE task IN {keys}
+        *two_sides(DISTURBED), *sides,
+        """differing AS (
+          SELECT task, coalesce(a.param, '') AS param, case_id, a.k, a.y_str AS ref_str, a.y_num AS ref_num,
+                 b.y_str AS obj_str, b.y_num AS obj_num, CAST(a.y_bool AS VARCHAR) AS ref_bool,
+                 CAST(b.y_bool AS VARCHAR) AS obj_bool
+          FROM ref a JOIN obj b USING (task, case_id, k) WHERE a.param IS NOT DISTINCT FROM b.param
           AND NOT CASE WHEN left(task, 2) = 'NV' THEN coalesce(abs(a.y_num - b.y_num) <= 1.0,
                             a.y_num IS NULL AND b.y_num IS NULL)
+                       WHEN left(task, 2) = 'OB' THEN a.y_bool IS NOT DISTINCT FROM b.y_bool
                        ELSE a.y_str IS NOT DISTINCT FROM b.y_str END)""",
-        query="""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY case_id, k) AS nth
+        query="""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task, param ORDER BY case_id, k) AS nth
                  FROM differing) WHERE nth <= 5""")
 
 

@@ -167,3 +167,11 @@ def test_directly_follows(spark):
     assert graph["CollaborationInstance", "x", "y"] == (3, 2, 3)
     assert graph["CollaborationInstance", "y", "x"] == (1, 1, 1)
     same_rows(discover.directly_follows(r), discover.directly_follows(r, forced(r.events)))
+
+
+def test_dangling_edges_without_a_type_are_counted(spark):
+    """As read back, where an edge has the type of the object it points to."""
+    good = transform(src := frame(spark, [event("c", 0, 0), event("d", 1, 0)]), keep=True)
+    bad = replace(good, objects=good.objects.filter("oid != 'ci::d'"),
+                  e2o=good.e2o.withColumn("otype", F.when(F.col("oid") != "ci::d", F.col("otype"))))
+    assert measures(checks.check_measures(src, bad))[checks.PARTITION, "dangling_within"] == 1

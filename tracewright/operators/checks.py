@@ -70,7 +70,9 @@ def case_mismatches(src: DataFrame, relations: Relations, v: Vocabulary = VOCABU
 
 
 def _within(relations: Relations, v: Vocabulary) -> DataFrame:
-    edges = relations.e2o.filter((F.col("qualifier") == v.within) & (F.col("otype") == v.instance))
+    # Relations read back take an edge's type from its object, so an edge to no object has none.
+    edges = relations.e2o.filter((F.col("qualifier") == v.within)
+                                 & (F.coalesce("otype", F.lit(v.instance)) == v.instance))
     return (edges.select("log", "oid", "eid").distinct()
             .groupBy("log", "oid").agg(F.count(F.lit(1)).alias("events")))
 

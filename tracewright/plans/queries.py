@@ -349,17 +349,22 @@ def fidelity_disturbed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("mismatch_examples")
 def mismatch_examples(spark: SparkSession, folder: str) -> DataFrame:
+    """The first differing labels of every compared target, for one participant and one activity."""
     src, skew = events_source(spark, folder)
-    keys = ["NE-NPaA", "NV-TNE", "NV-NMPr"]
+    asked = {"participant": "P1", "activity": "purchase"}
+    params = {key: F.lit(asked[TASKS[key].param]) for key in COMPARED_TASKS if TASKS[key].param}
 
     def long(trace: DataFrame, order: list[str]) -> DataFrame:
-        return L.long_labels(L.label_columns(trace, keys, skew=skew, order=order), keys)
+        wide = L.label_columns(trace, COMPARED_TASKS, *asked.values(), skew, order)
+        return L.long_labels(wide, COMPARED_TASKS, params)
 
     reference = long(T.source_trace(src), ["ts", "src_order"])
     other = long(T.trace_without_receives(disturbed(src), skew), ["ts", "event_id"])
     aligned = fidelity.align_labels(reference, other)
+    texts = [F.col(c).cast("string").alias(c) for c in ("ref_bool", "obj_bool")]
     return fidelity.mismatch_examples(aligned).select(
-        "task", "case_id", "k", "ref_str", "ref_num", "obj_str", "obj_num", "nth")
+        "task", F.coalesce("param", F.lit("")).alias("param"), "case_id", "k", "ref_str", "ref_num", "obj_str", "obj_num",
+        *texts, "nth")
 
 
 @query("fidelity_consistency")
