@@ -142,6 +142,19 @@ def oracles() -> dict[str, str]:
         "feature_table_direct": with_ctes(EVENTS, EV, query=f"SELECT event_id, {DIRECT} FROM ev"),
         "past_features": with_ctes(ORDERS, EV, PAIRS, MESSAGES, query=f"""
             SELECT event_id, {BASIC} FROM with_message"""),
+        "feature_vectors": with_ctes(
+            ORDERS, EV, PAIRS, MESSAGES,
+            "places AS (SELECT activity, row_number() OVER (ORDER BY activity) + 2 AS place "
+            "FROM (SELECT DISTINCT activity FROM with_message WHERE activity IS NOT NULL))",
+            "ranked AS (SELECT *, row_number() OVER (PARTITION BY log, case_id ORDER BY ts, event_id) AS k "
+            "FROM with_message LEFT JOIN places USING (activity))",
+            """counted AS (
+              SELECT event_id, string_agg(place || ':' || n, ' ' ORDER BY place) AS activities
+              FROM (SELECT a.event_id, b.place, count(*) AS n FROM ranked a
+                    JOIN ranked b ON b.log = a.log AND b.case_id = a.case_id AND b.k < a.k
+                    WHERE b.place IS NOT NULL GROUP BY ALL) GROUP BY event_id)""", query=f"""
+            SELECT w.event_id, {BASIC}, coalesce(c.activities, '') AS activities
+            FROM with_message w LEFT JOIN counted c USING (event_id)"""),
         "preceding_activities": with_ctes(ORDERS, EV, TRACE, query="""
             SELECT a.event_id, b.activity, CAST(count(*) AS DOUBLE) AS occurrences
             FROM t a JOIN t b ON b.log = a.log AND b.case_id = a.case_id AND b.k < a.k GROUP BY ALL"""),

@@ -15,6 +15,7 @@ from tracewright.operators import fidelity as FI
 from tracewright.operators import folds as FO
 from tracewright.operators import labels as L
 from tracewright.operators import match as J
+from tracewright.operators import sparse as SP
 from tracewright.operators import trace as T
 from tracewright.operators.mapping import transform
 from tracewright.plans import evaluation as E
@@ -139,6 +140,52 @@ def test_any_number_of_activities(spark):
     assert FE.preceding_activities(trace).count() == 1200 * 1199 // 2
 
 
+def as_counts(rows):
+    return {r["event_id"]: dict(zip(r["at"], r["x"])) for r in rows}
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_sparse_features_are_the_wide_ones(spark, sample, monkeypatch, block):
+    monkeypatch.setattr(SP, "BLOCK", block)
+    _, trace = sample
+    names = FE.activity_names(trace)
+    index = SP.activity_index(trace)
+    assert {r["place"]: r["activity"] for r in index.collect()} == dict(enumerate(names))
+    columns = FE.BASE_FEATURES + FE.activity_columns(names)
+    wide = {r["event_id"]: {i: r[c] for i, c in enumerate(columns) if i < 3 or r[c]}
+            for r in FE.feature_table(trace, names).collect()}
+    for skew in (None, forced(trace)):
+        found = SP.feature_vectors(trace, index, skew).collect()
+        assert len(found) == len(wide) and as_counts(found) == wide
+        assert all(r["at"] == sorted(r["at"]) for r in found)
+
+
+def test_sparse_features_of_odd_events(spark):
+    """No activity, an activity missing in the index, an empty trace, equal activities in two logs."""
+    rows = [event("c", 0, 0, activity="b"), event("c", 1, 1, activity="none"), event("c", 2, 2, activity="a"),
+            event("c", 3, 3, activity="b"), event("d", 0, 0, activity="b")]
+    trace = trace_of(spark, rows).withColumn("activity", F.nullif("activity", F.lit("none")))
+    index = SP.activity_index(trace)
+    counts = {r["event_id"]: [tuple(e) for e in r["entries"]] for r in SP.activity_counts(trace, index).collect()}
+    assert sorted(counts.values()) == [[], [], [(0, 1), (1, 1)], [(1, 1)], [(1, 1)]]
+    only = index.filter("activity = 'a'")
+    assert sorted(r["entries"] != [] for r in SP.activity_counts(trace, only).collect()) == [False] * 4 + [True]
+    none = trace.limit(0)
+    assert SP.activity_index(none).count() == 0 and SP.feature_vectors(none, index).count() == 0
+
+
+def test_sparse_features_of_many_activities(spark):
+    """100,000 activities: no column each, and an execution whose activities all differ."""
+    rows = [event(f"c{i % 500}", i, i, activity=f"a{i:06}") for i in range(100_000)]
+    trace = trace_of(spark, rows)
+    index = SP.activity_index(trace)
+    found = SP.feature_vectors(trace, index).select(
+        F.size("at").alias("n"), F.array_max("at").alias("top"), F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("s"))
+    r = found.agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.max("top").alias("top")).first()
+    # The last event of the last execution follows the activity 500 places before the last one.
+    assert (r["rows"], r["n"], r["top"]) == (100_000, 300_000 + 500 * 200 * 199 // 2, 3 + 99_999 - 500)
+
+
 def test_alignment(spark, sample):
     _, trace = sample
     table = FE.past_features(trace)

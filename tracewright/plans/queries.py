@@ -13,7 +13,7 @@ from tracewright.catalog import COMPARED_TASKS, TASKS
 from tracewright.config import VOCABULARY as V
 from tracewright.config import Experiment, SourceColumns
 from tracewright.functions.columns import iso_time
-from tracewright.operators import checks, discover, features, fidelity, folds
+from tracewright.operators import checks, discover, features, fidelity, folds, sparse
 from tracewright.operators import labels as L
 from tracewright.operators import mapping as M
 from tracewright.operators import match as J
@@ -394,6 +394,19 @@ def feature_table_direct(spark: SparkSession, folder: str) -> DataFrame:
         "log", "case_id", "remaining", *features.BASE_FEATURES)
 
 
+@query("feature_vectors")
+def feature_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Sparse features: the places of the activities that occurred before, and how often, as text."""
+    src, skew = orders_source(spark, folder)
+    trace = T.trace_of_matched(J.match_messages(src, skew))
+    rows = sparse.feature_vectors(trace, sparse.activity_index(trace), skew)
+    entries = F.transform(F.arrays_zip("at", "x"), lambda e: F.concat(
+        e["at"].cast("string"), F.lit(":"), e["x"].cast("long").cast("string")))
+    first = len(features.BASE_FEATURES)
+    return rows.select("event_id", "remaining", *features.BASE_FEATURES, F.array_join(
+        F.slice(entries, first + 1, F.greatest(F.size("at") - first, F.lit(0))), " ").alias("activities"))
+
+
 @query("past_features")
 def past_features(spark: SparkSession, folder: str) -> DataFrame:
     src, skew = orders_source(spark, folder)
