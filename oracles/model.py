@@ -146,6 +146,12 @@ def oracles() -> dict[str, str]:
                    from_p AS from_participant, to_p AS to_participant, props, 1 AS attributes FROM src"""),
         "unreadable_times": with_ctes(MESSY, query="""
             SELECT count(*) AS unreadable FROM src WHERE ts IS NULL"""),
+        "event_log_registry": with_ctes(EVENTS, query="""
+            SELECT w.log, coalesce(events, 0) AS events, coalesce(cases, 0) AS cases, coalesce(events, 0) AS positions,
+                   w.log IN ('part2', 'gone') AS failed
+            FROM (SELECT unnest(['part0', 'part1', 'part2', 'gone']) AS log) w
+            LEFT JOIN (SELECT 'part' || (src_order % 3) AS log, count(*) AS events, count(DISTINCT case_id) AS cases
+                       FROM src WHERE src_order % 3 <> 2 GROUP BY ALL) USING (log)"""),
         "event_log_xml": with_ctes(EVENTS, EV, PAIRS, query="""
             SELECT ev.log, ev.case_id, event_id, activity, epoch_us(ts) AS ts, elem, participant,
                    from_p AS from_participant, to_p AS to_participant, props,

@@ -13,18 +13,15 @@ from tracewright.operators.match import match_messages
 from tracewright.operators.skew import Skew
 from tracewright.session import materialize, prepare, size_shuffles
 from tracewright.sources.documents import document_violations, require_valid, write_documents
-from tracewright.sources.flat import read_logs
+from tracewright.sources import xes
 from tracewright.sources.relational import write_relational
-from tracewright.sources.xes import read_event_log
 
 
 def read_event_logs(spark: SparkSession, specs: Iterable[LogSpec],
                     names: SourceColumns = SourceColumns()
                     ) -> tuple[DataFrame | None, list[dict[str, str]]]:
-    """Source events of all readable logs, and error rows for the others."""
-    def read(spec: LogSpec) -> DataFrame:
-        return read_event_log(spark, spec.events, spec.name, names)
-    return read_logs(specs, read)
+    """Source events of all readable logs in one scan, and error rows for the others."""
+    return xes.read_event_logs(spark, {spec.name: spec.events for spec in specs}, names)
 
 
 def convert(src: DataFrame, folder: str | None = None, strict: bool = False, validate: bool = True,
@@ -37,7 +34,7 @@ def convert(src: DataFrame, folder: str | None = None, strict: bool = False, val
     """
     spark = prepare(src.sparkSession)
     tell = report or (lambda _name, _df: None)
-    # Text sources are parsed once; this also fixes source positions that come from row ids.
+    # Sources are parsed once; this also fixes positions that come from row ids.
     src = materialize(src, "source")
     skew = skew or Skew.of(src)
     size_shuffles(spark, skew.rows)

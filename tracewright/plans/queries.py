@@ -616,9 +616,10 @@ def unreadable_times(spark: SparkSession, folder: str) -> DataFrame:
 CHUNK = 500  # events of a case in one trace element
 
 
-def write_event_log(spark: SparkSession, folder: str) -> str:
-    """The events as event-log XML; long cases are spread over several trace elements."""
+def write_event_log(spark: SparkSession, folder: str, part: str = "true") -> str:
+    """The events as event-log XML, also only a part; long cases are spread over several trace elements."""
     src, skew = events_source(spark, folder)
+    src = src.filter(part)
     names = SourceColumns()
 
     def attribute(key: str, value):
@@ -645,6 +646,21 @@ def write_event_log(spark: SparkSession, folder: str) -> str:
     return path
 
 
+@query("event_log_registry")
+def event_log_registry(spark: SparkSession, folder: str) -> DataFrame:
+    """Four event logs in one scan, a row for each: the events dealt to three, of which the third is not
+    well-formed, and one that does not exist."""
+    paths = {f"part{i}": write_event_log(spark, folder, f"src_order % 3 = {i}") for i in range(3)}
+    broken = new_folder(spark, "broken-log")
+    spark.read.text(paths["part2"]).select(F.replace("value", F.lit("</trace>"), F.lit("</event></trace>"))).write.text(broken)
+    src, errors = xes.read_event_logs(spark, paths | {"part2": broken, "gone": f"{broken}-gone"})
+    found = src.groupBy("log").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("case_id").alias("cases"),
+                                   (F.max("src_order") + 1).alias("positions"), F.lit(False).alias("failed"))
+    failed = [(e["log"], 0, 0, 0, True) for e in errors]
+    return found.unionByName(spark.createDataFrame(
+        failed, "log string, events long, cases long, positions long, failed boolean"))
+
+
 @query("event_log_xml")
 def event_log_xml(spark: SparkSession, folder: str) -> DataFrame:
     """Scan of event-log XML, and the message pairs found in it."""

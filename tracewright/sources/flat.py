@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewright.config import VOCABULARY, LogSpec, SourceColumns, Vocabulary
 from tracewright.functions.columns import clean, columns_to_map, parse_time
 from tracewright.session import materialize
+from tracewright.sources.position import with_position
 
 
 def require_columns(df: DataFrame, names: SourceColumns = SourceColumns()) -> None:
@@ -29,8 +30,8 @@ def source_events(df: DataFrame, log: str, names: SourceColumns = SourceColumns(
                   vocabulary: Vocabulary = VOCABULARY) -> DataFrame:
     """Source-event schema from a flat frame with one row per event.
 
-    `order_column` holds the position in the source; without it the position follows Spark's row
-    ids, which keep file order inside a file. Columns that are not configured become residual
+    `order_column` holds the position in the source; without it rows of a scan of files are numbered along
+    the files, in order of their paths, and rows of any other frame by Spark's row ids. Columns that are not configured become residual
     attributes, except internal ones that start with two underscores. Timestamp text that cannot be
     read is kept in `unread_ts`.
     """
@@ -45,11 +46,12 @@ def source_events(df: DataFrame, log: str, names: SourceColumns = SourceColumns(
             if c not in names.consumed and c not in (order_column, vocabulary.elem_type_attr)
             and not c.startswith("__")]
     ts = parse_time(raw_ts) if is_text else raw_ts.cast("timestamp")
-    position = F.col(order_column) if order_column else F.monotonically_increasing_id()
+    if not order_column:
+        df, order_column = with_position(df, "__position"), "__position"
     return df.select(
         F.lit(log).alias("log"),
         F.col(f"`{names.case}`").cast("string").alias("case_id"),
-        position.cast("long").alias("src_order"),
+        F.col(f"`{order_column}`").cast("long").alias("src_order"),
         F.col(f"`{names.activity}`").cast("string").alias("activity"),
         ts.alias("ts"), F.when(ts.isNull(), raw_ts.cast("string")).alias("unread_ts"),
         F.coalesce(text(names.elem_type), F.lit(vocabulary.task_elem)).alias("elem"),

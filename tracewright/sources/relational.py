@@ -12,6 +12,7 @@ from tracewright.config import VOCABULARY, Vocabulary
 from tracewright.functions.columns import columns_to_map, iso_time, no_nulls, parse_time, without_keys
 from tracewright.operators.attributes import latest_attributes
 from tracewright.operators.mapping import Relations
+from tracewright.sources.position import place
 
 # Column names of the relational standard.
 EVENT_CORE = ["ocel_id", "ocel_time"]
@@ -38,13 +39,19 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """A table with the place of its rows, by which the later of two changes is told."""
+    return df.select("*", place(df).alias("_place"))
+
+
 def _versions(df: DataFrame, log: Column) -> DataFrame:
-    """Change rows of one or several object types: attributes as a map, rows numbered."""
-    names = [c for c in df.columns if c not in OBJECT_CORE + ["log", "ocel_type_map"]]
+    """Change rows of one or several object types: attributes as a map, rows with their place."""
+    df, order = df if "_place" in df.columns else _placed(df), F.col("_place")
+    names = [c for c in df.columns if c not in OBJECT_CORE + ["log", "ocel_type_map", "_place"]]
     return df.select(log.alias("log"), F.col("ocel_id").alias("oid"),
                      F.col("ocel_time").cast("string").alias("ocel_time"),
                      columns_to_map(names).alias("attrs"),
-                     F.monotonically_increasing_id().alias("row_order"))
+                     order.alias("row_order"))
 
 
 def _event_details(df: DataFrame, log: Column) -> DataFrame:
@@ -86,13 +93,12 @@ def relations_of_tables(tables: Mapping[str, DataFrame], log: str,
     """
     name = F.lit(log)
 
-    def per_type(kind: str) -> DataFrame:
-        kinds = _few(tables[f"{kind}_map_type"], "ocel_type_map")
-        return _union([tables[f"{kind}_{k}"] for k in kinds])
+    def per_type(kind: str) -> list[DataFrame]:
+        return [tables[f"{kind}_{k}"] for k in _few(tables[f"{kind}_map_type"], "ocel_type_map")]
 
     return _assemble(name, tables["event"], tables["object"], tables["event_object"],
-                     tables["object_object"], _event_details(per_type("event"), name),
-                     _versions(per_type("object"), name), v)
+                     tables["object_object"], _event_details(_union(per_type("event")), name),
+                     _versions(_union([_placed(t) for t in per_type("object")]), name), v)
 
 
 def write_relational(relations: Relations, folder: str, v: Vocabulary = VOCABULARY) -> None:
@@ -189,6 +195,6 @@ def relations_of_changes(events: DataFrame, object_types: DataFrame,
     events = strip_prefix(events, "event_").withColumnsRenamed(
         {"id": "ocel_id", "activity": "ocel_type", "timestamp": "ocel_time"})
     objects = object_types.withColumnsRenamed({"object_id": "ocel_id", "type": "ocel_type"})
-    versions = _union(list(changes.values())).withColumnRenamed("object_id", "ocel_id")
+    versions = _union([_placed(t) for t in changes.values()]).withColumnRenamed("object_id", "ocel_id")
     return _assemble(name, events, objects, e2o, o2o, _event_details(events.drop("ocel_type"), name),
                      _versions(versions, name), v)
