@@ -260,6 +260,49 @@ def test_quality_on_held_out_rows(spark, folder):
     assert wins > 0.95 and np.mean([s >= 0.3 for s in good]) > 0.97
 
 
+def test_quality_against_plain_python(spark, folder):
+    """Dictionaries, compressed sizes and scores, computed again text by text without the module's functions."""
+    import zstandard
+
+    docs, labels = (queries.table(spark, folder, name) for name in ("documents", "labels"))
+    model = quality.fit_quality(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect()
+             if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5}
+    for label, dictionary in ((1, model.good), (0, model.bad)):
+        own = sorted((zlib.crc32(f"q{d}".encode()), d) for d, q in known.items() if q == label)[:1200]
+        data = [texts[d].encode() for _, d in own if d in texts and len(texts[d]) <= 50_000]
+        assert dictionary == zstandard.train_dictionary(
+            112_640, [b[i:i + 2048] for b in data for i in range(0, len(b), 2048)]).as_bytes()
+
+    def size(content, block):
+        given = zstandard.ZstdCompressionDict(content) if content else None
+        return len(zstandard.ZstdCompressor(3, given, write_content_size=False, write_checksum=False, write_dict_id=False).compress(block))
+
+    scored = {r.doc_id: r.score for r in quality.score_documents(docs, labels).collect()}
+    assert set(scored) == set(texts)
+    for doc, text in sorted(texts.items())[::20]:
+        data = text.encode()
+        blocks = [data[i:i + 1024] for i in range(0, len(data), 1024)] or [b""]
+        good, bad = (sum(size(content, b) for b in blocks) for content in (model.good, model.bad))
+        n = max(len(data), 1)
+        seen = [(good - bad) / n, good / n, bad / n, size(None, data) / n, np.log(1 + len(data))]
+        z = [min(8, max(-8, (v - m) / d)) for v, m, d in zip(seen, model.mean, model.spread)]
+        x = sum(w * v for w, v in zip(model.weights, [*z, *[v * v for v in z], 1]))
+        assert scored[doc] == pytest.approx(1 / (1 + np.exp(-min(30, max(-30, x)))), abs=1e-9)
+
+
+def test_quality_blocks_are_drawn_from_whole_texts():
+    rng = random.Random(3)
+    texts = [(label, "".join(rng.choices("abcdefgh" if label else "stuvwxyz", k=60_000))) for label in (0, 1, 1)]
+    whole, few = (quality._dictionaries(texts, most) for most in (1000, 20))
+    assert whole != few and few == quality._dictionaries(texts, 20) and all(few)
+    # The last text has as good a chance as the first one.
+    blocks = [text[i:i + 2048].encode() for label, text in texts if label for i in range(0, 60_000, 2048)]
+    drawn = sorted(range(len(blocks)), key=lambda i: (zlib.crc32(blocks[i]), i))[:20]
+    assert max(drawn) >= 30 and few[0] == tokenstore.train_dictionary([blocks[i] for i in sorted(drawn)], 112_640)
+
+
 @pytest.mark.parametrize("labels", [[], [(3, 1)], [(3, 1), (4, 0)], [(i, i % 2) for i in range(10)]])
 def test_quality_with_few_labels(spark, labels):
     frame = spark.createDataFrame([(*row, 0) for row in labels], "doc_id long, quality int, toxic int")

@@ -9,6 +9,7 @@ and the text's length, since a given difference means less for text that is hard
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -96,25 +97,36 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5
 
 
-def _dictionaries(texts: list[tuple[int, str | None]]) -> tuple[bytes | None, bytes | None]:
-    """Dictionaries of good and bad texts, None for a class without text."""
+def _dictionaries(texts: list[tuple[int, str | None]], most_samples: int
+                  ) -> tuple[bytes | None, bytes | None]:
+    """Dictionaries of good and bad texts, None for a class without text.
+
+    Of more than `most_samples` blocks those with the smallest hashes are taken, from whole texts.
+    """
+    def drawn(blocks: list[bytes]) -> list[bytes]:
+        if len(blocks) <= most_samples:
+            return blocks
+        first = sorted(range(len(blocks)), key=lambda i: (zlib.crc32(blocks[i]), i))[:most_samples]
+        return [blocks[i] for i in sorted(first)]
+
     found: dict[int, list[bytes]] = {0: [], 1: []}
     for label, text in texts:
         data = (text or "").encode()
         found[label] += [data[i:i + 2048] for i in range(0, len(data), 2048)]
-    good, bad = (train_dictionary(found[label][:16_000], DICTIONARY_BYTES) if any(found[label]) else None
+    good, bad = (train_dictionary(drawn(found[label]), DICTIONARY_BYTES) if any(found[label]) else None
                  for label in (1, 0))
     return good, bad
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, class_docs: int = 1200, curve_docs: int = 9000,
-                most_chars: int = 50_000) -> QualityModel:
+                most_chars: int = 50_000, most_samples: int = 16_000) -> QualityModel:
     """Learn from labelled rows outside the held-out fold.
 
     docs: doc_id, text. labels: doc_id, quality (1 good, 0 bad; other values and nulls are ignored).
     The model is fitted to a bounded sample, chosen by a hash of the id: at most `class_docs` documents
     of each class for the dictionaries and `curve_docs` documents for the curve, none of them longer
-    than `most_chars`. The sample is dealt into three parts, and the curve sees each part's texts as
+    than `most_chars`. A dictionary is trained on at most `most_samples` blocks of 2,048 bytes of its class,
+    drawn by hash from the whole sampled texts. The sample is dealt into three parts, and the curve sees each part's texts as
     compressed with dictionaries of the two others, since a dictionary knows its own texts by heart.
     Without both classes every score is the share of good labels, 0.5 without any.
     """
@@ -135,11 +147,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, class_docs: int = 1200, curv
 
     rows = (sample.filter("use = 'dictionary'").orderBy("chance", "doc_id", "text").limit(2 * class_docs)
             .select("quality", "text", "third").collect())
-    good, bad = _dictionaries([(r["quality"], r["text"]) for r in rows])
+    good, bad = _dictionaries([(r["quality"], r["text"]) for r in rows], most_samples)
     if good is None or bad is None:
         share = known.agg(F.avg("quality")).first()[0]
         return QualityModel(None, None, prior=0.5 if share is None else share)
-    others = [QualityModel(*_dictionaries([(r["quality"], r["text"]) for r in rows if r["third"] != third]))
+    others = [QualityModel(*_dictionaries([(r["quality"], r["text"]) for r in rows if r["third"] != third], most_samples))
               for third in range(3)]
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,7 +162,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, class_docs: int = 1200, curv
 
     whole = [third for third in range(3) if others[third].good and others[third].bad]
     rows = (sample.filter((F.col("use") == "curve") & F.col("third").isin(whole)).select("text", "quality", "third")
-            .limit(2 * curve_docs)
+            .limit(2 * curve_docs).repartition(16)
             .mapInPandas(measured, "a double, b double, c double, d double, e double, quality int").toPandas())
     y, x = rows["quality"].to_numpy(float), rows[list("abcde")].to_numpy(float).reshape(-1, 5)
     if len(set(y)) < 2:         # too few labels for a curve: the sign of the difference decides
@@ -175,7 +187,7 @@ def quality_score(text: Column, model: QualityModel) -> Column:
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """`docs` with held_out, score (0 to 1) and predicted (1 from `threshold` on).
 
-    Scores depend on the text alone. Rows with a null doc_id are held out. Repeated rows score alike; an
+    Scores depend on the text alone, on all of it, however long. Rows with a null doc_id are held out. Repeated rows score alike; an
     empty table gives an empty result. Columns named like the new ones are replaced.
     """
     model = fit_quality(docs, labels)
