@@ -125,6 +125,57 @@ def _constants(tasks: tuple[str, ...]) -> str:
                    GROUP BY task) USING (task)""")
 
 
+# Normal equations with a unit diagonal, solved by elimination; the last column is the right side.
+def _normal(features: list[str]) -> str:
+    n = len(features) + 1
+    return f"""
+sights AS (SELECT event_id, {BASIC}, {COUNTS} FROM with_message),
+xy AS (SELECT l.task, l.fold, l.y_num AS y,
+              [1.0::DOUBLE, {", ".join(f"coalesce({c}, 0)" for c in features)}] AS x
+       FROM labelled l JOIN sights USING (event_id) WHERE y_num IS NOT NULL),
+sums AS (SELECT task, fold, i, j, sum(x[i] * CASE WHEN j > len(x) THEN y ELSE x[j] END) AS s
+         FROM xy, (SELECT unnest(range(1, {n + 1})) AS i), (SELECT unnest(range(1, {n + 2})) AS j) GROUP BY ALL),
+train AS (SELECT s.task, f.fold, i, j, sum(s) AS s FROM sums s JOIN (SELECT DISTINCT task, fold FROM sums) f
+          ON f.task = s.task AND f.fold <> s.fold GROUP BY ALL),
+unit AS (SELECT task, fold, i, sqrt(s) AS d FROM train WHERE i = j),
+scaled AS (SELECT t.task, t.fold, t.i, list(s / a.d / coalesce(b.d, 1) ORDER BY t.j) AS line, any_value(a.d) AS d
+           FROM train t JOIN unit a ON a.task = t.task AND a.fold = t.fold AND a.i = t.i
+           LEFT JOIN unit b ON b.task = t.task AND b.fold = t.fold AND b.i = t.j
+           GROUP BY t.task, t.fold, t.i),
+solved AS (
+  SELECT task, fold, 0 AS k, list(line ORDER BY i) AS m, list(d ORDER BY i) AS d, min(d) AS lowest FROM scaled GROUP BY task, fold
+  UNION ALL
+  SELECT task, fold, k + 1, list_transform(m, lambda line, i: CASE WHEN i = k + 1 THEN list_transform(line, lambda v: v / m[k + 1][k + 1])
+           ELSE list_transform(line, lambda v, j: v - line[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END), d,
+         least(lowest, m[k + 1][k + 1])
+  FROM solved WHERE k < {n}),
+fits AS (SELECT task, fold, list_transform(m, lambda line, i: line[{n + 1}] / d[i]) AS b FROM solved WHERE k = {n} AND lowest > 1e-9),
+linear AS (SELECT xy.task, xy.fold, avg(abs(y - list_dot_product(x, b))) AS score
+           FROM xy JOIN fits ON fits.task = xy.task AND fits.fold = xy.fold GROUP BY ALL)"""
+
+
+FEATURES = ["elapsed", "previous_participants", "previous_messages", *("before_" + a for a in ACTIVITIES)]
+
+
+def _least_squares(features: list[str]) -> str:
+    tasks = tuple(k for k in expressions("", "") if k.startswith("NV-"))
+    sql = expressions("\x00p", "\x00a")
+    asks = ", ".join(f"'{k}'" for k in tasks if "\x00p" in sql[k]) or "NULL"
+    activities = ", ".join(f"'{k}'" for k in tasks if "\x00a" in sql[k]) or "NULL"
+    return with_ctes(EVENTS, EV, PAIRS, MESSAGES, TRACE, FIRST_SEEN, _labelled(tasks), MEDIANS, MEDIAN_SCORES, _normal(features), query=f"""
+        SELECT w.task, coalesce(s.samples, 0) AS samples, s.samples IS NOT NULL AS ran_end_to_end,
+               CASE WHEN folds IS NOT NULL THEN 'mae' END AS metric_name,
+               round(mean, 3) AS metric_mean, round(sd, 3) AS metric_sd, round(median_mean, 3) AS baseline_mean, folds,
+               CASE WHEN w.task IN ({asks}) THEN (SELECT param FROM best WHERE kind = 'participant') END AS participant,
+               CASE WHEN w.task IN ({activities}) THEN (SELECT param FROM best WHERE kind = 'activity') END AS obm_activity,
+               CASE WHEN s.samples IS NULL THEN 'no labelled rows' WHEN folds IS NULL THEN 'every fit is singular' END AS note
+        FROM (SELECT unnest({list(tasks)}) AS task) w
+        LEFT JOIN (SELECT task, count(*) AS samples FROM labelled GROUP BY task) s USING (task)
+        LEFT JOIN (SELECT l.task, avg(l.score) AS mean, stddev_pop(l.score) AS sd, avg(mae.score) AS median_mean,
+                          CAST(count(*) AS INTEGER) AS folds
+                   FROM linear l JOIN mae ON mae.task = l.task AND mae.fold = l.fold GROUP BY l.task) USING (task)""")
+
+
 REPEATED = """
 pred AS (SELECT actor, lead(activity) OVER w AS y, activity AS prediction,
                 (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6 AS seconds, length(event_id) * 1000.0 AS guess
@@ -137,6 +188,9 @@ def oracles() -> dict[str, str]:
     return {
         "cv_baselines": _constants(REPRESENTATIVE),
         "cv_baselines_full_catalog": _constants(tuple(k for k in expressions("", "") if not k.startswith("X-"))),
+        "cv_linear": _least_squares(FEATURES),
+        # Sends so far and messages so far are the same.
+        "cv_linear_independent": _least_squares([f for f in FEATURES if f != "previous_messages"]),
         "feature_table": with_ctes(*features, query=f"""
             SELECT case_id, event_id, {BASIC}, {COUNTS} FROM with_message"""),
         "feature_table_direct": with_ctes(EVENTS, EV, query=f"SELECT event_id, {DIRECT} FROM ev"),

@@ -301,7 +301,7 @@ def test_cross_validation(sample):
 def test_linear_learner_skips_classes(sample):
     _, trace = sample
     small = Experiment(tasks=("NE-NPaA", "NV-PrT"), folds=2)
-    rows = {r["task"]: r["folds"] for r in E.evaluate(trace, small, linear=True).collect()}
+    rows = {r["task"]: r["folds"] for r in E.evaluate(trace, small, least_squares=True).collect()}
     assert rows == {"NE-NPaA": None, "NV-PrT": 2}
 
 

@@ -38,5 +38,5 @@ def test_query(spark, database, name):
 
 
 def test_all_but_learners_have_sql():
-    assert set(registered()) - set(ORACLES) == {"cv_linear", "cv_forest"}
+    assert set(registered()) - set(ORACLES) == {"cv_forest"}
     assert set(registered()) <= set(registry.queries()) and set(ORACLES) <= set(registry.oracle_sql())

@@ -521,20 +521,34 @@ def mean_absolute_error(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
-@query("cv_linear")
-def cv_linear(spark: SparkSession, folder: str) -> DataFrame:
-    """Cross-validated least squares on the numeric targets."""
+def linear_results(spark: SparkSession, folder: str, drop_collinear: bool) -> DataFrame:
     trace, skew = events_trace(spark, folder)
     tasks = tuple(k for k, t in TASKS.items() if t.kind == "numeric" and t.single_case)
-    return E.evaluate(trace, Experiment(tasks=tasks), skew, linear=True)
+    found = E.evaluate(trace, Experiment(tasks=tasks), skew, least_squares=True, drop_collinear=drop_collinear)
+    return result_rows(found, 3)
+
+
+@query("cv_linear")
+def cv_linear(spark: SparkSession, folder: str) -> DataFrame:
+    """Cross-validated least squares on the numeric targets. Every send of these logs is a message of its own, so
+    that messages and sends so far are collinear and no fit is unique."""
+    return linear_results(spark, folder, False)
+
+
+@query("cv_linear_independent")
+def cv_linear_independent(spark: SparkSession, folder: str) -> DataFrame:
+    """The same without the features that depend on the others."""
+    return linear_results(spark, folder, True)
+
+
+def result_rows(found: DataFrame, digits: int) -> DataFrame:
+    scores = [F.round(c, digits).alias(c) for c in ("metric_mean", "metric_sd", "baseline_mean")]
+    return found.select("task", "samples", "ran_end_to_end", "metric_name", *scores, "folds", "participant", "obm_activity", "note")
 
 
 def constant_results(spark: SparkSession, folder: str, tasks: tuple[str, ...]) -> DataFrame:
     src, skew = events_source(spark, folder)
-    found = E.evaluate_constants(T.trace_without_receives(src, skew), Experiment(tasks=tasks), skew)
-    return found.select("task", "samples", "ran_end_to_end", "metric_name", F.round("metric_mean", 6).alias("metric_mean"),
-                        F.round("metric_sd", 6).alias("metric_sd"), F.round("baseline_mean", 6).alias("baseline_mean"),
-                        "folds", "participant", "obm_activity", "note")
+    return result_rows(E.evaluate_constants(T.trace_without_receives(src, skew), Experiment(tasks=tasks), skew), 6)
 
 
 @query("cv_baselines")
