@@ -301,8 +301,12 @@ def test_cross_validation(sample):
 def test_linear_learner_skips_classes(sample):
     _, trace = sample
     small = Experiment(tasks=("NE-NPaA", "NV-PrT"), folds=2)
-    rows = {r["task"]: r["folds"] for r in E.evaluate(trace, small, least_squares=True).collect()}
-    assert rows == {"NE-NPaA": None, "NV-PrT": 2}
+    rows = {r["task"]: (r["folds"], r["note"])
+            for r in E.evaluate(trace, small, least_squares=True, drop_collinear=True).collect()}
+    assert rows == {"NE-NPaA": (None, None), "NV-PrT": (2, None)}
+    # Messages so far are sends so far.
+    rows = {r["task"]: (r["metric_mean"], r["note"]) for r in E.evaluate(trace, small, least_squares=True).collect()}
+    assert rows == {"NE-NPaA": (None, None), "NV-PrT": (None, "every fit is singular")}
 
 
 def test_too_few_cases(spark):
