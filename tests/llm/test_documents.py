@@ -95,9 +95,69 @@ def test_mix_follows_odds(spark):
     docs = documents(spark, [(i, "a b c d", "s") for i in range(3000)] + [(-i, "x " * 3000, "t") for i in (1, 2)])
     docs = docs.selectExpr("*", "IF(doc_id % 2 = 0, 9.0, 1.0) AS quality")
     rows = [r for r in mixing.mix_sources(docs, weights=(1, 5), odds="quality").collect() if r.source == "s"]
-    even = sum(r.copies for r in rows if r.doc_id % 2 == 0)
-    odd = sum(r.copies for r in rows if r.doc_id % 2)
-    assert even > 1.3 * odd
+    # 750 copies, nine to one.
+    assert {round(r.expected, 9) for r in rows} == {0.45, 0.05} and sum(r.copies for r in rows) == 750
+    assert abs(sum(r.copies for r in rows if r.doc_id % 2 == 0) - 675) < 30
+
+
+def expected_brute(docs, target, most):
+    """docs: (size, odds). Raise the level until the expected words are the target."""
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(s * min(most, level * o) for s, o in docs) < target else (low, level)
+    return [min(most, high * o) for _, o in docs]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_certain_copies_and_inclusion(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, "w " * rng.randint(1, 9), rng.choice("ab"), rng.choice([0.5, 1.0, 4.0, 30.0])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, quality double")
+    mix = {r.doc_id: r for r in mixing.mix_sources(docs, weights=(3, 2), odds="quality", seed=seed).collect()}
+    for source in "ab":
+        own = [r for r in rows if r[2] == source]
+        target = mix[own[0][0]].target
+        expected = expected_brute([(len(r[1].split()), r[3]) for r in own], target, 3)
+        for r, e in zip(own, expected):
+            assert abs(mix[r[0]].expected - e) < 1e-6
+            assert round(e, 6) // 1 <= mix[r[0]].copies <= -(-round(e, 6) // 1)      # whole copies are certain
+        assert abs(sum(mix[r[0]].taken for r in own) - target) <= 9
+        for q in (0.5, 1.0, 4.0, 30.0):
+            group = [(mix[r[0]].copies, e) for r, e in zip(own, expected) if r[3] == q]
+            assert abs(sum(c for c, _ in group) - sum(e for _, e in group)) < 4 * max(1, len(group)) ** 0.5 / 2
+
+
+def test_mix_orders_by_pareto_ratio(spark):
+    """Every document beside the closing one: taken if and only if its ratio is below the cut."""
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randint(1, 200), rng.choice("ab")) for i in range(500)]
+    mix = mixing.mix_sources(documents(spark, rows)).collect()
+    for source in "ab":
+        placed = []
+        for r in mix:
+            part = r.expected - int(r.expected)
+            if r.source == source and part > 0:
+                u = (int(hashlib.md5(f"1:{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52
+                placed.append((u / (1 - u) / (part / (1 - part)), r.copies - int(r.expected)))
+        taken = [extra for _, extra in sorted(placed)]
+        cut = taken.index(0) if 0 in taken else len(taken)
+        assert sum(taken[cut:]) <= 1 and (len(taken) < 20 or 0 < cut < len(taken))
+
+
+def test_mix_with_odd_odds_and_clashing_columns(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, "a b", "s", q, i, i, i, i) for i, q in enumerate([nan, None, inf, -inf, 0.0, -1.0, 1.0, 1e300])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, quality double, "
+                                       "copies long, words long, doc long, `of.a` long")
+    mix = mixing.mix_sources(docs, odds="quality")
+    assert sum(r.taken for r in mix.collect()) == 16
+    expected = {r.doc_id: r.expected for r in mix.collect()}
+    assert expected[0] == expected[1] == expected[6] and expected[2] == expected[7] == 3
+    assert expected[3] == expected[4] == expected[5] < expected[0]
+    out = mixing.repeat_mixed(docs, mix)
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in mix.collect() for _ in range(r.copies))
 
 
 def test_feistel_is_a_permutation():

@@ -1,12 +1,14 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target number of words. Its documents first get the whole copies that all of them
-are due; for the rest of the target each document draws a uniform number u, and documents are taken in
-the order of Pareto's ratio, odds(u) / odds(inclusion), until the words still wanted are reached. The
-sample has a fixed size in words, and a document's chance follows its inclusion odds.
-
-Taking documents in order needs no global sort: words are summed in 4096 bins of the ratio, the bin in
-which the target falls is found per source, and only that bin is sorted. Documents below it are in,
+Every source gets a target number of words, and every document of it an expected number of copies in
+proportion to its odds, at most `most`, such that the source's target results. The whole copies in that
+number are certain. What is left of it is the document's inclusion probability for one more: it draws a
+uniform number u, and documents are taken in the order of Pareto's ratio, odds(u) / odds(inclusion), until
+the words still wanted are reached: a sample of fixed size with unequal probabilities.
+
+Odds are whole numbers of a bounded range, so that expected copies are solved on sums of words per source
+and odds. Taking documents in order needs no global sort: words are summed in 4096 bins of the ratio, the bin
+in which the target falls is found per source, and only that bin is sorted. Documents below it are in,
 documents above it are out. One last document whose size fits best closes what is then missing.
 """
 
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import WORD, hash_uniform, keep
 
 BINS = 4096
+MOST_ODDS = 10_000      # in hundredths
+NEARLY = 1e-9           # an expected number of copies this close to a whole one is that
 
 
 def word_count(text: Column) -> Column:
@@ -52,39 +56,77 @@ def source_targets(totals: DataFrame, weights: Sequence[float], most: float) ->
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, seed: int = 1,
                 odds: str | None = None) -> DataFrame:
-    """How often each document goes into the mix: doc_id, source, size, source_size, target, copies, taken.
+    """How often each document goes into the mix: doc_id, source, size, source_size, target, expected, copies, taken.
 
-    docs: doc_id, text, source; further columns are ignored, but `odds` names one that multiplies a
-    document's inclusion odds (1 without). `weights` are dealt to the sources in turn, `most` bounds
-    copies.
+    docs: doc_id, text, source; further columns are ignored, but `odds` names one to which expected copies are
+    proportional within a source, in steps of a hundredth from 0.01 to 100; what is below or above counts as these,
+    null and NaN as 1. Without it a document's odds are the number of binary digits of its size, so that longer
+    documents are likelier, slowly. `weights` are dealt to the sources in turn, `most` bounds copies.
 
-    Null or empty texts have size 0 and may come along at no cost. A null source is a source of its own,
-    a null doc_id an id of its own. Rows alike in source, doc_id and size share their fate. Without
-    words, all targets are 0. An empty table gives an empty mix.
+    Null or empty texts have size 0 and may come along at no cost; very long ones count whole. A null source is a
+    source of its own, a null doc_id an id of its own. Rows alike in source, doc_id, odds and size share their fate.
+    Without words, all targets are 0. An empty table gives an empty mix.
     """
-    factor = F.lit(1.0) if odds is None else F.greatest(F.coalesce(F.col(odds).cast("double"), F.lit(1.0)),
-                                                        F.lit(1e-9))
+    size = word_count(F.col("text"))
+    if odds is None:
+        rows = docs.select("doc_id", "source", size.alias("size"))
+        rows = rows.withColumn("odds", F.length(F.bin("size")).cast("long"))
+    else:
+        given = F.coalesce(F.nanvl(F.col(odds).cast("double"), F.lit(1.0)), F.lit(1.0))
+        hundredths = F.round(F.least(F.greatest(given * 100, F.lit(1.0)), F.lit(float(MOST_ODDS)))).cast("long")
+        rows = docs.select("doc_id", "source", size.alias("size"), hundredths.alias("odds"))
+    rows = keep(rows, "mix-sizes")
+    expected, targets = _expected_copies(rows, weights, most)
+
     u = hash_uniform(seed, F.col("doc_id"))
-    rows = docs.select("doc_id", F.col("source").alias("source"), word_count(F.col("text")).alias("size"),
-                       (u / (F.lit(1.0) - u) / factor).alias("z"))
+    part = F.col("expected") - F.col("whole")
+    ratio = F.when(part > 0, u / (F.lit(1.0) - u) / (part / (F.lit(1.0) - part)))
+    same = rows["source"].eqNullSafe(expected["of_source"]) & (rows["odds"] == expected["of_odds"])
+    rows = rows.join(expected, same).select("doc_id", "source", "size", "expected", "whole", ratio.alias("z"))
     rows = keep(rows.withColumn("bin", _bin(F.col("z"))), "mix-rows")
-    plan = _plan(rows, weights, most)
+    plan = _plan(rows.filter(F.col("z").isNotNull()), targets)
     mixed = rows.join(plan, rows["source"].eqNullSafe(plan["of_source"]))
-    copies = _copies(mixed)
-    return mixed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
+    copies = _copies()
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "expected", copies.alias("copies"),
                         (copies * F.col("size")).alias("taken"))
 
 
+def _expected_copies(rows: DataFrame, weights: Sequence[float], most: float) -> tuple[DataFrame, DataFrame]:
+    """(of_source, of_odds, expected, whole), and per source its size, target and the words left after whole copies.
+
+    Expected copies are `odds` times a source's level, but at most `most`. The level is the greatest that results
+    if the k highest odds are held at `most`.
+    """
+    words = keep(rows.groupBy("source", "odds").agg(F.sum("size").alias("words")), "mix-words")
+    targets = keep(source_targets(words.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most), "mix-targets")
+    targets = targets.select(F.col("source").alias("of_source"), "source_size", "target")
+    falling = Window.partitionBy("of_source").orderBy(F.col("odds").desc())
+    held = F.coalesce(F.sum("words").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = F.sum(F.col("words") * F.col("odds")).over(falling.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    level = F.max(F.when(F.col("open") > 0, (F.col("target") - F.lit(float(most)) * F.col("held")) / F.col("open"))).over(
+        Window.partitionBy("of_source"))
+    copies = F.coalesce(F.least(F.lit(float(most)), F.greatest(F.col("level") * F.col("odds"), F.lit(0.0))), F.lit(0.0))
+    near = F.when(F.abs(F.col("e") - F.round("e")) < NEARLY, F.round("e")).otherwise(F.col("e"))
+    solved = (words.join(targets, words["source"].eqNullSafe(targets["of_source"])).withColumn("held", held)
+              .withColumn("open", open_).withColumn("level", level).withColumn("e", copies).withColumn("expected", near)
+              .withColumn("whole", F.floor("expected").cast("long")))
+    solved = keep(solved.select("of_source", F.col("odds").alias("of_odds"), "words", "source_size", "target", "expected",
+                                "whole"), "mix-expected")
+    left = solved.groupBy("of_source", "source_size", "target").agg(F.sum(F.col("whole") * F.col("words")).alias("certain"))
+    left = left.withColumn("rest", F.col("target") - F.col("certain")).drop("certain")
+    return solved.select("of_source", "of_odds", "expected", "whole"), keep(left, "mix-rest")
+
+
 def repeat_mixed(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """The rows of `docs`, each as often as its `copies` in `mix` says."""
-    times = keep(mix.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-                 .filter("_copies > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_from"),
-                                               F.col("size").alias("_size"), "_copies"), "mix-copies")
-    own = docs.withColumn("_words", word_count(F.col("text")))
-    return (own.join(times, own["doc_id"].eqNullSafe(times["_doc"]) & own["source"].eqNullSafe(times["_from"])
-                     & (own["_words"] == times["_size"]))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-            .select(*docs.columns))
+    """The rows of `docs`, each as often as its `copies` in `mix` says: of rows there alike in doc_id, source and
+    size the most. Further columns may have any names."""
+    times = keep(mix.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0"), "mix-copies")
+    times = times.select(F.struct("doc_id", "source", "size").alias("of"), "copies")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), word_count(F.col("text")).alias("words"))
+    same = (F.col("doc.doc_id").eqNullSafe(F.col("of.doc_id")) & F.col("doc.source").eqNullSafe(F.col("of.source"))
+            & (F.col("words") == F.col("of.size")))
+    return (own.join(times, same).select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+            .select("doc.*"))
 
 
 def _bin(z: Column) -> Column:
@@ -92,28 +134,20 @@ def _bin(z: Column) -> Column:
 
 
 def _place() -> Column:
-    """A row's place in its source's order; dividing z by the source's odds would not change it."""
+    """A row's place in its source's order."""
     return F.struct("z", "doc_id", "size")
 
 
-def _copies(mixed: DataFrame) -> Column:
+def _copies() -> Column:
     first = (F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge"))
                                               & F.coalesce(_place() <= F.col("last"), F.lit(False)))
     extra = first | F.coalesce(_place() == F.col("closing"), F.lit(False))
     return (F.col("whole") + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)).cast("long")
 
 
-def _plan(rows: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
-    """One row per source: whole copies, the place up to which documents get one more, the closing one."""
+def _plan(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row per source: the place up to which documents get one more copy, and the closing one."""
     bins = keep(rows.groupBy("source", "bin").agg(F.sum("size").alias("words")), "mix-bins")
-    totals = bins.groupBy("source").agg(F.sum("words").alias("source_size"))
-    targets = source_targets(totals, weights, most)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    targets = (targets.withColumn("whole", F.floor(rate).cast("long"))
-               .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-               .withColumnRenamed("source", "of_source"))
-    targets = keep(targets, "mix-targets")
-
     before = F.sum("words").over(Window.partitionBy("source").orderBy("bin")) - F.col("words")
     edges = (bins.withColumn("before", before)
              .join(targets.select("of_source", "rest"), F.col("source").eqNullSafe(F.col("of_source")))
@@ -150,4 +184,4 @@ def _plan(rows: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
     best = best.join(alike, F.col("_s").eqNullSafe(F.col("_t"))).select("_s", "best.at", "adds")
     plan = (plan.join(best, F.col("of_source").eqNullSafe(F.col("_s")), "left")
             .withColumn("closing", F.when(F.abs(F.col("gap") - F.col("adds")) < F.col("gap"), F.col("at"))))
-    return keep(plan.select("of_source", "source_size", "target", "whole", "edge", "last", "closing"), "mix-plan")
+    return keep(plan.select("of_source", "source_size", "target", "edge", "last", "closing"), "mix-plan")

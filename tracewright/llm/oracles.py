@@ -6,12 +6,11 @@ WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 MIX = rf"""
 WITH d AS (
-  SELECT doc_id, source, CAST({WORDS} AS BIGINT) AS size,
+  SELECT doc_id, source, CAST({WORDS} AS BIGINT) AS size, length(bin(CAST({WORDS} AS BIGINT))) AS odds,
          (CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE)
          / 4503599627370496::DOUBLE AS u
   FROM documents),
-z AS (SELECT *, u / (1::DOUBLE - u) AS z FROM d),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY source),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),
 w AS (SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS weight,
              3::DOUBLE * source_size AS cap FROM p),
@@ -22,11 +21,23 @@ l AS (SELECT *, (SELECT sum(source_size) FROM w) AS total,
                AS open_weight FROM w),
 t AS (SELECT source, source_size, least(cap, weight * (SELECT max((total - stopped) / open_weight) FROM l)) AS target
       FROM l),
-f AS (SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS BIGINT) AS whole FROM t),
-r AS (SELECT z.*, f.source_size, f.target, f.whole, f.target - f.whole * f.source_size AS rest,
-             sum(size) OVER (PARTITION BY z.source ORDER BY z, doc_id NULLS FIRST, size
-                             RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-      FROM z JOIN f ON z.source IS NOT DISTINCT FROM f.source),
+k AS (SELECT source, odds, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY source, odds),
+h AS (SELECT k.*, t.source_size, t.target,
+             coalesce(sum(words) OVER (PARTITION BY k.source ORDER BY odds DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+               AS held,
+             sum(words * odds) OVER (PARTITION BY k.source ORDER BY odds DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+               AS open FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, coalesce(least(3::DOUBLE, greatest(odds * max(CASE WHEN open > 0 THEN (target - 3::DOUBLE * held) / open END)
+                                                   OVER (PARTITION BY source), 0)), 0) AS e FROM h),
+f AS (SELECT *, CASE WHEN abs(e - round(e)) < 1e-9 THEN round(e) ELSE e END AS expected FROM e),
+x AS (SELECT *, CAST(floor(expected) AS BIGINT) AS whole, expected - floor(expected) AS part,
+             target - sum(CAST(floor(expected) AS BIGINT) * words) OVER (PARTITION BY source) AS rest FROM f),
+y AS (SELECT d.*, x.source_size, x.target, x.whole, x.rest,
+             CASE WHEN part > 0 THEN u / (1::DOUBLE - u) / (part / (1::DOUBLE - part)) END AS z
+      FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.odds = x.odds),
+r AS (SELECT *, CASE WHEN z IS NOT NULL THEN
+               sum(size) OVER (PARTITION BY source, z IS NULL ORDER BY z, doc_id NULLS FIRST, size
+                               RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS upto FROM y),
 g AS (SELECT source, min(rest) - coalesce(max(upto) FILTER (WHERE upto <= rest), 0) AS gap FROM r GROUP BY source),
 c AS (SELECT r.source, r.doc_id, r.size, r.z, g.gap,
              row_number() OVER (PARTITION BY r.source ORDER BY abs(g.gap - r.size), z, doc_id NULLS FIRST, size) AS n
