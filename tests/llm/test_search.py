@@ -109,7 +109,7 @@ def test_isolated_groups_get_full_rows(spark):
             assert set(own[i]["vec_id"][:len(members) - 1]) == set(members) - {i}
 
 
-def test_probes_follow_the_number_of_lists():
+def test_fitted_ratio_reaches_the_neighbours():
     rng = np.random.default_rng(8)
     x = ann._unit(rng.normal(size=(200_000, 64)))
     graph = ann.CentroidGraph(ann.split_centroids(x[:48_000], 24))
@@ -118,10 +118,30 @@ def test_probes_follow_the_number_of_lists():
     near[np.arange(len(asked)), asked] = -2
     best = np.argpartition(-near, 5, 1)[:, :5]
     lists = {int(i): set(own.tolist()) for i, own in zip(best.ravel(), ann.lists_of(graph, x[best.ravel()]))}
-    probes = ann.probes_of(graph, np.full(len(graph.centroids), 100), 6, x[asked])
+    ratio = ann.fitted_ratio(graph, x[:48_000], 5)
+    probes = ann.probes_of(graph, np.full(len(graph.centroids), 100), 6, ratio, x[asked])
+    # The ratio alone selects: what the walk sees of the lists within it is nearly all of them.
+    distance = ann._distance(x[asked] @ graph.centroids.T)
+    within = distance <= ratio * np.maximum(distance.min(1, keepdims=True), ann.LEAST_BASE)
+    assert sum(len(np.intersect1d(own, np.flatnonzero(w))) for own, w in zip(probes, within)) >= 0.97 * within.sum()
     assert np.mean([not lists[int(i)].isdisjoint(own.tolist()) for own, row in zip(probes, best) for i in row]) >= 0.94
 
 
+def test_walk_visits_no_centroid_twice():
+    rng = np.random.default_rng(11)
+    graph = ann.CentroidGraph(ann._unit(rng.normal(size=(300, 8))))
+    x = ann._unit(rng.normal(size=(50, 8)))
+    for step in (1, 8):
+        for count in (5, 40, 300):
+            found, near = graph.nearest(x, count, step)
+            for own, cosines, v in zip(found, near, x):
+                own = own[own >= 0]
+                assert len(set(own.tolist())) == len(own) <= count
+                assert np.allclose(cosines[:len(own)], graph.centroids[own] @ v) and (np.diff(cosines[:len(own)]) <= 0).all()
+            assert count < 300 or (np.sort(found, 1) >= 0).all()
+            assert np.mean(found[:, 0] == (x @ graph.centroids.T).argmax(1)) > 0.95
+
+
 def test_no_vectors(spark):
     for rows in ([], [(0, [1.0, 2.0])], odd_rows()[:5]):
         assert vafile.search(frame(spark, rows), "vec_id % 20 = 0", k=3).count() == 0

@@ -4,15 +4,15 @@ Vectors are put on the unit sphere and into the posting lists of centroids. Cent
 splitting a bounded sample again and again until no part is larger than a list should be, so lists are
 about equally long. A vector near a border goes to several lists: to further centroids that are hardly
 farther than its nearest one, unless a centroid that already has it is nearer to the further one than
-the vector is. For the rows, centroids are searched by a best-first walk over a neighbour graph in memory;
-queries are held against all centroids. A query's lists are those whose centroids are within a ratio of its
-nearest centroid's distance, or of that of the list with which there are enough candidates, up to a number
-that grows with the root of the number of lists. Lists that turn out long are scanned in parts, by several tasks.
+the vector is. Centroids are searched by a best-first walk over a neighbour graph in memory, for rows and
+queries alike. A query's lists are those whose centroids are within a ratio of its nearest centroid's distance,
+or of that of the list with which there are enough candidates; its walk widens until it has seen them all. The
+ratio is fitted to the sample: it is the least with which nearly all neighbours there lie in such lists. Lists
+that turn out long are scanned in parts, by several tasks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +28,9 @@ MOST_CENTROIDS = 16_384    # centroids are held by every task: 16 MB of doubles
 SAMPLE_ROWS = 40_000
 DEGREE, ENTRIES = 24, 16
 COPIES, BORDER = 8, 1.15   # most lists of a vector, and how much farther their centroids may be
-PROBES, RATIO = 96, 1.35   # the same for the lists of a query; with many lists PROBE_ROOT times their root
-PROBE_ROOT = 4
+LEAST_BASE = 0.2           # a distance ratio counts from no less than this
+FITTED, REACHED = 512, 0.96  # sample vectors the ratio is fitted to, and the share of their neighbours in its lists
+FIRST_WALK, STEP = 64, 8   # centroids a query first looks for, and how many of them a step of its walk goes on from
 PART_ROWS = 4096           # rows of a list that one task scans
 
 
@@ -75,8 +76,11 @@ class CentroidGraph:
         self.links = links
         self.entries = np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int64))
 
-    def nearest(self, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, cosines) of about the `count` nearest per row of `x`, nearest first; -1 pads."""
+    def nearest(self, x: np.ndarray, count: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, cosines) of about the `count` nearest per row of `x`, nearest first; -1 pads.
+
+        The walk goes on from the `step` nearest centroids that it has not gone on from.
+        """
         n, rows = len(self.centroids), np.arange(len(x))[:, None]
         beam = min(count, n)
         found = np.broadcast_to(self.entries, (len(x), len(self.entries)))
@@ -87,20 +91,23 @@ class CentroidGraph:
         while True:
             order = np.argsort(-near, 1, kind="stable")[:, :beam]
             found, near, spent = found[rows, order], near[rows, order], spent[rows, order]
-            open_rows = np.flatnonzero((~spent & np.isfinite(near)).any(1))
-            if not len(open_rows):
+            waiting = ~spent & np.isfinite(near)
+            if not waiting.any():
                 break
-            pick = np.argmax(~spent & np.isfinite(near), 1)
-            spent[np.arange(len(x)), pick] = True
-            more = self.links[found[np.arange(len(x)), pick]]
-            fresh = ~seen[rows, more]
-            # A far link may repeat a near one: the first counts.
-            ordered = np.sort(more, 1)
-            if (ordered[:, 1:] == ordered[:, :-1]).any():
-                for j in range(more.shape[1] - 4, more.shape[1]):
-                    fresh[:, j] &= ~(more[:, :j] == more[:, j:j + 1]).any(1)
-            seen[rows, more] = True
-            gain = np.where(fresh, np.einsum("rd,rjd->rj", x, self.centroids[more]), -np.inf)
+            pick = np.argsort(~waiting, 1, kind="stable")[:, :step]
+            going = waiting[rows, pick]
+            spent[rows, pick] = True
+            more = self.links[found[rows, pick]].reshape(len(x), -1)
+            fresh = np.repeat(going, self.links.shape[1], 1) & ~seen[rows, more]
+            # A link may come twice: one of them counts.
+            fresh_first = np.where(fresh, more, n)
+            ordered = np.argsort(fresh_first, 1, kind="stable")
+            values = fresh_first[rows, ordered]
+            fresh[rows, ordered[:, 1:]] &= values[:, 1:] != values[:, :-1]
+            at, link = np.nonzero(fresh)
+            seen[at, more[at, link]] = True
+            gain = np.full(more.shape, -np.inf)
+            gain[at, link] = np.einsum("ij,ij->i", x[at], self.centroids[more[at, link]])
             found, near = np.hstack([found, more]), np.hstack([near, gain])
             spent = np.hstack([spent, np.zeros(more.shape, bool)])
         return np.where(np.isfinite(near), found, -1), near
@@ -125,33 +132,56 @@ def lists_of(graph: CentroidGraph, x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def probe_count(lists: int) -> int:
-    """Most lists of a query. The lists that hold a share of the neighbours of vectors without groups
-    were measured to grow about as the root of the number of lists, and so does this."""
-    return min(lists, max(PROBES, math.ceil(PROBE_ROOT * math.sqrt(lists))))
-
+def fitted_ratio(graph: CentroidGraph, sample: np.ndarray, k: int) -> float:
+    """The distance ratio whose lists hold the share REACHED of the `k` nearest neighbours that FITTED vectors of
+    the sample have in it.
 
-def probes_of(graph: CentroidGraph, homes: np.ndarray, least: int, x: np.ndarray) -> list[np.ndarray]:
+    Neighbours among all vectors are nearer than those in a sample, and so in nearer lists.
+    """
+    asked = np.random.default_rng(7).permutation(len(sample))[:FITTED]
+    ratios = [np.ones(1)]
+    for i in range(0, len(asked), 64):
+        own = asked[i:i + 64]
+        near = sample[own] @ sample.T
+        near[np.arange(len(own)), own] = -np.inf
+        best = np.argsort(-near, 1, kind="stable")[:, :min(k, len(sample) - 1)]
+        distance = _distance(sample[own] @ graph.centroids.T)
+        base = np.maximum(distance.min(1), LEAST_BASE)
+        homes = lists_of(graph, sample[best.ravel()]) if best.size else []
+        row = np.repeat(np.arange(len(own)), best.shape[1])
+        ratios.append(np.array([distance[r, h].min() / base[r] for r, h in zip(row, homes)]))
+    return max(1.0, float(np.quantile(np.concatenate(ratios), REACHED)))
+
+
+def probes_of(graph: CentroidGraph, homes: np.ndarray, least: int, ratio: float, x: np.ndarray) -> list[np.ndarray]:
     """The lists to scan for each unit vector.
 
     `homes` counts the vectors whose nearest list each is. Lists are taken in order until they are home to
     `least` vectors, which are then all different, or to all there are; the ratio counts from the last of them.
+    The walk is repeated twice as wide until it sees a list beyond the ratio.
     """
-    out, most = [], probe_count(len(graph.centroids))
+    n, out = len(graph.centroids), [None] * len(x)
     stored = lists_of(graph, x)     # the walk may miss a lone centroid, for near vectors and x alike
-    for i in range(0, len(x), 256):
-        near = x[i:i + 256] @ graph.centroids.T
-        first = np.argpartition(-near, most - 1, 1)[:, :most] if most < near.shape[1] else None
-        for n, cosines in enumerate(near):
-            own = np.sort(first[n]) if first is not None else np.arange(len(cosines))
-            if homes[own].sum() < least:
-                own = np.arange(len(cosines))
-            own = own[np.argsort(-cosines[own], kind="stable")]
-            distance = _distance(cosines[own])
-            needed = min(int(np.searchsorted(np.cumsum(homes[own]), least)), len(own) - 1)
-            take = distance <= RATIO * max(distance[needed], 0.2)
-            take[max(most, needed + 1):] = False
-            out.append(np.union1d(own[take], stored[i + n]))
+    todo, count = np.arange(len(x)), min(FIRST_WALK, n)
+    while len(todo):
+        open_rows = []
+        for i in range(0, len(todo), 256):
+            part = todo[i:i + 256]
+            for row, own, cosines in zip(part.tolist(), *graph.nearest(x[part], count, STEP)):
+                own, cosines = own[own >= 0], cosines[own >= 0]
+                reached = np.cumsum(homes[own])
+                if reached[-1] < least and count == n:      # what no link leads to
+                    cosines = graph.centroids @ x[row]
+                    own = np.argsort(-cosines, kind="stable")
+                    cosines, reached = cosines[own], np.cumsum(homes[own])
+                needed = min(int(np.searchsorted(reached, least)), len(own) - 1)
+                distance = _distance(cosines)
+                limit = ratio * max(distance[needed], LEAST_BASE)
+                if count < n and (reached[-1] < least or distance[-1] <= limit):
+                    open_rows.append(row)
+                else:
+                    out[row] = np.union1d(own[distance <= limit], stored[row])
+        todo, count = np.array(open_rows, np.int64), min(2 * count, n)
     return out
 
 
@@ -195,17 +225,18 @@ def search(vectors: DataFrame, is_query: str, k: int, sample: int = SAMPLE_ROWS)
     query's candidates are all rows with other ids and as many components. Ties go to the smaller
     vec_id. Rows without id or vector, empty and zero vectors and vectors with null or non-finite
     components take no part; rows that repeat id and vector count once. Centroids are fitted to at most
-    2 * `sample` vectors; every row is indexed, and every query gets `k` rows if there are that many
+    2 * `sample` vectors, the ratio to FITTED of them; every row is indexed, and every query gets `k` rows if there are that many
     candidates. An empty table gives an empty result.
     """
     own = keep(read_vectors(vectors, lambda x: bool(x.any())), "vectors")
     known = keep(least_ids(own, k + 1), "candidates")
     sizes = {r["dim"]: r["n"] for r in known.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    graphs = {}
+    graphs, ratios = {}, {}
     for dim, n in sizes.items():
         drawn = _unit(sample_rows(known.filter(F.col("dim") == dim), sample))
         lists = min(MOST_CENTROIDS, max(1, n // LIST_ROWS))
         graphs[dim] = CentroidGraph(split_centroids(drawn, max(2, -(-len(drawn) // lists))))
+        ratios[dim] = fitted_ratio(graphs[dim], drawn, k)
 
     postings = keep(_routed(known, {dim: (graph,) for dim, graph in graphs.items()}, lists_of), "postings")
     lengths = keep(postings.groupBy("dim", "list").agg(
@@ -214,7 +245,7 @@ def search(vectors: DataFrame, is_query: str, k: int, sample: int = SAMPLE_ROWS)
     homes = {dim: np.zeros(len(graph.centroids), np.int64) for dim, graph in graphs.items()}
     for r in lengths.collect():
         homes[r["dim"]][r["list"]] = r["homes"]
-    asking = {dim: (graph, homes[dim], k + 1) for dim, graph in graphs.items()}
+    asking = {dim: (graph, homes[dim], k + 1, ratios[dim]) for dim, graph in graphs.items()}
     lengths = lengths.drop("homes")
     # Equal queries are searched once, under the least of their ids.
     asked = own.filter(is_query)
