@@ -19,7 +19,7 @@ from tracewright.operators.ordered import (OrderedGroups, Scan, following, max_a
                                            min_all, next_row, sum_after, sum_all, sum_before)
 from tracewright.operators.skew import Skew
 from tracewright.operators.trace import TRACE_ORDER, trace_groups
-from tracewright.session import small
+from tracewright.session import size_shuffles, small
 
 PARTICIPANT, ACTIVITY = "_participant", "_activity"  # parameter columns
 
@@ -305,6 +305,8 @@ def wide_per_parameter(trace: DataFrame, keys: Iterable[str], domain: DataFrame,
     # Rows are counted with their repeats: a window may hold all parameters of an execution.
     most = pairs.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] if skew else 1
     sized = replace(skew, rows=skew.rows * (most or 1)) if skew else None
+    if sized:
+        size_shuffles(trace.sparkSession, sized.rows)
     groups = trace_groups(rows, sized, order, also=["_slot"], of="events by parameter")
     return _labelled(groups, tasks, ["case_id", "event_id", "_slot", PARTICIPANT, ACTIVITY])
 

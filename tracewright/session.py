@@ -12,12 +12,15 @@ MOST_PARTITIONS = 20_000
 _local_roots: dict[str, str] = {}
 
 # Runtime settings the operators rely on. AQE splits skewed join partitions, also where the
-# split costs one more exchange; all timestamps are read and compared in UTC.
+# split costs one more exchange; all timestamps are read and compared in UTC. A task sorts its rows
+# several times, each time with some hundred bytes a row for a few shuffled ones, so AQE merges
+# partitions up to a tenth of its usual size.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "6m",
 }
 
 
@@ -28,7 +31,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def size_shuffles(spark: SparkSession, rows: int, rows_per_partition: int = 500_000) -> None:
+def size_shuffles(spark: SparkSession, rows: int, rows_per_partition: int = 150_000) -> None:
     """Raise the number of shuffle partitions so that each starts with a bounded number of rows.
 
     AQE merges small partitions again but never adds any. Beyond `MOST_PARTITIONS` partitions grow
