@@ -51,6 +51,7 @@ class Skew:
     rows: int
     limit: int = 2_000_000
     most_segments: int = 50_000
+    enough_segments: int = 500
     _found: dict[tuple[str, ...], HotGroups | None] = field(default_factory=dict, compare=False)
 
     @classmethod
@@ -78,4 +79,7 @@ class Skew:
         found = hot.agg(F.count(F.lit(1)).alias("groups"), F.sum("_rows").alias("total")).first()
         if found["groups"] == 0:
             return None
-        return HotGroups(hot.drop("_rows"), found["total"] * fanout, limit)
+        # A lower limit finds more groups, but segments only get smaller than usual while they are few:
+        # every segment is a task, and has its bounds sampled on the driver.
+        rows = found["total"] * fanout
+        return HotGroups(hot.drop("_rows"), rows, max(limit, min(Skew.limit, rows // self.enough_segments)))
