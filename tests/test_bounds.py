@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import pickle
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import event, frame
+from tracewright.operators import forest
 from tracewright.operators import labels as L
 from tracewright.operators.ordered import OrderedGroups, sum_before
 from tracewright.operators.skew import Skew
@@ -43,3 +47,35 @@ def test_segments_are_few_while_they_are_small(spark):
 def test_large_segments_keep_their_size(spark):
     found = Skew(rows=10).find(spark.range(10).select(F.lit(1).alias("g")), ["g"], fanout=10**6)
     assert found.segment_rows == Skew.limit and found.segments == 6
+
+
+def test_models_meet_many_packs_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [("log", task, kind, int(rng.integers(3)), f"e{i}", [float(v) for v in rng.integers(0, 9, 3)], y)
+            for task, kind in (("a", "numeric"), ("b", "categorical")) for i in range(200)
+            for y in [str(float(rng.integers(5))) if kind == "numeric" else "xyz"[rng.integers(3)]]]
+    df = spark.createDataFrame(rows, "log string, task string, kind string, fold int, event_id string, x array<double>, y string")
+    monkeypatch.setattr(forest, "PART", 10)
+    found = []
+    for together in (1, 1000):
+        monkeypatch.setattr(forest, "TOGETHER", together)
+        found.append(sorted(map(tuple, forest.out_of_fold(df, 12, 50, 1, 10_000).collect())))
+    assert len(found[0]) == 400 and found[0] == found[1]
+
+
+def test_trees_travel_without_what_follows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 300, (500, 3)).astype(float)
+    trees = forest.grow_block(x, rng.choice(list("ab"), 500).tolist(), ["a", "b"], 3, 50, [1], 3)
+    packed = forest.packed_trees(trees)
+    again = forest.unpacked_trees(packed)
+    assert all((trees[k] == again[k]).all() for k in ("feature", "threshold", "left"))
+    assert (trees["value"][trees["feature"] < 0] == again["value"][trees["feature"] < 0]).all()
+    assert len(pickle.dumps(packed)) < len(pickle.dumps(trees)) / 2
+
+
+def test_orders_by_node_and_code():
+    rng = np.random.default_rng(5)
+    for nodes, width in ((3, 5), (70_000, 13), (90_000, 2), (50, 90_000), (70_000, 70_000)):
+        node, code = np.sort(rng.integers(0, nodes, 100_000)), rng.integers(0, width, 100_000)
+        assert (forest._order(node, code, nodes, width) == np.lexsort((code, node))).all()
