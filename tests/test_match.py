@@ -1,5 +1,6 @@
 """Pairing of sends and receives against the plain rule."""
 
+import pandas as pd
 import pytest
 
 import brute
@@ -75,3 +76,26 @@ def test_missing_case_is_left_out_and_missing_time_comes_last(spark):
     rows = [event(None, 0, 1), event("c", 1, None), event("c", 2, 5)]
     ordered = J.order_events(frame(spark, rows)).df().orderBy("idx").collect()
     assert [(r["src_order"], r["event_id"]) for r in ordered] == [(2, "e::c::0"), (1, "e::c::1")]
+
+
+def test_one_call_walks_several_cases():
+    columns = ["log", "case_id", "idx", "place", "is_send", "sender", "receiver"]
+    rows = pd.DataFrame([("l", "a", 0, 0, True, "A", None), ("l", "b", 1, 1, False, "A", "B"),
+                         ("l", "b", 0, 0, True, None, "B"), ("l", "c", 0, 0, False, None, None),
+                         ("l", "a", 1, 1, False, "A", "C")], columns=columns)
+    served = J._walk(rows)
+    assert sorted(map(tuple, served.to_numpy().tolist())) == [("l", "a", 1, 0), ("l", "b", 1, 0)]
+
+
+def test_many_cases_take_few_calls(spark, monkeypatch):
+    rows = random_rows(5, cases=40, known=0.6)
+    wanted, calls = expected(rows), spark.sparkContext.accumulator(0)
+    walk = J._walk
+
+    def counted(messages):
+        calls.add(1)
+        return walk(messages)
+
+    monkeypatch.setattr(J, "_walk", counted)
+    assert found(spark, rows) == wanted
+    assert calls.value < 5

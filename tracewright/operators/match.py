@@ -32,6 +32,7 @@ from tracewright.session import materialize
 
 CASE = ["log", "case_id"]
 SLICE_ROWS = 200_000  # messages of one case walked by one task
+WALK_ROWS = 20_000    # messages of all cases that are walked by one call
 
 
 def order_events(src: DataFrame, skew: Skew | None = None) -> OrderedGroups:
@@ -169,7 +170,9 @@ def _walk_waiting_lists(events: DataFrame, skew: Skew | None, slice_rows: int) -
             ranked = parties.scan(_ahead=sum_before(F.lit(1))).df()
             front = ranked.filter(F.coalesce(F.col("_ahead"), F.lit(0)) < slice_rows)
             rows = rows.unionByName(front.drop("_ahead"))
-        found = rows.groupBy(*CASE).applyInPandas(
+        # Cases are walked many at a time, since a call costs far more than the few messages of most cases.
+        calls = messages.filter(F.col("slice") == number).count() // WALK_ROWS + 1
+        found = rows.withColumn("call", F.pmod(F.xxhash64(*CASE), F.lit(calls))).groupBy("call").applyInPandas(
             _walk, "log string, case_id string, idx long, partner long")
         found = materialize(found, "pairs") if number < last else found
         pairs.append(found)
@@ -190,13 +193,15 @@ def _walk_waiting_lists(events: DataFrame, skew: Skew | None, slice_rows: int) -
 
 
 def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    """Give each receive the earliest waiting send whose parties agree."""
+    """Give each receive of one or more cases the earliest waiting send of its case whose parties agree."""
     rows = rows.sort_values("place")
-    waiting: dict[tuple, deque] = {}
+    cases: dict[tuple, dict[tuple, deque]] = {}
     served = []
-    parties = rows[["sender", "receiver"]].astype(object).where(rows[["sender", "receiver"]].notna(), None)
-    for idx, is_send, sender, receiver, place in zip(
-            rows["idx"], rows["is_send"], parties["sender"], parties["receiver"], rows["place"]):
+    names = [*CASE, "sender", "receiver"]
+    texts = rows[names].astype(object).where(rows[names].notna(), None)
+    for log, case, sender, receiver, idx, is_send, place in zip(
+            *[texts[n] for n in names], rows["idx"], rows["is_send"], rows["place"]):
+        waiting = cases.setdefault((log, case), {})
         if is_send:
             waiting.setdefault((sender, receiver), deque()).append((place, idx))
             continue
@@ -205,10 +210,8 @@ def _walk(rows: pd.DataFrame) -> pd.DataFrame:
                    and (receiver is None or key[1] is None or key[1] == receiver)]
         if fitting:
             first = min(fitting, key=lambda key: waiting[key][0])
-            served.append((idx, waiting[first].popleft()[1]))
-    found = pd.DataFrame(served, columns=["idx", "partner"], dtype="int64")
-    return found.assign(log=rows["log"].iloc[0], case_id=rows["case_id"].iloc[0])[
-        ["log", "case_id", "idx", "partner"]]
+            served.append((log, case, idx, waiting[first].popleft()[1]))
+    return pd.DataFrame(served, columns=[*CASE, "idx", "partner"]).astype({"idx": "int64", "partner": "int64"})
 
 
 def message_pairs(matched: DataFrame) -> DataFrame:
