@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from llm_cases import folder  # noqa: F401
@@ -159,3 +160,26 @@ def test_parts_are_balanced():
     graph = ann.CentroidGraph(centroids)
     found, _ = graph.nearest(x[700:900], 10)
     assert np.mean(found[:, 0] == (x[700:900] @ centroids.T).argmax(1)) > 0.95 and random
+
+
+def test_hits_do_not_grow_with_the_lists():
+    rng = np.random.default_rng(12)
+    x, q = rng.normal(size=(600, 8)), rng.normal(size=(5, 8))
+    parts, shelves = np.array([1, 3, 0, 2] * 10), 4
+    units = [(n, p) for n in range(40) for p in range(parts[n])]
+    own = [units[i % len(units)] for i in range(600)]
+    stock = pd.DataFrame({"dim": 8, "list": [n for n, _ in own], "vec_id": range(600), "data": [v.tobytes() for v in x],
+                          "part": [p for _, p in own]})
+    seen, found = [], []
+    for shelf, lists, places in ann.units_by_shelf(np.arange(40), parts, 8, shelves):
+        seen += zip(lists.tolist(), places.tolist())
+        asked = pd.DataFrame({"dim": 8, "vec_id": range(1000, 1005), "data": [v.tobytes() for v in q],
+                              "lists": [lists] * 5, "parts": [places] * 5})
+        held = stock[(8 + stock["list"] + stock["part"]) % shelves == shelf]
+        hits = ann.scan_shelf(held, asked, 3)
+        assert hits.groupby("query_id").size().tolist() == [4] * 5      # however many lists lie on the shelf
+        found.append(hits)
+    assert sorted(seen) == sorted(units)
+    best = pd.concat(found).sort_values("score", ascending=False).groupby("query_id")["vec_id"].apply(lambda v: v.tolist()[:3])
+    near = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    assert best.tolist() == np.argsort(-near, 1)[:, :3].tolist()

@@ -32,6 +32,9 @@ LEAST_BASE = 0.2           # a distance ratio counts from no less than this
 FITTED, REACHED = 512, 0.96  # sample vectors the ratio is fitted to, and the share of their neighbours in its lists
 FIRST_WALK, STEP = 64, 8   # centroids a query first looks for, and how many of them a step of its walk goes on from
 PART_ROWS = 4096           # rows of a list that one task scans
+SHELF_ROWS = 20_000        # posted rows whose parts one task scans together
+ASKED_ROWS = 1024          # queries that meet a part at once
+HELD_HITS = 500_000        # hits of a task that are held before only the best of each query are kept
 
 
 def split_centroids(x: np.ndarray, most_rows: int, seed: int = 5) -> np.ndarray:
@@ -191,21 +194,81 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _routed(rows: DataFrame, known: dict[int, tuple], lists) -> DataFrame:
-    """One row per vector and list: list, vec_id, dim, data, home: whether the list is its first."""
+def _blocks(rows: DataFrame, known: dict[int, tuple], lists, schema: str, shown) -> DataFrame:
+    """Frames that `shown` makes of blocks of vectors with one dim, and of the lists found for each of them."""
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, own in batch.groupby("dim"):
                 for i in range(0, len(own), 1024):
                     part = own.iloc[i:i + 1024]
-                    found = lists(*known[dim], _unit(matrix(part["data"])))
-                    times = [len(f) for f in found]
-                    home = np.concatenate([np.arange(n) == 0 for n in times])
-                    yield pd.DataFrame({"list": np.concatenate(found), "vec_id": np.repeat(part["vec_id"], times),
-                                        "dim": dim, "data": np.repeat(part["data"].to_numpy(object), times),
-                                        "home": home})
+                    yield from shown(dim, part, lists(*known[dim], _unit(matrix(part["data"]))))
 
-    return rows.mapInPandas(routed, "list long, vec_id long, dim int, data binary, home boolean")
+    return rows.mapInPandas(routed, schema)
+
+
+def _posted(dim: int, part: pd.DataFrame, found: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """One row per vector and list; home: whether the list is the vector's first."""
+    times = [len(f) for f in found]
+    home = np.concatenate([np.arange(n) == 0 for n in times])
+    yield pd.DataFrame({"list": np.concatenate(found), "vec_id": np.repeat(part["vec_id"], times), "dim": dim,
+                        "data": np.repeat(part["data"].to_numpy(object), times), "home": home})
+
+
+def units_by_shelf(found: np.ndarray, parts: np.ndarray, dim: int, shelves: int) -> Iterator[tuple]:
+    """(shelf, lists, parts) of the parts of the found lists: a part lies on shelf (dim + list + part) mod `shelves`."""
+    times = parts[found]
+    lists = np.repeat(found, times)
+    places = np.arange(len(lists)) - np.repeat(np.cumsum(times) - times, times)
+    shelf = (dim + lists + places) % shelves
+    order = np.argsort(shelf, kind="stable")
+    for own in np.split(order, np.nonzero(np.diff(shelf[order]))[0] + 1):
+        if len(own):
+            yield int(shelf[own[0]]), lists[own], places[own]
+
+
+def scan_shelf(stock: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query_id, vec_id, score: the k + 1 best of each query among the rows of the parts it asks for.
+
+    stock: dim, list, vec_id, data, part; asked: dim, vec_id, data, lists, parts, one row per query. The hits of all
+    parts are brought together here, so that their number does not grow with the lists a query looks into.
+    """
+    none = pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
+    stored = dict(tuple(stock.groupby(["dim", "list", "part"])))
+    times = asked["lists"].map(len).to_numpy(np.int64)
+    if not stored or not times.sum():
+        return none
+    asking = pd.DataFrame({"row": np.repeat(np.arange(len(asked)), times), "dim": np.repeat(asked["dim"].to_numpy(), times),
+                           "list": np.concatenate(asked["lists"].to_list()),
+                           "part": np.concatenate(asked["parts"].to_list())})
+    ids, data = asked["vec_id"].to_numpy(), asked["data"]
+
+    def best(found: list[pd.DataFrame]) -> pd.DataFrame:
+        hits = pd.concat(found).drop_duplicates()
+        return (hits.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+                .groupby("query_id").head(k + 1))
+
+    out, waiting = [], 0
+    for unit, ask in asking.groupby(["dim", "list", "part"]):
+        rows = stored.get(unit)
+        if rows is None:
+            continue
+        x = matrix(rows["data"])
+        unit_x, here = _unit(x).T, ask["row"].to_numpy()
+        for i in range(0, len(here), ASKED_ROWS):
+            at = here[i:i + ASKED_ROWS]
+            q = matrix(data.iloc[at])
+            near = _unit(q) @ unit_x
+            if near.shape[1] > k + 1:
+                least = -np.partition(-near, k, 1)[:, k:k + 1]
+                a, b = np.nonzero(near >= least - 1e-9)
+            else:
+                a, b = np.indices(near.shape).reshape(2, -1)
+            out.append(pd.DataFrame({"query_id": ids[at][a], "vec_id": rows["vec_id"].to_numpy()[b],
+                                     "score": cosines(q[a], x[b])}))
+            waiting += len(a)
+            if waiting > HELD_HITS + 4 * len(out[0]):
+                out, waiting = [best(out)], 0
+    return best(out) if out else none
 
 
 def cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -238,49 +301,42 @@ def search(vectors: DataFrame, is_query: str, k: int, sample: int = SAMPLE_ROWS)
         graphs[dim] = CentroidGraph(split_centroids(drawn, max(2, -(-len(drawn) // lists))))
         ratios[dim] = fitted_ratio(graphs[dim], drawn, k)
 
-    postings = keep(_routed(known, {dim: (graph,) for dim, graph in graphs.items()}, lists_of), "postings")
+    postings = keep(_blocks(known, {dim: (graph,) for dim, graph in graphs.items()}, lists_of,
+                            "list long, vec_id long, dim int, data binary, home boolean", _posted), "postings")
     lengths = keep(postings.groupBy("dim", "list").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes"))
-        .select("dim", "list", F.expr(f"n div {PART_ROWS} + 1").alias("parts"), "homes"), "list-lengths")
+        .select("dim", "list", "n", F.expr(f"n div {PART_ROWS} + 1").alias("parts"), "homes"), "list-lengths")
     homes = {dim: np.zeros(len(graph.centroids), np.int64) for dim, graph in graphs.items()}
+    parts = {dim: np.zeros(len(graph.centroids), np.int64) for dim, graph in graphs.items()}
+    posted = 0
     for r in lengths.collect():
-        homes[r["dim"]][r["list"]] = r["homes"]
+        homes[r["dim"]][r["list"]], parts[r["dim"]][r["list"]] = r["homes"], r["parts"]
+        posted += r["n"]
+    shelves = posted // SHELF_ROWS + 12
     asking = {dim: (graph, homes[dim], k + 1, ratios[dim]) for dim, graph in graphs.items()}
-    lengths = lengths.drop("homes")
     # Equal queries are searched once, under the least of their ids.
     asked = own.filter(is_query)
     first = asked.groupBy("dim", "data").agg(F.min("vec_id").alias("vec_id"))
-    routes = keep(_routed(first.select("vec_id", "dim", "data"), asking, probes_of).drop("home"), "routes")
-    shelves = postings.count() // 20_000 + 12
+
+    def wanted(dim: int, part: pd.DataFrame, found: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        """One row per query and shelf, whatever the number of lists."""
+        for i in range(0, len(part), 64):
+            some = part.iloc[i:i + 64]
+            yield pd.DataFrame([(dim, vec_id, data, *unit)
+                                for vec_id, data, lists in zip(some["vec_id"], some["data"], found[i:i + 64])
+                                for unit in units_by_shelf(lists, parts[dim], dim, shelves)],
+                               columns=["dim", "vec_id", "data", "shelf", "lists", "parts"])
+
+    routes = keep(_blocks(first.select("vec_id", "dim", "data"), asking, probes_of, "dim int, vec_id long, data binary, "
+                          "shelf long, lists array<long>, parts array<long>", wanted), "routes")
     part_of = F.pmod(F.xxhash64("vec_id"), F.col("parts"))
-    shelf = F.pmod(F.xxhash64("dim", "list", "part"), F.lit(shelves))
-    stored = postings.drop("home").join(lengths, ["dim", "list"]).withColumn("part", part_of)
-    stored = stored.withColumn("shelf", shelf).drop("parts")
-    wanted = (routes.join(lengths, ["dim", "list"])
-              .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-              .withColumn("shelf", shelf).drop("parts"))
+    stored = (postings.drop("home").join(lengths.drop("n", "homes"), ["dim", "list"]).withColumn("part", part_of).drop("parts")
+              .withColumn("shelf", F.pmod(F.col("dim") + F.col("list") + F.col("part"), F.lit(shelves))))
 
     def scanned(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        stock = dict(tuple(left.groupby(["dim", "list", "part"])))
-        for unit, ask in right.groupby(["dim", "list", "part"]):
-            rows = stock.get(unit)
-            if rows is None:
-                continue
-            x, q = matrix(rows["data"]), matrix(ask["data"])
-            near = _unit(q) @ _unit(x).T
-            if near.shape[1] > k + 1:
-                least = -np.partition(-near, k, 1)[:, k:k + 1]
-                a, b = np.nonzero(near >= least - 1e-9)
-            else:
-                a, b = np.indices(near.shape).reshape(2, -1)
-            found = pd.DataFrame({"query_id": ask["vec_id"].to_numpy()[a], "vec_id": rows["vec_id"].to_numpy()[b],
-                                  "score": cosines(q[a], x[b])})
-            out.append(found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-                       .groupby("query_id").head(k + 1))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return scan_shelf(left, right, k)
 
-    hits = (stored.groupBy("shelf").cogroup(wanted.groupBy("shelf"))
+    hits = (stored.groupBy("shelf").cogroup(routes.groupBy("shelf"))
             .applyInPandas(scanned, "query_id long, vec_id long, score double").distinct())
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     hits = keep(hits.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
