@@ -12,6 +12,7 @@ from tracewright.config import VOCABULARY, Vocabulary
 from tracewright.functions.columns import columns_to_map, iso_time, no_nulls, parse_time, without_keys
 from tracewright.operators.attributes import latest_attributes
 from tracewright.operators.mapping import Relations
+from tracewright.session import materialize
 from tracewright.sources.position import place
 
 # Column names of the relational standard.
@@ -112,7 +113,8 @@ def write_relational(relations: Relations, folder: str, v: Vocabulary = VOCABULA
     def by_type(df: DataFrame, name: str) -> None:
         df.write.mode("overwrite").partitionBy("ocel_type_map").parquet(f"{folder}/{name}")
 
-    events, objects = relations.events, relations.objects
+    # Four tables come from the objects, whose duplicates are removed by a shuffle: once, not for each.
+    events, objects = relations.events, materialize(relations.objects, "objects")
     write(events.select("log", F.col("eid").alias("ocel_id"), F.col("activity").alias("ocel_type")),
           "event")
     write(objects.select("log", F.col("oid").alias("ocel_id"), F.col("otype").alias("ocel_type")),
