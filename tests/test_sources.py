@@ -1,6 +1,7 @@
 """Reading and writing logs."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tracewright.config import LogSpec, SourceColumns
 from tracewright.functions.columns import clean
 from tracewright.operators import trace as T
 from tracewright.operators.mapping import transform
+from tracewright.plans import queries
 from tracewright.plans.convert import convert, read_event_logs
 from tracewright.session import materialize, shared_root
 from tracewright.sources import documents, flat, relational, xes
@@ -225,3 +227,62 @@ def test_shared_folder_setting(spark):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_root(Settings(None, "yarn"))
     assert shared_root(spark) in materialize(spark.range(3), "numbers").inputFiles()[0]
+
+
+def counting(spark):
+    """A function on texts that leaves them as they are, and how often it was called."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def same(text):
+        calls.add(1)
+        return text
+
+    return F.udf(same, "string").asNondeterministic(), calls
+
+
+def test_objects_are_derived_once_for_all_tables(spark, tmp_path):
+    relations = transform(frame(spark, random_rows(2)), keep=True)
+    relations = replace(relations, objects=materialize(relations.objects, "objects"))
+    counted, calls = counting(spark)
+    once = replace(relations, objects=relations.objects.withColumn("oid", counted("oid")))
+    relational.write_relational(once, str(tmp_path))
+    assert calls.value == relations.objects.count()
+    back = relational.read_relational(spark, str(tmp_path))
+    same_rows(back.objects.select("oid", "otype"), relations.objects.select("oid", "otype"))
+
+
+def test_events_are_joined_once_for_the_form_check(spark, tmp_path, monkeypatch):
+    days = [f"2024-01-01 00:00:{i:02d}" for i in range(30)]
+    rows = [(i, day, i % 3, ("purchase", "signup", "view")[i % 3], 1.0, '{"k": %d}' % i) for i, day in enumerate(days)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    sections, (counted, calls) = documents.document_sections, counting(spark)
+
+    def watched(*args):
+        found = sections(*args)
+        return found | {"events": found["events"].withColumn("id", counted("id"))}
+
+    monkeypatch.setattr(documents, "document_sections", watched)
+    found = queries.registered()["json_violations"](spark, str(tmp_path)).groupBy("message").count().collect()
+    assert calls.value == len(rows)
+    # Ids that end in 7: one of the ten events of each of three cases, in lines that break more than one rule.
+    assert {r["message"]: r["count"] for r in found if "list" in r["message"] or "id" in r["message"]} == {
+        "not a list: relationships": 3, "not text: id": 3}
+
+
+def test_entries_are_parsed_whole_only_without_lists(spark, tmp_path):
+    lines = {"eventTypes": ['{"name": "a", "attributes": null}', '{"name": "b"}', '{"name": "c", "attributes": "x"}',
+                            '{"name": "d", "attributes": []}', '{"name": "e", "attributes": {}}'],
+             "objectTypes": [], "objects": [],
+             "events": ['{"id": "f", "type": "a", "time": "2024-01-01T00:00:00Z", "relationships": 1}',
+                        '{"id": "g", "type": "a", "time": "2024-01-01T00:00:00Z", "attributes": [1]}']}
+    for section, texts in lines.items():
+        (tmp_path / section).mkdir()
+        (tmp_path / section / "part.json").write_text("\n".join(texts))
+    violations = documents.document_violations(spark, str(tmp_path))
+    assert {(r["path"], r["message"]) for r in violations.collect() if "list" in r["message"] or ": attr" in r["message"]} >= {
+        ("eventTypes[b]", "absent: attributes"), ("eventTypes[c]", "not a list: attributes"),
+        ("eventTypes[e]", "not a list: attributes"), ("events[f]", "not a list: relationships")}
+    plan = violations._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" in plan.lower() or "jsontostructs" in plan.lower()
+    assert "_whole" not in plan         # no column of whole entries: they are parsed where a list is missing

@@ -185,7 +185,11 @@ def _is_text(value: Column) -> Column:
 
 
 def _entry_problems(section: str) -> Column:
-    """Violations of one entry, as an array of (path, message)."""
+    """Violations of one entry, as an array of (path, message).
+
+    `_text` is the entry's JSON, or NULL where lists need not be told from other values. It is parsed as a whole only
+    for entries without a list, since a key that was read as a list is one.
+    """
     at, typed = F.col("_path"), section.endswith("Types")
     # Keys that the standard asks for.
     required = {"eventTypes": ("name",), "objectTypes": ("name",), "events": ("id", "type", "time"),
@@ -209,12 +213,15 @@ def _entry_problems(section: str) -> Column:
 
     lists = {"attributes": inner} | ({} if typed else {"relationships": ("objectId", "qualifier")})
     top = texts(F.col, required, at)
+    def whole(name: str) -> Column:
+        return F.try_variant_get(F.try_parse_json("_text"), f"$.{name}", "variant")
+
     for name in lists:
-        kind = F.schema_of_variant(F.try_variant_get("_whole", f"$.{name}", "variant"))
-        top.append(_problem(kind.isNotNull() & ~kind.startswith("ARRAY"), at, f"not a list: {name}"))
+        kind = F.when(F.col(name).isNull(), F.schema_of_variant(whole(name)))
+        top.append(_problem(F.coalesce(~kind.startswith("ARRAY"), F.lit(False)), at, f"not a list: {name}"))
     if typed:
-        top.append(_problem(F.col("attributes").isNull() & F.try_variant_get(
-            "_whole", "$.attributes", "variant").isNull(), at, "absent: attributes"))
+        absent = F.when(F.col("attributes").isNull(), whole("attributes").isNull())
+        top.append(_problem(F.coalesce(absent, F.lit(False)), at, "absent: attributes"))
     found = [F.array(*top), *[nested(name, keys) for name, keys in lists.items()]]
     return F.filter(F.concat(*found), lambda p: p.isNotNull())
 
@@ -233,7 +240,7 @@ def document_violations(spark: SparkSession, folder: str) -> DataFrame:
     for section in SECTIONS:
         lines = spark.read.text(f"{folder}/{section}")
         entry = lines.select(F.from_json("value", _FORM[section]).alias("e"),
-                             F.try_parse_json("value").alias("_whole")).select("e.*", "_whole")
+                             F.col("value").alias("_text")).select("e.*", "_text")
         label = F.col("name" if section.endswith("Types") else "id")
         name = F.coalesce(F.try_variant_get(label, "$", "string"), F.lit("?"))
         parts.append(_violations(entry.withColumn("_path", F.concat(
@@ -257,7 +264,7 @@ def single_document_violations(spark: SparkSession, path: str) -> DataFrame:
             .filter(F.col("p").isNotNull()).select("section", "p.*"))
         entries = text.select(F.from_json("value", f"{section} ARRAY<STRUCT<{_FORM[section]}>>")
                               .alias("d")).select(F.posexplode(f"d.{section}").alias("i", "e"))
-        located = entries.select("e.*", F.lit(None).cast("variant").alias("_whole"), F.concat(F.lit(f"{section}["), F.col("i").cast("string"),
+        located = entries.select("e.*", F.lit(None).cast("string").alias("_text"), F.concat(F.lit(f"{section}["), F.col("i").cast("string"),
                                                  F.lit("]")).alias("_path"))
         parts.append(_violations(located, section))
     return reduce(lambda a, b: a.unionByName(b), parts)
