@@ -325,3 +325,18 @@ def test_forest_query_has_the_published_settings(spark, monkeypatch):
     monkeypatch.setattr(queries.E, "evaluate", lambda trace, experiment, skew: asked.append(experiment))
     queries.registered()["cv_forest"](spark, "")
     assert asked == [Settings()] and len(asked[0].tasks) == 6
+
+
+def test_labels_are_computed_once_for_folds(spark):
+    rows = [("l", "t", f"c{i % 4}", f"e{i}", i) for i in range(20)]
+    calls = spark.sparkContext.accumulator(0)
+
+    def same(text):
+        calls.add(1)
+        return text
+
+    labels = spark.createDataFrame(rows, "log string, task string, case_id string, event_id string, k int")
+    counted = labels.withColumn("case_id", F.udf(same, "string").asNondeterministic()("case_id"))
+    dealt = E.with_folds(counted, 2).collect()
+    assert calls.value == len(rows) == len(dealt)
+    assert len({(r["case_id"], r["fold"]) for r in dealt}) == 4
