@@ -221,6 +221,18 @@ def test_added_tokens_are_found_in_texts(encoders, library):
     assert library["word_bpe_49k.json"].encode(texts[0], add_special_tokens=False).ids == [320, 49407, 321]
 
 
+def test_words_share_pieces(library):
+    """Words that differ in the marks after them alone are learned once."""
+    encoder = Encoder(open(queries.tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read())
+    texts = ["Thon. thon, thon### éa. don't", "", "THON.\n÷. ×, ÿ! a.b", "ÉA. x\x1cy.", " "]
+    want = [np.array(e.ids, "<u4").tobytes()
+            for e in library["word_bpe_49k.json"].encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == want and encoder.encode(texts[::-1]) == want[::-1]
+    assert set(encoder.known) - {""} == {"thon", ".", ",", "###", "éa", "don", "'t", "÷.", "×,", "ÿ", "!", "a",
+                                         ".b", "x\x1cy"}
+    assert encoder.encode([]) == [] and encoder.encode([""]) == [b""]
+
+
 def ids_of(tokenizer, text, end):
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 

@@ -3,9 +3,10 @@
 A text is cut only where every pre-tokenizer in use starts a new piece anyway, whatever stands around
 it: before a single space between two visible characters, and between a Latin letter and ASCII
 punctuation. Each piece is then encoded by the library once and remembered, so that frequent words
-cost a lookup. Where white space only separates words, texts are split there and words looked up. The ids
-equal those of the whole text; a tokenizer whose set-up is not known to respect such cuts is given whole
-texts, and so is any tokenizer with a text that may hold the string of an added token.
+cost a lookup. Where white space only separates words, Arrow splits texts into pieces, tells those of many
+texts apart and puts their ids together, so that only distinct pieces are looked up. The ids equal those of
+the whole text; a tokenizer whose set-up is not known to respect such cuts is given whole texts, and so is
+any tokenizer with a text that may hold the string of an added token.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
@@ -27,6 +31,10 @@ PIECES = re.compile(rf" ?[{_LETTERS}]+(?=[{_MARKS}]| \S|\Z)| ?[{_MARKS}]+(?= \S|
 RUN = re.compile(rf" ?(?:[{_LETTERS}]+|[{_MARKS}]+)")
 pack_ids = [struct.Struct(f"<{n}I").pack for n in range(16)]
 MOST_PIECES = 600_000      # remembered in one worker process, about 130 MB
+# The same characters as bytes of UTF-8: ASCII letters and marks, and what follows 0xC3 in a letter from À to ÿ.
+IS_LETTER, IS_MARK, IS_LATIN = (np.isin(np.arange(256), [*some]) for some in (
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~",
+    {*range(0x80, 0xC0)} - {0x97, 0xB7}))
 
 
 def share_tokenizer(spark: SparkSession, path: str) -> Broadcast:
@@ -68,8 +76,10 @@ class Encoder:
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         self.openings = {re.match(r"[^\w\s]*", content)[0] for content in added}
         self.known: dict[str, bytes] = {}
-        # How the byte-level step writes the characters of runs; words also lose their space and case.
         self.words = self.by_piece and json.loads(spec)["normalizer"] is not None
+        if self.by_piece and hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)      # pieces are remembered here, a second memory only costs time
+        # How the byte-level step writes the characters of runs; words also lose their case.
         step = ByteLevel(add_prefix_space=False, use_regex=False)
         runs = [chr(c) for c in range(0x20, 0x100) if RUN.fullmatch(chr(c))]
         self.letters = {ord(c): step.pre_tokenize_str(c)[0][0] for c in [" ", *runs]}
@@ -87,53 +97,56 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encode new pieces. A run of letters or marks is one pre-token and goes to the model directly."""
-        runs = [piece for piece in new if RUN.fullmatch(piece)]
-        rest = list(set(new).difference(runs))
+        runs, rest = [], []
+        for piece in new:
+            (runs if RUN.fullmatch(piece) else rest).append(piece)
         self.known.update(zip(rest, self._library(rest)))
         tokenize, letters, known = self.tokenizer.model.tokenize, self.letters, self.known
         for piece in runs:
-            plain = piece.lstrip(" ").lower() if self.words else piece
+            plain = piece.lower() if self.words else piece
             if not plain.isascii() or " " in plain:     # all else is written by the byte-level step as it is
                 plain = plain.translate(letters)
             ids = [token.id for token in tokenize(plain)]
             known[piece] = pack_ids[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn_words(self, new: set[str]) -> None:
-        """Encode new words, by way of their pieces."""
-        known, cut = self.known, {word: PIECES.findall(word) for word in new if not word.isalpha()}
-        pieces = set().union(*cut.values()).difference(known)
-        pieces.update(new.difference(cut))
-        self._learn(list(pieces))
-        for word, parts in cut.items():
-            known[word] = b"".join([known[part] for part in parts])
-
     def _whole(self, text: str) -> bool:
         """Whether the library has to see the text whole: it may hold an added token."""
         return any(opening in text for opening in self.openings) and self.added.search(text) is not None
 
-    def _split(self, text: str) -> list[str] | None:
-        """The words of a text, None if the library has to split it."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):      # white space to Python alone
-            return None
+    @staticmethod
+    def _plain(text: str) -> str:
         try:        # up to U+00FF no character's case or form depends on others, so fewer words are to be known
             text.encode("latin-1")
-            return text.lower().split()
+            return text.lower()
         except UnicodeEncodeError:
-            return text.split()
+            return text
+
+    def _pieces(self, texts: list[str]) -> pa.LargeListArray:
+        """The words of texts, cut once more wherever a Latin letter stands before an ASCII mark."""
+        plain = pa.array([self._plain(text) for text in texts], pa.large_string())
+        _, offsets, data = plain.buffers()
+        offsets, data = np.frombuffer(offsets, "<i8", len(texts) + 1), np.frombuffer(data or b"", "u1")
+        letter = IS_LETTER[data]
+        letter[1:] |= IS_LATIN[data[1:]] & (data[:-1] == 0xC3)
+        cuts = np.flatnonzero(letter[:-1] & IS_MARK[data[1:]]) + 1
+        cut = pa.LargeStringArray.from_buffers(
+            len(texts), pa.py_buffer(offsets + np.searchsorted(cuts, offsets)), pa.py_buffer(np.insert(data, cuts, 0x20)))
+        return pc.ascii_split_whitespace(cut)
 
     def _by_words(self, texts: list[str], remember: int) -> list[bytes]:
-        split = [self._split(text) for text in texts]
+        pieces = self._pieces(texts)
+        found = pieces.flatten().dictionary_encode()
+        distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > remember:
             self.known.clear()
-        # A small table for these texts: most words repeat, and looking them up among all is slower.
-        words = set().union(*filter(None, split))
-        here = dict(zip(words, map(self.known.get, words)))
-        new = {word for word, ids in here.items() if ids is None}
-        if new:
-            self._learn_words(new)
-            here.update((word, self.known[word]) for word in new)
-        return [self._library([text])[0] if words is None else b"".join(map(here.__getitem__, words))
-                for text, words in zip(texts, split)]
+        here = list(map(self.known.get, distinct))
+        self._learn([piece for piece, ids in zip(distinct, here) if ids is None])
+        here = [self.known[piece] if ids is None else ids for piece, ids in zip(distinct, here)]
+        ids = pa.array(here, pa.large_binary()).take(found.indices)
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, "<i8", len(ids) + 1)[pieces.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        return [bytes(data[start:end]) for start, end in zip(ends, ends[1:])]
 
     def encode(self, texts: list[str], remember: int = MOST_PIECES) -> list[bytes]:
         if not self.by_piece:
@@ -155,9 +168,10 @@ class Encoder:
         known = self.known.__getitem__
         return [b"".join(map(known, pieces)) for pieces in cut]
 
-    def batches(self, texts: list[str], most_chars: int = 500_000, remember: int = MOST_PIECES
+    def batches(self, texts: list[str], most_chars: int | None = None, remember: int = MOST_PIECES
                 ) -> Iterator[list[bytes]]:
         """`encode` over runs of texts of about `most_chars`, so that pieces in hand stay few."""
+        most_chars = most_chars or (2_000_000 if self.words else 500_000)
         start = size = 0
         for i, text in enumerate(texts):
             size += len(text)
