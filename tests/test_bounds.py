@@ -79,3 +79,25 @@ def test_orders_by_node_and_code():
     for nodes, width in ((3, 5), (70_000, 13), (90_000, 2), (50, 90_000), (70_000, 70_000)):
         node, code = np.sort(rng.integers(0, nodes, 100_000)), rng.integers(0, width, 100_000)
         assert (forest._order(node, code, nodes, width) == np.lexsort((code, node))).all()
+
+
+def test_events_are_placed_before_they_are_repeated(spark):
+    """Rows repeated per parameter of a case are sorted once, and reach their windows by the exchange of single events."""
+    rows = [event(f"c{i % 9}", i, i, who="ABC"[i % 3]) for i in range(60)]
+    trace = source_trace(frame(spark, rows))
+    cases = trace.select("log", "case_id", F.lit("participant").alias("kind"), F.col("actor").alias("param")).distinct()
+    slots = L.parameter_slots(cases).localCheckpoint()
+    wide = L.wide_per_parameter(trace, ["NV-PaT", "OB-P"], slots, order=["ts", "src_order"])
+    plan = wide._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [i for i, line in enumerate(plan) if "Join" in line][0]
+    assert sum("Window [" in line for line in plan[:depth]) == 1
+    assert wide.filter("k = 1 and _participant = 'A'").count() == len({r["case_id"] for r in cases.collect() if r["param"] == "A"})
+
+
+def test_items_are_dropped_after_they_are_listed(spark):
+    from tracewright.operators.mapping import event_object_rows
+    from tracewright.operators.match import match_messages
+
+    edges = event_object_rows(match_messages(frame(spark, [event("c", 1, 1, who="A"), event("c", 2, 2, who=None)])))
+    assert "lambda" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["qualifier"] for r in edges.collect()) == ["actor", "local", "within", "within"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewright.catalog import COMPARED_TASKS, EXTENDED_TASKS, TASKS, catalog_frame
 from tracewright.operators.labels import (ACTIVITY, PARTICIPANT, all_label_rows, label_columns, parameter_domain,
-                                           parameter_of, wide_per_parameter)
+                                           parameter_of, parameter_slots, wide_per_parameter)
 from tracewright.operators.skew import Skew
 from tracewright.operators.trace import trace_groups
 from tracewright.operators.ordered import sum_all, sum_before
@@ -144,9 +144,10 @@ def _equivalence(reference: DataFrame, object_centric: DataFrame, tasks: list[st
         ["log"], plain, tolerance, exact_counts), "plain-counts")
     found = [_unpivot(every, {t: F.lit("") for t in plain})] if plain else []
     if asked:
+        slots = materialize(parameter_slots(cases, skew), "slots")
         pairs = _compare(
-            wide_per_parameter(reference, asked, cases, skew, source_order),
-            wide_per_parameter(object_centric, asked, cases, skew),
+            wide_per_parameter(reference, asked, slots, skew, source_order),
+            wide_per_parameter(object_centric, asked, slots, skew),
             ["log", "case_id", "_slot", "k"], "inner", ["log", PARTICIPANT, ACTIVITY], asked, tolerance,
             exact_counts)
         found.append(_unpivot(pairs, {t: parameter_of(t) for t in asked}))

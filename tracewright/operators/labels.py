@@ -18,7 +18,7 @@ from tracewright.operators.load import with_load
 from tracewright.operators.ordered import (OrderedGroups, Scan, following, max_after, max_all,
                                            min_all, next_row, sum_after, sum_all, sum_before)
 from tracewright.operators.skew import Skew
-from tracewright.operators.trace import TRACE_ORDER, trace_groups
+from tracewright.operators.trace import EXECUTION, TRACE_ORDER, trace_groups
 from tracewright.session import size_shuffles, small
 
 PARTICIPANT, ACTIVITY = "_participant", "_activity"  # parameter columns
@@ -198,12 +198,16 @@ def label_columns(trace: DataFrame, keys: Iterable[str], participant: str | Colu
     return _labelled(groups, tasks, ["case_id", "event_id"])
 
 
-def _labelled(groups: OrderedGroups, tasks: list[Task], kept: list[str]) -> DataFrame:
+def _places() -> dict[str, Scan]:
+    return {"_k": sum_before(F.lit(1)), "_n": sum_all(F.lit(1))}
+
+
+def _labelled(groups: OrderedGroups, tasks: list[Task], kept: list[str], placed: bool = False) -> DataFrame:
     missing = [t.key for t in tasks if t.key not in _registry]
     if missing:
         raise ValueError(f"no label rule for: {', '.join(missing)}")
     rules = {t.key: _registry[t.key]() for t in tasks}
-    scans: dict[str, Scan] = {"_k": sum_before(F.lit(1)), "_n": sum_all(F.lit(1))}
+    scans: dict[str, Scan] = {} if placed else _places()
     for rule in rules.values():
         scans.update(rule.scans)
     if "X-MSt" in rules:
@@ -282,33 +286,46 @@ def all_label_rows(trace: DataFrame, keys: Iterable[str], domain: DataFrame,
     return result
 
 
-def wide_per_parameter(trace: DataFrame, keys: Iterable[str], domain: DataFrame,
-                       skew: Skew | None = None, order: list[str] = TRACE_ORDER) -> DataFrame:
-    """One row per prefix and parameter slot, one column per task.
+def parameter_slots(domain: DataFrame, skew: Skew | None = None) -> DataFrame:
+    """One row per slot of a scope (log, or log and case_id): its participant and activity, if any.
 
-    The n-th participant and the n-th activity of the scope in text order share slot n, so two traces
-    with the same `domain` have the same slots.
+    The n-th participant and the n-th activity of the scope in text order share slot n.
     """
-    tasks = [task_of(k) for k in keys]
     scope = [c for c in ("log", "case_id") if c in domain.columns]
     numbered = OrderedGroups(domain, scope + ["kind"], ["param"], skew, of="parameters")
     numbered = numbered.scan(_at=sum_before(F.lit(1)))
     slot = F.coalesce(F.col("_at"), F.lit(0)).cast("long").alias("_slot")
-    pairs = numbered.df().select(*scope, "kind", "param", slot).groupBy(*scope, "_slot").agg(
+    return numbered.df().select(*scope, "kind", "param", slot).groupBy(*scope, "_slot").agg(
         F.max(F.when(F.col("kind") == "participant", F.col("param"))).alias(PARTICIPANT),
         F.max(F.when(F.col("kind") == "activity", F.col("param"))).alias(ACTIVITY))
+
+
+def wide_per_parameter(trace: DataFrame, keys: Iterable[str], domain: DataFrame,
+                       skew: Skew | None = None, order: list[str] = TRACE_ORDER) -> DataFrame:
+    """One row per prefix and parameter slot, one column per task.
+
+    Two traces with the same `domain` have the same slots; `parameter_slots` of a domain may be given instead.
+    """
+    tasks = [task_of(k) for k in keys]
+    scope = [c for c in ("log", "case_id") if c in domain.columns]
+    pairs = domain if "_slot" in domain.columns else parameter_slots(domain, skew)
     # Parameters of a log are few and are broadcast if they are; parameters of cases are joined
     # with a shuffle, whose skewed partitions AQE splits.
     if scope == ["log"]:
         pairs = small(pairs)
-    rows = _loaded(trace, tasks, skew).join(pairs, scope)
+    # An event has one place for all parameters, so places are found before rows are repeated, and rows that are
+    # repeated are sorted only once, the other way round.
+    rows = trace_groups(_loaded(trace, tasks, skew), skew, order).scan(**_places()).df()
+    rows = rows.withColumn("_k", F.coalesce(F.col("_k"), F.lit(0))).join(pairs, scope)
+    if scope == ["log"]:
+        rows = rows.repartition(*EXECUTION, "_slot")
     # Rows are counted with their repeats: a window may hold all parameters of an execution.
     most = pairs.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] if skew else 1
     sized = replace(skew, rows=skew.rows * (most or 1)) if skew else None
     if sized:
         size_shuffles(trace.sparkSession, sized.rows)
     groups = trace_groups(rows, sized, order, also=["_slot"], of="events by parameter")
-    return _labelled(groups, tasks, ["case_id", "event_id", "_slot", PARTICIPANT, ACTIVITY])
+    return _labelled(groups, tasks, ["case_id", "event_id", "_slot", PARTICIPANT, ACTIVITY], placed=True)
 
 
 def parameter_of(key: str) -> Column:

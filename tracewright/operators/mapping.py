@@ -72,8 +72,9 @@ def _message() -> Column:
 
 def _one_each(rows: DataFrame, items: list[Column]) -> DataFrame:
     """One output row per struct in `items` whose condition held (others are NULL)."""
-    present = F.filter(F.array(*items), lambda item: item.isNotNull())
-    return rows.select("log", F.explode(present).alias("item")).select("log", "item.*")
+    # Spark has no generated code for filters of arrays, but for those of rows.
+    return (rows.select("log", F.explode(F.array(*items)).alias("item"))
+            .filter(F.col("item").isNotNull()).select("log", "item.*"))
 
 
 def object_rows(matched: DataFrame, v: Vocabulary = VOCABULARY) -> DataFrame:
