@@ -183,3 +183,41 @@ def test_hits_do_not_grow_with_the_lists():
     best = pd.concat(found).sort_values("score", ascending=False).groupby("query_id")["vec_id"].apply(lambda v: v.tolist()[:3])
     near = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
     assert best.tolist() == np.argsort(-near, 1)[:, :3].tolist()
+
+
+def test_queries_are_routed_in_many_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    parts, plain = {}, ann.keep
+
+    def kept(df, name):
+        parts[name] = df.rdd.getNumPartitions()
+        return plain(df, name)
+
+    monkeypatch.setattr(ann, "keep", kept)
+    rows = [(i, x) for i, x in enumerate(rng.normal(size=(400, 8)).tolist())]
+    assert ann.search(frame(spark, rows), "vec_id % 50 = 0", k=5).count() == 40
+    assert parts["routes"] >= 32
+
+
+def test_weak_hits_are_not_looked_at_closer(monkeypatch):
+    rng = np.random.default_rng(14)
+    x, q, k = np.round(rng.normal(size=(3000, 6)), 1), rng.normal(size=(4, 6)), 3
+    x[1000:1040] = x[999]           # ties
+    lists = np.arange(60)
+    stock = pd.DataFrame({"dim": 6, "list": np.arange(3000) % 60, "vec_id": range(3000), "data": [v.tobytes() for v in x],
+                          "part": 0})
+    again = stock.sample(600, random_state=1).assign(list=lambda d: (d["list"] + 1) % 60)   # rows lie in several lists
+    stock = pd.concat([stock, again])
+    asked = pd.DataFrame({"dim": 6, "vec_id": range(5000, 5004), "data": [v.tobytes() for v in q],
+                          "lists": [lists] * 4, "parts": [np.zeros(60, np.int64)] * 4})
+    looked, plain = [], ann.cosines
+    monkeypatch.setattr(ann, "cosines", lambda a, b: looked.append(len(a)) or plain(a, b))
+    hits = ann.scan_shelf(stock, asked, k)
+    assert sum(looked) < 4 * 60 * (k + 1) / 2
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for n, v in enumerate(q):
+        near = np.round(unit @ (v / np.linalg.norm(v)), 12)
+        best = np.lexsort((np.arange(3000), -near))[:k + 1]
+        own = hits[hits["query_id"] == 5000 + n]
+        assert sorted(np.round(own["score"], 12).tolist(), reverse=True) == near[best].tolist()
+        assert own["vec_id"].is_unique

@@ -6,8 +6,9 @@ about equally long. A vector near a border goes to several lists: to further cen
 farther than its nearest one, unless a centroid that already has it is nearer to the further one than
 the vector is. Centroids are searched by a best-first walk over a neighbour graph in memory, for rows and
 queries alike. A query's lists are those whose centroids are within a ratio of its nearest centroid's distance,
-or of that of the list with which there are enough candidates; its walk widens until it has seen them all. The
-ratio is fitted to the sample: it is the least with which nearly all neighbours there lie in such lists. Lists
+or of that of the list with which there are enough candidates; its walk widens until it has seen them all, and
+where that would take longer than measuring all centroids, these are measured. The ratio is fitted to the
+sample: it is the least with which nearly all neighbours there lie in such lists. Lists
 that turn out long are scanned in parts, by several tasks.
 """
 
@@ -31,6 +32,7 @@ COPIES, BORDER = 8, 1.15   # most lists of a vector, and how much farther their
 LEAST_BASE = 0.2           # a distance ratio counts from no less than this
 FITTED, REACHED = 512, 0.96  # sample vectors the ratio is fitted to, and the share of their neighbours in its lists
 FIRST_WALK, STEP = 64, 8   # centroids a query first looks for, and how many of them a step of its walk goes on from
+WALK_COST = 32             # centroids that are measured without a walk in the time that a walk takes for one
 PART_ROWS = 4096           # rows of a list that one task scans
 SHELF_ROWS = 20_000        # posted rows whose parts one task scans together
 ASKED_ROWS = 1024          # queries that meet a part at once
@@ -115,6 +117,12 @@ class CentroidGraph:
             spent = np.hstack([spent, np.zeros(more.shape, bool)])
         return np.where(np.isfinite(near), found, -1), near
 
+    def measured(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, cosines) of all per row of `x`, nearest first, without a walk."""
+        near = x @ self.centroids.T
+        order = np.argsort(-near, 1, kind="stable")
+        return order, np.take_along_axis(near, order, 1)
+
 
 def _distance(cosines: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * cosines))
@@ -161,7 +169,8 @@ def probes_of(graph: CentroidGraph, homes: np.ndarray, least: int, ratio: float,
 
     `homes` counts the vectors whose nearest list each is. Lists are taken in order until they are home to
     `least` vectors, which are then all different, or to all there are; the ratio counts from the last of them.
-    The walk is repeated twice as wide until it sees a list beyond the ratio.
+    The walk is repeated twice as wide until it sees a list beyond the ratio; where measuring all centroids takes no
+    longer than that, all are measured, so that none within the ratio is missed.
     """
     n, out = len(graph.centroids), [None] * len(x)
     stored = lists_of(graph, x)     # the walk may miss a lone centroid, for near vectors and x alike
@@ -170,7 +179,8 @@ def probes_of(graph: CentroidGraph, homes: np.ndarray, least: int, ratio: float,
         open_rows = []
         for i in range(0, len(todo), 256):
             part = todo[i:i + 256]
-            for row, own, cosines in zip(part.tolist(), *graph.nearest(x[part], count, STEP)):
+            seen = graph.measured(x[part]) if FIRST_WALK < count == n else graph.nearest(x[part], count, STEP)
+            for row, own, cosines in zip(part.tolist(), *seen):
                 own, cosines = own[own >= 0], cosines[own >= 0]
                 reached = np.cumsum(homes[own])
                 if reached[-1] < least and count == n:      # what no link leads to
@@ -184,7 +194,7 @@ def probes_of(graph: CentroidGraph, homes: np.ndarray, least: int, ratio: float,
                     open_rows.append(row)
                 else:
                     out[row] = np.union1d(own[distance <= limit], stored[row])
-        todo, count = np.array(open_rows, np.int64), min(2 * count, n)
+        todo, count = np.array(open_rows, np.int64), 2 * count if 2 * count * WALK_COST < n else n
     return out
 
 
@@ -230,7 +240,8 @@ def scan_shelf(stock: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame
     """query_id, vec_id, score: the k + 1 best of each query among the rows of the parts it asks for.
 
     stock: dim, list, vec_id, data, part; asked: dim, vec_id, data, lists, parts, one row per query. The hits of all
-    parts are brought together here, so that their number does not grow with the lists a query looks into.
+    parts are brought together here, so that their number does not grow with the lists a query looks into. Once a
+    part has given a query k + 1 hits, only what comes up to them is looked at closer in the others.
     """
     none = pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
     stored = dict(tuple(stock.groupby(["dim", "list", "part"])))
@@ -247,7 +258,7 @@ def scan_shelf(stock: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame
         return (hits.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
                 .groupby("query_id").head(k + 1))
 
-    out, waiting = [], 0
+    out, waiting, bars = [], 0, np.full(len(asked), -np.inf)
     for unit, ask in asking.groupby(["dim", "list", "part"]):
         rows = stored.get(unit)
         if rows is None:
@@ -258,11 +269,12 @@ def scan_shelf(stock: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame
             at = here[i:i + ASKED_ROWS]
             q = matrix(data.iloc[at])
             near = _unit(q) @ unit_x
-            if near.shape[1] > k + 1:
-                least = -np.partition(-near, k, 1)[:, k:k + 1]
-                a, b = np.nonzero(near >= least - 1e-9)
-            else:
-                a, b = np.indices(near.shape).reshape(2, -1)
+            a, b = np.nonzero(near >= bars[at][:, None])
+            full = np.flatnonzero(np.bincount(a, minlength=len(at)) > k)
+            if len(full):       # rows of a part are all different, so these bar what is less
+                bars[at[full]] = -np.partition(-near[full], k, 1)[:, k] - 1e-9
+                still = near[a, b] >= bars[at[a]]
+                a, b = a[still], b[still]
             out.append(pd.DataFrame({"query_id": ids[at][a], "vec_id": rows["vec_id"].to_numpy()[b],
                                      "score": cosines(q[a], x[b])}))
             waiting += len(a)
@@ -314,9 +326,11 @@ def search(vectors: DataFrame, is_query: str, k: int, sample: int = SAMPLE_ROWS)
         posted += r["n"]
     shelves = posted // SHELF_ROWS + 12
     asking = {dim: (graph, homes[dim], k + 1, ratios[dim]) for dim, graph in graphs.items()}
-    # Equal queries are searched once, under the least of their ids.
+    # Equal queries are searched once, under the least of their ids. Queries are few bytes and much work, so they are
+    # dealt over partitions of a fixed number.
     asked = own.filter(is_query)
     first = asked.groupBy("dim", "data").agg(F.min("vec_id").alias("vec_id"))
+    tasks = max(own.sparkSession.sparkContext.defaultParallelism * 4, 32)
 
     def wanted(dim: int, part: pd.DataFrame, found: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         """One row per query and shelf, whatever the number of lists."""
@@ -327,7 +341,7 @@ def search(vectors: DataFrame, is_query: str, k: int, sample: int = SAMPLE_ROWS)
                                 for unit in units_by_shelf(lists, parts[dim], dim, shelves)],
                                columns=["dim", "vec_id", "data", "shelf", "lists", "parts"])
 
-    routes = keep(_blocks(first.select("vec_id", "dim", "data"), asking, probes_of, "dim int, vec_id long, data binary, "
+    routes = keep(_blocks(first.select("vec_id", "dim", "data").repartition(tasks, "vec_id"), asking, probes_of, "dim int, vec_id long, data binary, "
                           "shelf long, lists array<long>, parts array<long>", wanted), "routes")
     part_of = F.pmod(F.xxhash64("vec_id"), F.col("parts"))
     stored = (postings.drop("home").join(lengths.drop("n", "homes"), ["dim", "list"]).withColumn("part", part_of).drop("parts")
